@@ -1,8 +1,24 @@
-"""One query per operator, over whole tables with production parameters."""
+"""One query per operator, over whole tables with production parameters.
+
+None has SQL: each is held against a brute-force version or an exact round trip in
+``tests/llm``.
+"""
 
 from __future__ import annotations
 
-from trailhead.llm import base, quality, secrets
+from pyspark.sql import functions as F
+
+from trailhead.llm import base, bpe, fingerprints, flac, neardup, packing, quality, secrets, warc
+
+#: Name of the public vocabulary file; END_ID is the id that it leaves free.
+VOCABULARY, END_ID = "byte_bpe_50k.tiktoken", 50256
+
+
+def ranks_and_pattern(path: str | None = None):
+    """The ranks and the pattern of the public byte-level vocabulary, from path if given."""
+    import public_tokenizers
+
+    return bpe.read_ranks(path or public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN
 
 
 def op1_secret_scan(spark, sf_dir):
@@ -14,8 +30,43 @@ def op2_quality_classifier(spark, sf_dir):
     return quality.score(docs, quality.train(docs, base.table(spark, sf_dir, "labels")))
 
 
+def op3_document_fingerprints(spark, sf_dir):
+    return fingerprints.compare(base.table(spark, sf_dir, "documents"))
+
+
+def op4_packed_token_ids(spark, sf_dir):
+    packed = packing.pack(base.table(spark, sf_dir, "documents"), *ranks_and_pattern(), END_ID)
+    return packed.select(
+        "pack_id", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
+    )
+
+
+def op5_minhash_near_dedup(spark, sf_dir):
+    return neardup.classes(base.table(spark, sf_dir, "documents"))
+
+
+def op6_byte_bpe(spark, sf_dir):
+    return bpe.digests(base.table(spark, sf_dir, "documents"), *ranks_and_pattern())
+
+
+def op7_warc_round_trip(spark, sf_dir):
+    return warc.read(warc.write(base.table(spark, sf_dir, "pages")))
+
+
+def op9_flac_media(spark, sf_dir):
+    return flac.described(flac.store(base.table(spark, sf_dir, "documents")))
+
+
+def op10_conflict_packing(spark, sf_dir):
+    return packing.pack_apart(base.table(spark, sf_dir, "documents"), *ranks_and_pattern())
+
+
 def queries():
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier)}
+    found = (
+        op1_secret_scan, op2_quality_classifier, op3_document_fingerprints, op4_packed_token_ids, op5_minhash_near_dedup,
+        op6_byte_bpe, op7_warc_round_trip, op9_flac_media, op10_conflict_packing,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
