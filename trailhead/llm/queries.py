@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trailhead.llm import base, bpe, fingerprints, flac, neardup, packing, quality, secrets, warc
+from trailhead.llm import base, bpe, fingerprints, flac, neardup, packing, quality, secrets, suffixes, warc
 
 #: Name of the public vocabulary file; END_ID is the id that it leaves free.
 VOCABULARY, END_ID = "byte_bpe_50k.tiktoken", 50256
@@ -53,6 +53,10 @@ def op7_warc_round_trip(spark, sf_dir):
     return warc.read(warc.write(base.table(spark, sf_dir, "pages")))
 
 
+def op8_suffix_array_dedup(spark, sf_dir):
+    return suffixes.repeats(base.table(spark, sf_dir, "documents"))
+
+
 def op9_flac_media(spark, sf_dir):
     return flac.described(flac.store(base.table(spark, sf_dir, "documents")))
 
@@ -61,10 +65,16 @@ def op10_conflict_packing(spark, sf_dir):
     return packing.pack_apart(base.table(spark, sf_dir, "documents"), *ranks_and_pattern())
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     found = (
         op1_secret_scan, op2_quality_classifier, op3_document_fingerprints, op4_packed_token_ids, op5_minhash_near_dedup,
-        op6_byte_bpe, op7_warc_round_trip, op9_flac_media, op10_conflict_packing,
+        op6_byte_bpe, op7_warc_round_trip, op8_suffix_array_dedup, op9_flac_media, op10_conflict_packing, pipeline,
     )
     return {f.__name__: f for f in found}
 
