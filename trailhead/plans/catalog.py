@@ -1,15 +1,18 @@
-"""Registry of the queries that bind the operators to the test tables."""
+"""All queries of the library's own operators."""
 
 from __future__ import annotations
 
+from trailhead.plans import graph_queries
+from trailhead.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return graph_queries.dangerous_reach(spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
