@@ -149,8 +149,8 @@ def condition(text, raw) -> Column:
     def part(group, fallback):
         return F.coalesce(_first(t, _CONDITION, group), fallback, F.lit("unknown"))
 
-    left = F.when(word.isNotNull(), F.trim(F.substring_index(r, word, 1)))
-    right = F.when(word.isNotNull(), F.trim(F.element_at(F.split(r, word), 2)))
+    left = F.when(word.isNotNull(), F.trim(F.call_function("substring_index", r, word, F.lit(1))))
+    right = F.when(word.isNotNull(), F.trim(F.element_at(F.call_function("split", r, word), 2)))
     return F.struct(part(1, left).alias("variable"), part(2, symbol).alias("operator"), part(3, right).alias("value"))
 
 
