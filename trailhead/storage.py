@@ -13,3 +13,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trailhead-"))
     return df.checkpoint()
+
+
+def shared_path(spark, name: str) -> str:
+    """A folder of that name below the shared one."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trailhead-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}"
