@@ -154,7 +154,7 @@ def call_constraints(spark, sf):
 def call_sites(spark, sf):
     order = Window.partitionBy("method").orderBy("ordinal")
     return b.statements(spark, sf).where("kind = 'METHOD_CALL'").select(
-        "method", "stmt_id", F.row_number().over(order).alias("site"), F.lead("stmt_id").over(order).isNull().alias("is_last"), F.count("*").over(Window.partitionBy("method")).alias("n_sites")
+        "method", "stmt_id", F.row_number().over(order).cast("long").alias("site"), F.lead("stmt_id").over(order).isNull().alias("is_last"), F.count("*").over(Window.partitionBy("method")).alias("n_sites")
     )
 
 

@@ -47,11 +47,13 @@ def source_sink_text(spark: SparkSession, path: str) -> DataFrame:
         none = F.lit(None).cast("string")
         return F.when(method, part(METHOD_LINE, m)).when(plain, part(NO_RETURN_LINE, n) if n else none).when(field, part(FIELD_LINE, f) if f else none)
 
-    target = F.coalesce(pick(7, 6, 6), F.lit(""))
+    # the arrow and what stands before it are taken apart here, as the patterns leave a line without permissions open
+    target = F.regexp_extract(line, r"->\s*(\S.*)$", 1)
+    permissions = F.regexp_extract(F.substring_index(line, "->", 1), r">\s*([^>]*)$", 1)
     return rows.where(method | plain | field).select(
         F.trim(pick(1, 1, 1)).alias("class"), pick(2, 0, 2).alias("ret"), F.trim(pick(3, 2, 3)).alias("name"),
         F.when(method | plain, _params(pick(4, 3, 0))).alias("params"), (~method & ~plain).alias("is_field"),
-        F.filter(F.split(F.coalesce(pick(5, 4, 4), F.lit("")), r"\s+"), lambda x: x != "").alias("permissions"),
+        F.filter(F.split(permissions, r"\s+"), lambda x: x != "").alias("permissions"),
         (F.contains(target, F.lit("_SOURCE_")) | F.contains(target, F.lit("_BOTH_"))).alias("is_source"), (F.contains(target, F.lit("_SINK_")) | F.contains(target, F.lit("_BOTH_"))).alias("is_sink"),
     )
 
@@ -173,7 +175,8 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
 
 def call_graph_json(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) of an adjacency document."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("src", "callees"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))  # one document or one a line
+    rows = rows.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("src", "callees"))
     return rows.select("src", F.explode("callees").alias("dst"))
 
 
@@ -223,7 +226,8 @@ def component_models(spark: SparkSession, path: str) -> DataFrame:
     """(package, name, kind, exported, actions) of component models in protobuf text."""
     rows = spark.read.text(path, wholetext=True)
     package = F.regexp_extract("value", r'(?m)^name: "([^"]+)"', 1)
-    parts = F.filter(F.split("value", r"(?m)^components \{"), lambda x: F.trim(x).startswith("name:"))
+    parts = F.split("value", r"(?m)^components \{")
+    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     each = rows.select(package.alias("package"), F.explode(parts).alias("c"))
     return each.select(
         "package", F.regexp_extract("c", r'name: "([^"]+)"', 1).alias("name"), F.regexp_extract("c", r"\n\s*kind: (ACTIVITY|SERVICE|RECEIVER|PROVIDER)", 1).alias("kind"),
@@ -233,9 +237,8 @@ def component_models(spark: SparkSession, path: str) -> DataFrame:
 
 def flow_results_xml(spark: SparkSession, path: str) -> DataFrame:
     """(sink_stmt, sink_ap, source_stmt, source_ap) of flow result documents."""
-    ap = "struct<_Value: string, _Type: string>"
-    end = f"_Statement string, _Method string, AccessPath {ap}"
-    schema = f"Sink struct<{end.replace(' string', ': string').replace('AccessPath ', 'AccessPath: ')}>, Sources struct<Source: array<struct<{end.replace(' string', ': string').replace('AccessPath ', 'AccessPath: ')}>>>"
+    end = "struct<_Statement: string, _Method: string, AccessPath: struct<_Value: string, _Type: string>>"
+    schema = f"Sink {end}, Sources struct<Source: array<{end}>>"
     rows = spark.read.format("xml").option("rowTag", "Result").schema(schema).load(path).select("Sink", F.explode("Sources.Source").alias("s"))
     return rows.select(F.col("Sink._Statement").alias("sink_stmt"), F.col("Sink.AccessPath._Value").alias("sink_ap"), F.col("s._Statement").alias("source_stmt"), F.col("s.AccessPath._Value").alias("source_ap"))
 
