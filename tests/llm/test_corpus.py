@@ -65,7 +65,10 @@ def test_classes_equal_brute_force(spark, how):
     assert neardup.classes(fixtures.empty(spark)).count() == 0
 
 
-def test_group_of_copies_around_one_text(spark):
+@pytest.mark.parametrize("few, items", [(24, 1 << 20), (2, 3000), (1000, 1 << 20)])
+def test_group_of_copies_around_one_text(spark, monkeypatch, few, items):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "BLOCK_ITEMS", items)
     rng = random.Random(11)
     words = fixtures.prose(rng, 150).split()
     rows = [(500, " ".join(words))]

@@ -13,10 +13,13 @@ similarity, verified on the sets themselves. Texts that share a band are compare
 1. each bucket links its members to its most central one, the one whose buckets are
    fullest, which costs no more than the bucket has members;
 2. pairs of a bucket that are still in different classes are compared one by one, after
-   one bit per coordinate has ruled out those that are far below the threshold.
+   one bit per coordinate has ruled out those that are far below the threshold: pairs of
+   small buckets by a join, pairs of full ones in blocks within tasks, which hand out
+   links alone.
 
-So a group of thousands of copies costs as many comparisons as it has members, and no
-candidate is dropped. With 32 bands of 4 coordinates a pair at the threshold of 0.8
+So a group of thousands of copies costs about as many comparisons as it has members, a
+group just below the threshold is still compared in full, no pairs of a group are shuffled
+and no candidate is dropped. With 32 bands of 4 coordinates a pair at the threshold of 0.8
 shares no band with probability 5e-8.
 
 Null texts count as empty; texts without words are alike and form one class. Equal
@@ -42,6 +45,10 @@ K, BANDS = 128, 32
 THRESHOLD = 0.8
 #: Bits that may differ between sketches of a pair at the threshold: expectation plus 4.5 deviations.
 _SLACK = 4.5
+#: Up to so many members a bucket's pairs are joined; fuller ones are compared within tasks.
+FEW = 24
+#: Shingles of a block of documents that one task compares with another block.
+BLOCK_ITEMS = 1 << 20
 #: Width of the first rank region; each further one is twice as wide.
 _UNIT = 2.0**-15
 _cdfs: dict[float, np.ndarray] = {}
@@ -185,11 +192,61 @@ def components(links: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("class_id")).distinct())
 
 
-def _near(a: str, b: str, threshold: float) -> str:
-    """SQL: sketches a and b differ in no more bits than a pair at the threshold may."""
+def most_bits(threshold: float) -> int:
+    """Bits in which sketches of a pair at the threshold may differ."""
     odds = (1 - threshold) / 2
-    most = math.ceil(K * odds + _SLACK * math.sqrt(K * odds * (1 - odds)))
-    return f"bit_count({a}.bits[0] ^ {b}.bits[0]) + bit_count({a}.bits[1] ^ {b}.bits[1]) <= {most}"
+    return math.ceil(K * odds + _SLACK * math.sqrt(K * odds * (1 - odds)))
+
+
+def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes among members (id, key, bits, c) of full buckets.
+
+    Buckets that share members make up one group, so that a pair is compared once. A group
+    is dealt into blocks of about BLOCK_ITEMS shingles, each pair of blocks is one task's
+    work, and only links leave it.
+    """
+    hub = members.groupBy("key").agg(F.min("id").alias("b"))
+    group = components(members.join(hub, "key").select(F.col("id").alias("a"), "b")).select("id", F.col("class_id").alias("group"))
+    rows = members.select("id", "bits", "c").distinct().join(group, "id").join(sets, "id")
+    share = rows.groupBy("group").agg(F.ceil(F.sum(F.size("items") + 1) / BLOCK_ITEMS).cast("int").alias("blocks"))
+    dealt = rows.join(share, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    most = most_bits(threshold)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(table):
+        ids, classes_, block = (table.column(n).to_numpy() for n in ("id", "c", "block"))
+        bits = np.stack(table.column("bits").to_numpy()).astype(np.int64)
+        sizes = np.fromiter(map(len, table.column("items").to_pylist()), np.int64, len(ids))
+        flat = table.column("items").combine_chunks().flatten().to_numpy()
+        words, local = np.unique(flat, return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+        mine, found = np.zeros(len(words), bool), []
+        for i in range(len(ids)):
+            near = np.bitwise_count(bits[i, 0] ^ bits[i + 1 :, 0]) + np.bitwise_count(bits[i, 1] ^ bits[i + 1 :, 1]) <= most
+            near &= classes_[i + 1 :] != classes_[i]
+            if across:
+                near &= block[i + 1 :] != block[i]
+            at = np.flatnonzero(near) + i + 1
+            if not len(at):
+                continue
+            own = local[starts[i] : starts[i] + sizes[i]]
+            mine[own] = True
+            for part in np.array_split(at, max(1, int(sizes[at].sum() >> 22))):  # bounded memory
+                size = sizes[part]
+                ends = np.cumsum(size)
+                picked = np.arange(ends[-1]) + np.repeat(starts[part] - (ends - size), size)
+                sums = np.concatenate([[0], np.cumsum(mine[local[picked]])])
+                both = sums[ends] - sums[ends - size]
+                either = sizes[i] + size - both
+                found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in part[both >= np.ceil(threshold * either - 1e-9)]]
+            mine[own] = False
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=schema)
+
+    return dealt.select("group", "x", "y", "id", "c", "bits", "block", "items").groupBy("group", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
 def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,12 +268,15 @@ def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float =
     first = components(links)
 
     placed = shared.join(first, "id", "left").select("id", "bits", "key", F.coalesce("class_id", "id").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    rest = placed.join(open_, "key")
-    pairs = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND x.c <> y.c AND {_near('x', 'y', threshold)}"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
+    rest = base.materialise(placed.join(open_, "key"), "rest")
+    few = rest.where(F.col("m") <= FEW)
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND x.c <> y.c AND bit_count(x.bits[0] ^ y.bits[0]) + bit_count(x.bits[1] ^ y.bits[1]) <= {most_bits(threshold)}"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(spokes, ["a", "b"], "left_anti")
-    late = base.materialise(_verified(pairs, sets, threshold), "links")
-    links = links.unionByName(late)
+    links = links.unionByName(base.materialise(_verified(pairs, sets, threshold), "links"))
+    many = rest.where(F.col("m") > FEW)
+    if not many.isEmpty():
+        links = links.unionByName(base.materialise(_compared(many, sets, threshold), "links"))
     found = components(links)
 
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
