@@ -57,6 +57,7 @@ def discovered(components: DataFrame, entries: DataFrame, calls: DataFrame, regi
     reachable; a component with more than cap callbacks is dropped, as its analysis would be.
     """
     edges = calls.select("src", "dst").unionByName(registrations.select(F.col("method").alias("src"), F.col("callback").alias("dst")))
+    edges = checkpointed(edges.distinct())
     start = entries.select(F.col("class").alias("component"), F.col("method").alias("node")).distinct()
     seen = frontier = checkpointed(start)
     for _ in range(max_rounds):
@@ -101,6 +102,7 @@ def side_effects(calls: DataFrame, direct: DataFrame) -> DataFrame:
 def static_uses(calls: DataFrame, uses: DataFrame) -> DataFrame:
     """(method, field): static fields that a method reads itself or through methods it calls."""
     seen = frontier = checkpointed(uses.select("method", "field").distinct())
+    calls = checkpointed(calls.select("src", "dst").distinct())
     while True:
         step = frontier.join(calls, frontier["method"] == calls["dst"]).select(F.col("src").alias("method"), "field").distinct()
         frontier = checkpointed(step.join(seen, ["method", "field"], "left_anti"))

@@ -20,6 +20,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, depth): nodes that edges lead to from the seeds (node), with the least number of steps."""
+    edges = checkpointed(edges.select("src", "dst").distinct())  # made once, not in every round
     frontier = checkpointed(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     seen, depth = frontier, 0
     while max_rounds is None or depth < max_rounds:
@@ -35,7 +36,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
 def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(src, dst, depth): all pairs connected by one or more edges, with the least number of steps."""
     seen = frontier = checkpointed(edges.select("src", "dst").distinct().withColumn("depth", F.lit(1)))
-    depth, hop = 1, edges.select(F.col("src").alias("dst"), F.col("dst").alias("next")).distinct()
+    depth, hop = 1, seen.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     while max_rounds is None or depth < max_rounds:
         depth += 1
         step = frontier.join(hop, "dst").select("src", F.col("next").alias("dst")).distinct()
@@ -58,7 +59,7 @@ def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int, emit_cycle
     kind is "complete"; with emit_cycles also "cyclic" for a path that would repeat its next
     node; "truncated" for one that still has edges at max_depth.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = checkpointed(edges.select("src", "dst").distinct())
     paths = checkpointed(starts.select(F.array("node").alias("path")).distinct())
     done = []
     for depth in range(max_depth + 1):
@@ -90,7 +91,7 @@ def caller_paths(edges: DataFrame, sinks: DataFrame, fanout: dict[int, int] | No
     fanout = {1: 5, 2: 3} if fanout is None else fanout
     calls = reversed_edges(edges).distinct()
     calls = calls.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dst")))
-    calls = calls.where(F.col("rank") <= max([default, *fanout.values()]))
+    calls = checkpointed(calls.where(F.col("rank") <= max([default, *fanout.values()])))
     paths, done = checkpointed(sinks.select(F.array("node").alias("path")).distinct()), []
     for depth in range(max_depth + 1):
         roots = paths.join(calls.select("src").distinct(), F.element_at("path", -1) == F.col("src"), "left_anti")
@@ -109,7 +110,7 @@ def bounded_walks(edges: DataFrame, starts: DataFrame, max_depth: int, visits: i
     """(start, path): walks that visit no node more than so many times, at most limit for each start, to nodes without edges."""
     from pyspark.sql import Window
 
-    edges = edges.select("src", "dst").distinct()
+    edges = checkpointed(edges.select("src", "dst").distinct())
     paths, done = checkpointed(starts.select(F.col("node").alias("start"), F.array("node").alias("path")).distinct()), []
     for _ in range(max_depth + 1):
         out = paths.join(edges, F.element_at("path", -1) == edges["src"], "left")
