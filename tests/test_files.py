@@ -103,3 +103,41 @@ def test_flow_xml_round_trip(spark, tmp_path):
 def test_broken_xml_is_noticed(spark, tmp_path):
     with pytest.raises(Exception):
         spark.read.format("xml").option("rowTag", "category").option("mode", "FAILFAST").schema("_id string, method array<string>").load(put(tmp_path, "b.xml", "<category id='a'><method></category>")).collect()
+
+
+def test_policies_and_categories(spark, tmp_path):
+    text = """<policy><assignables><assignable handle="h1"><source><parameter class="a.B" method="get()" parameter="0"/></source></assignable>
+    <assignable handle="h2"><sink><parameter class="a.C" method="put(int)" parameter="1"/></sink></assignable></assignables></policy>"""
+    rows = readers.rifl(spark, put(tmp_path, "p.xml", text))
+    assert {(r["handle"], r["kind"], r["class"], r["member"], r["param"]) for r in rows.collect()} == {("h1", "source", "a.B", "get()", 0), ("h2", "sink", "a.C", "put(int)", 1)}
+    writers.policy_xml(rows, str(tmp_path / "out"))
+    assert writers.same_results(readers.rifl(spark, str(tmp_path / "out")), rows)
+    lines = "<a.B: int get()> (NETWORK)\n<a.B: void put(int)> (LOG)\n"
+    found = readers.categorised_text(spark, put(tmp_path, "c.txt", lines), include=["NETWORK"]).collect()
+    assert [(r["sig"], r["category"]) for r in found] == [("<a.B: int get()>", "NETWORK")]
+
+
+def test_reports_and_merging(spark):
+    from trailhead.functions import text as t
+    from trailhead.operators import appgraph
+
+    item = "struct<kind: string, method: string, variable: string, operator: string, value: string, branch: boolean, text: string>"
+    schema = f"path_id string, target string, methods array<string>, constraints array<{item}>, metadata map<string, string>, valid boolean"
+    one = lambda value: ("SWITCH", "m", "v", "==", value, True, f"v=={value}")
+    rows = [("a", "t", ["x", "t"], [one("1")], {"k": "1", "l": "1"}, True), ("b", "t", ["y", "x", "t"], [one("1"), one("2"), one("1")], {"k": "2"}, True), ("c", "u", ["u"], [], {}, True)]
+    paths = spark.createDataFrame(rows, schema)
+    pairs = paths.alias("p").join(paths.alias("q"), F.expr("p.path_id = 'a' AND q.path_id <> 'a'"))
+    both = lambda n: F.struct(*[F.col(f"{n}.{c}") for c in ("path_id", "target", "methods", "constraints", "metadata")])
+    got = {r["other"]: r["m"] for r in pairs.select(F.col("q.path_id").alias("other"), appgraph.merged(both("p"), both("q")).alias("m")).collect()}
+    assert got["c"] is None and got["b"]["path_id"] == "a+b" and got["b"]["methods"] == ["x", "t", "y"] and not got["b"]["valid"]
+    assert len(got["b"]["constraints"]) == 2 and got["b"]["metadata"] == {"k": "2", "l": "1"}
+    text = {r["path_id"]: r["value"] for r in appgraph.described(paths).collect()}
+    assert text["b"].splitlines()[:3] == ["Target: t", "Valid: true", "Constraints: (v==1) AND (v==2) AND (v==1)"] and "  2. x" in text["b"]
+    sinks = spark.createDataFrame([("y",)], "node string")
+    assert [r["path_id"] for r in appgraph.contains_sink(paths.select("path_id", F.col("methods").alias("path")), sinks).collect()] == ["b"]
+    row = spark.range(1).select(t.bundle_type(F.lit("putString")), t.bundle_type(F.lit("putExtra")), t.bundle_type(F.lit("get")), t.component_label(F.lit("MyService")), appgraph.cyclic(F.array(F.lit(1), F.lit(1)))).first()
+    assert row[:] == ("String", "Object", None, "Service", True)
+    table = writers.constraint_csv(paths, "target").where("Method = 't'").first()
+    assert table[:] == ("t", 2, 2, 0, 2.0)
+    guide = spark.createDataFrame([("p", [("m", [1, 2]), ("n", [1])])], "path_id string, executions array<struct<method: string, blocks: array<int>>>")
+    assert writers.guidance(guide).first()["value"] == "{'entry': 'm', 'executions': [('m', 2), ('n', 1)]}"

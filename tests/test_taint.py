@@ -95,3 +95,9 @@ def test_entailed_facts_and_conditions(spark):
     assert kept((9, 1, "open", "Derived"), (9, 2, "open", "Other")) == [1, 2]
     assert kept((9, 1, "open", "Other"), (9, 2, "open", "Worse")) == []
     assert kept((9, 1, "close", "Derived")) == []
+
+
+def test_generated_summaries(spark):
+    stmts, cfg, params = program(spark)
+    rows = {(r["method"], r["from_param"], r["to"], r["fields"]) for r in taint.generated(stmts, cfg, params, taint.Rules(**RULES)).collect()}
+    assert rows == {("id", 0, "Return", ""), ("put", 1, "Parameter 0", "v"), ("again", 0, "Return", "")}

@@ -226,7 +226,30 @@ def flows(stmts: DataFrame, cfg: DataFrame, params: DataFrame, roots: DataFrame,
     roots is (method). Formal names are needed at calls only, so each method's rows carry
     those of its callees, found by one join.
     """
-    rules = rules or Rules()
+    entries = roots.select("method", F.lit(ZERO).alias("entry"))
+    hits, _ = _tabulated(stmts, cfg, params, entries, rules or Rules(), max_rounds)
+    parts = F.split("exit", r"\|")
+    return hits.select("method", F.col("stmt").alias("sink"), parts[0].cast("long").alias("source"), F.concat_ws(".", parts[1], F.nullif(parts[2], F.lit(""))).alias("fact")).distinct()
+
+
+def generated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, rules: Rules | None = None, max_rounds: int = 200) -> DataFrame:
+    """(method, from_param, to, fields): what each method does to its parameters, as summary flows.
+
+    Every formal enters as a source of its own; to is Return, Parameter i, Base, Exception or a
+    static's name. An entry fact that only stays where it is makes no flow.
+    """
+    formals = params.select("method", F.posexplode("names").alias("i", "name"))
+    entries = formals.select("method", F.concat(F.lit("p"), F.col("i").cast("string"), F.lit("|"), "name", F.lit("|")).alias("entry"))
+    _, exits = _tabulated(stmts, cfg, params, entries, rules or Rules(), max_rounds)
+    parts = F.split("exit", r"\|")
+    rows = exits.where("entry <> '0' AND startswith(exit, 'p')").select("method", parts[0].alias("source"), parts[1].alias("base"), parts[2].alias("fields"))
+    rows = rows.join(formals.select("method", F.col("name").alias("base"), F.col("i").alias("to_param")), ["method", "base"], "left")
+    to = F.when(F.col("base") == "@ret", "Return").when(F.col("base") == "@this", "Base").when(F.col("base") == "@exc", "Exception").when(F.col("to_param").isNotNull(), F.concat(F.lit("Parameter "), F.col("to_param").cast("string"))).otherwise(F.col("base"))
+    return rows.select("method", F.expr("substring(source, 2)").cast("int").alias("from_param"), to.alias("to"), "fields").distinct()
+
+
+def _tabulated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, entries: DataFrame, rules: Rules, max_rounds: int):
+    """Sinks reached (what, method, entry, exit, stmt) and summaries (method, entry, exit)."""
     # a method's whole program text as one row, with the formals of itself and its callees
     formals = params.select(F.col("method").alias("callee"), "names")
     body = stmts.groupBy("method").agg(F.array_sort(F.collect_list(F.struct("stmt", "kind", "lhs", "lhs_field", "rhs", "rhs_field", "callee", "base", "args", "type"))).alias("body"))
@@ -236,7 +259,7 @@ def flows(stmts: DataFrame, cfg: DataFrame, params: DataFrame, roots: DataFrame,
     program = checkpointed(body.join(edges, "method", "left").join(known, "method", "left"))
     uses = checkpointed(calls)
 
-    entries = checkpointed(roots.select("method", F.lit(ZERO).alias("entry")).distinct())
+    entries = checkpointed(entries.distinct())
     summaries = all_hits = None
     dirty = entries.select("method").distinct()
     for _ in range(max_rounds):
@@ -279,8 +302,7 @@ def flows(stmts: DataFrame, cfg: DataFrame, params: DataFrame, roots: DataFrame,
         dirty = checkpointed(dirty.join(entries.select("method").distinct(), "method", "left_semi"))
         if dirty.isEmpty():
             break
-    parts = F.split("exit", r"\|")
-    return all_hits.select("method", F.col("stmt").alias("sink"), parts[0].cast("long").alias("source"), F.concat_ws(".", parts[1], F.nullif(parts[2], F.lit(""))).alias("fact")).distinct()
+    return all_hits, summaries
 
 
 def without_entailed(found: DataFrame) -> DataFrame:

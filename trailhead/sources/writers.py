@@ -96,3 +96,25 @@ def guidance(paths: DataFrame) -> DataFrame:
     """(path_id, value): literal text that guides a symbolic executor: entry, methods and their block counts."""
     blocks = F.array_join(F.transform("executions", lambda e: F.concat(F.lit("('"), e["method"].cast("string"), F.lit("', "), F.size(e["blocks"]).cast("string"), F.lit(")"))), ", ")
     return paths.select("path_id", F.concat(F.lit("{'entry': '"), F.col("executions")[0]["method"].cast("string"), F.lit("', 'executions': ["), blocks, F.lit("]}")).alias("value"))
+
+
+def policy_xml(assignables: DataFrame, path: str) -> None:
+    """A policy document of assignables (handle, kind, class, member, param)."""
+    place = F.struct(F.col("class").alias("_class"), F.col("member").alias("_method"), F.col("param").cast("string").alias("_parameter"))
+    rows = assignables.groupBy("handle").agg(
+        F.collect_list(F.when(F.col("kind") == "source", F.struct(place.alias("parameter")))).alias("source"), F.collect_list(F.when(F.col("kind") == "sink", F.struct(place.alias("parameter")))).alias("sink")
+    )
+    rows.select(F.col("handle").alias("_handle"), "source", "sink").write.format("xml").option("rowTag", "assignable").option("rootTag", "assignables").mode("overwrite").save(path)
+
+
+def log_documents(interactions: DataFrame) -> DataFrame:
+    """(session, value): one JSON line for each interaction of a session, in order of time."""
+    return interactions.select("session", F.to_json(F.struct(*[c for c in interactions.columns if c != "session"])).alias("value"))
+
+
+def constraint_csv(paths: DataFrame, target: str) -> DataFrame:
+    """Method, Total, Valid, Invalid and AvgConstraints of each target of paths (valid, constraints)."""
+    made = paths.groupBy(F.col(target).alias("Method")).agg(
+        F.count("*").alias("Total"), F.count_if("valid").alias("Valid"), F.count_if(~F.col("valid")).alias("Invalid"), F.round(F.avg(F.size("constraints")), 2).alias("AvgConstraints")
+    )
+    return made
