@@ -172,14 +172,15 @@ def test_replay_equals_tiktoken(spark):
     assert END_ID not in ranks.values()
     library = tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     docs = fixtures.documents(spark)
+    texts = text_of(docs)
     for r in bpe.digests(docs, ranks, pattern).collect():
         if r["doc_id"] is not None:
-            ids = library.encode_ordinary(text_of(docs)[r["doc_id"]])
+            ids = library.encode_ordinary(texts[r["doc_id"]])
             assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            assert r["decoded_sha256"] == hashlib.sha256(text_of(docs)[r["doc_id"]].encode()).hexdigest()
+            assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
     assert bpe.digests(fixtures.empty(spark), ranks, pattern).count() == 0
     back = bpe.decoded(bpe.encoded(docs, ranks, pattern), ranks, pattern)
-    assert {r["doc_id"]: r["text"] for r in back.collect() if r["doc_id"] is not None} == text_of(docs)
+    assert {r["doc_id"]: r["text"] for r in back.collect() if r["doc_id"] is not None} == texts
 
 
 def test_replay_of_random_words_with_ties():
@@ -189,5 +190,5 @@ def test_replay_of_random_words_with_ties():
     vocab, rng = bpe.Vocabulary(ranks, pattern), random.Random(9)
     library = tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     texts = ["".join(rng.choice("aaabcdehinorst \n'.0é漢🙂") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
-    texts += ["a" * 3000, "ab" * 700, " " * 500]
+    texts += ["a" * 3000, "ab" * 700, " " * 500, "x" * 50_001, "=" * 9999, "aab" * 2000]
     assert [x.tolist() for x in vocab.encode(texts)] == [library.encode_ordinary(t) for t in texts]

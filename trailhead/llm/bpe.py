@@ -3,10 +3,11 @@
 The distinct words of a block of documents are laid out as one array of byte tokens with
 links between neighbours. An inverted index leads from each mergeable pair, by its rank,
 to the positions where it stands. The pair of least rank is taken from a heap; at all its
-positions, the first in each word, the pair becomes one token, and only the two
-neighbours' pairs are looked up anew and indexed. A pair of lower rank that a merge makes
-comes off the heap next, so each word sees its merges in just the order in which they
-would be made in it alone. Words are encoded once a block, however often they occur.
+positions, from the left and without overlap, the pair becomes one token, and only the two
+neighbours' pairs are looked up anew and indexed. Where a merge could make a pair of lower
+rank, only the first position in each word is merged at a time, and such a pair comes off
+the heap next; so each word sees its merges in just the order in which they would be made
+in it alone. Words are encoded once a block, however often they occur.
 
 Blocks are the batches of a task, bounded in bytes; nothing is shuffled. A vocabulary is
 read on the driver from a path that is a parameter and is never trained here.
@@ -58,6 +59,11 @@ class Vocabulary:
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.append(np.array(keys, np.int64)[order], np.int64(self.size) ** 2)
         self.made = np.append(np.array(made, np.int64)[order], _NONE)
+        # a token no pair of which has a lower rank than its own: all its merges in a word can be made at once
+        least = np.full(self.size, _NONE)
+        np.minimum.at(least, self.keys[:-1] // self.size, self.made[:-1])
+        np.minimum.at(least, self.keys[:-1] % self.size, self.made[:-1])
+        self.steady = least > np.arange(self.size)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids, _NONE where it can't be merged."""
@@ -65,6 +71,18 @@ class Vocabulary:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.made[at], _NONE)
 
+    def _lower(self, r: int, at: np.ndarray, ids, after, before, n: int) -> np.ndarray:
+        """Whether the merge at each position makes a pair below r, before or after its neighbours merge."""
+        gone = after[at]
+        beyond, prior = after[gone], before[at]
+        out = np.zeros(len(at), bool)
+        has = beyond < n
+        out[has] = self.pair_ranks(np.full(has.sum(), r), ids[beyond[has]]) < r
+        has = prior >= 0
+        left = np.where(np.concatenate(([False], gone[:-1] == prior[1:])), r, ids[np.maximum(prior, 0)])
+        out[has] |= self.pair_ranks(left[has], np.full(has.sum(), r)) < r
+        return out
+
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and how many ids each has."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -111,17 +129,24 @@ class Vocabulary:
         while heap:
             r = heapq.heappop(heap)
             found = index.pop(r)
-            at = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            at = np.unique(np.concatenate(found))
             at = at[alive[at] & (rank[at] == r)]
             if not len(at):
                 continue
             if len(at) > 1:
-                own = word[at]
-                later = np.concatenate(([False], own[1:] == own[:-1]))
-                if later.any():  # the first in each word now, the others next
-                    index[r] = [at[later]]
-                    heapq.heappush(heap, r)
-                    at = at[~later]
+                # of pairs in a row that overlap, every second one is left over
+                new = np.concatenate(([True], after[at[:-1]] != at[1:]))
+                first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+                every, at = at, at[(np.arange(len(at)) - first) % 2 == 0]
+                if not self.steady[r]:
+                    wait = self._lower(r, at, ids, after, before, n)
+                    if wait.any():  # in words where a lower pair may come up, the first now, the others next
+                        own = word[at]
+                        later = np.concatenate(([False], own[1:] == own[:-1])) & np.isin(own, own[wait])
+                        if later.any():
+                            index[r] = [every[np.isin(word[every], own[wait])]]
+                            heapq.heappush(heap, r)
+                            at = at[~later]
             gone = after[at]
             ids[at] = r
             alive[gone] = False
