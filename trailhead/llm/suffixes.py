@@ -4,18 +4,17 @@ A sparse suffix array holds the suffixes that begin at minimisers: the least has
 KEY-word runs in each window of MIN_WORDS words. The choice depends on content alone, so
 two occurrences of a passage of MIN_WORDS words keep the same suffix of it. Then
 
-1. suffixes are sorted by their first KEY words (Spark's aggregation does it by hash) and
-   compared with their neighbours: a suffix stays if another document has one that
-   begins alike;
+1. suffixes are sorted by their first KEY words and compared with their neighbours: a
+   suffix stays if another document has one that begins alike;
 2. each that stays is extended to the left and to the right, to all runs of MIN_WORDS
-   words whose minimiser it is; runs are compared in the same way, by 64-bit hashes of
-   all their words;
+   words whose minimiser it is; runs are compared by 64-bit hashes of all their words;
 3. runs that also stand in a document of smaller doc_id are merged into spans.
 
 Every run of MIN_WORDS words has one minimiser, so no repeat is missed, and overlapping
-runs make up passages of any length. Both comparisons are aggregations that combine
-before they shuffle, followed by a join that Spark may split, so a passage that a third
-of all documents share does not weigh on one task. Equal texts are compared once.
+runs make up passages of any length. The sort spreads a key that many documents have over
+ranges; runs are compared by an aggregation that combines before it shuffles and a join
+that Spark may split, so a passage that a third of all documents share does not weigh on
+one task. Equal texts are compared once.
 
 A word is a run of characters other than ASCII white space. Offsets are code points. Null
 texts count as empty; texts of fewer words than MIN_WORDS have no spans. Rows with equal
@@ -82,6 +81,42 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return base.arrow_map(rows, run, "doc_id long, text_key binary, n_words long, low long, high long, keys array<long>, places array<int>")
 
 
+def _neighbours(suffixes: DataFrame) -> DataFrame:
+    """(doc_id, place) of suffixes (doc_id, key, place) that begin like one of another document.
+
+    Suffixes are sorted into ranges and each is compared with its neighbours. The first and
+    the last key of a range may go on in the next one and stay unseen; that only costs the
+    extension of a few more, and a key that many documents have is spread over ranges.
+    """
+    parts = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ("key", "doc_id", "place")
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32())])
+
+    def run(batches):
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32))  # the last key so far, while it has one document
+        stays, first = None, True  # the key that is known to stay
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc, place = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            shared = doc[starts] != doc[ends - 1]
+            shared[0] |= first or (stays is not None and key[0] == stays)
+            first, open_ = False, len(key)
+            stays = key[-1] if shared[-1] else None
+            if stays is None:
+                open_ = starts[-1]
+            held = key[open_:], doc[open_:], place[open_:]
+            out = np.repeat(shared, ends - starts)[:open_]
+            yield base.batch_of({"doc_id": doc[:open_][out], "place": place[:open_][out]}, schema)
+        if len(held[0]):
+            yield base.batch_of({"doc_id": held[1], "place": held[2]}, schema)
+
+    ranged = suffixes.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return base.arrow_map(ranged, run, "doc_id long, place int")
+
+
 def _extended(texts: DataFrame) -> DataFrame:
     """Hashes and extents of the runs of words around the suffixes that stay."""
     schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.int64())), ("lows", pa.list_(pa.int32())), ("highs", pa.list_(pa.int32()))])
@@ -137,14 +172,14 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     zipped = texts.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("s"))
     suffixes = zipped.select("doc_id", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
-    stay = suffixes.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    places = suffixes.join(stay, "key").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = _neighbours(suffixes).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"))
     runs = base.materialise(_extended(rows.join(places, "doc_id").select("doc_id", "text", "places")), "runs")
 
     each = runs.select("doc_id", F.explode(F.arrays_zip("runs", "lows", "highs")).alias("r"))
     each = each.select("doc_id", F.col("r.runs").alias("run"), F.col("r.lows").alias("low"), F.col("r.highs").alias("high"))
     first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
+    first = base.materialise(first, "first")  # read back, both sides of the join are shuffled for it, and Spark may split a hot run
     again = each.join(first, "run").where("doc_id > first")
     grouped = again.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "first")).alias("found"))
     return _merged(grouped).unionByName(copies)
