@@ -204,6 +204,21 @@ def test_conflicts_stay_apart():
             assert sum(items[i][1] == source for i in b) <= allowed
 
 
+def test_hot_source_stays_apart_in_any_block():
+    rng = random.Random(9)
+    items = [(rng.randint(1, 40), "hot" if i % 3 == 0 else f"s{rng.randint(0, 20)}", rng.choice([None, *range(30)])) for i in range(600)]
+    for part in (items, items[:100], items[::3]):  # a task's block doesn't matter
+        bins = packing.best_fit_apart(part, 100)
+        assert sorted(i for b in bins for i in b) == list(range(len(part)))
+        for b in bins:
+            assert sum(part[i][0] for i in b) <= 100
+            for kind in (1, 2):
+                held = [part[i][kind] for i in b if part[i][kind] is not None]
+                assert len(held) == len(set(held))
+        assert len(bins) >= sum(i[1] == "hot" for i in part)
+    assert packing.best_fit_apart([], 100) == []
+
+
 def test_packing_apart_places_every_token(spark):
     ranks, pattern = ranks_and_pattern()
     docs = fixtures.documents(spark)

@@ -8,13 +8,11 @@ nothing.
 ``pack`` finds the tightest bin by a segment tree over residual capacities: a node holds
 whether any bin below it is open, and a descent leads to the least residual that suffices.
 
-``pack_apart`` keeps bins in order of their residuals with bitmaps of the sources and the
-duplicate clusters they hold. The successor search goes from the tightest bin upwards
-until one has neither in common with the document. A source has as many bits as its share
-of the block calls for (twice its mean number of documents in a bin), so that a source
-with a third of all documents is spread out and not each of its documents opens a bin;
-a cluster has one bit, so no two documents of it are in one bin. Documents without source
-or cluster (null) conflict with none.
+``pack_apart`` puts a document into the tightest bin that suffices and holds neither its
+source nor its duplicate cluster, and opens a bin where there is none: no bin has two
+pieces of one source or of one cluster, whatever their shares and however the input is
+split. So there are at least as many bins as pieces of the most frequent source. Documents
+without source or cluster (null) conflict with none.
 
 Null texts count as empty; an empty text has just the end mark in ``pack`` and a piece of
 length 0 is not placed in ``pack_apart`` unless marks are counted (they are, by default).
@@ -23,8 +21,6 @@ Repeated rows are packed each. An empty table gives an empty table.
 
 from __future__ import annotations
 
-import bisect
-import math
 from collections import Counter
 
 import numpy as np
@@ -165,50 +161,34 @@ def matrices(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def best_fit_apart(items: list[tuple], size: int) -> list[list[int]]:
-    """Bins as lists of numbers of items (length, source, cluster), no bin with two of a source's bit or of a cluster."""
-    total = sum(i[0] for i in items)
-    mean = len(items) / max(1, math.ceil(total / size))
-    sources = Counter(i[1] for i in items if i[1] is not None)
-    clusters = Counter(i[2] for i in items if i[2] is not None)
-    first, width = {}, {}
-    for source in sources:
-        first[source] = sum(width.values())
-        width[source] = max(1, math.ceil(2 * mean * sources[source] / len(items)))
-    bit = {c: 1 << i for i, c in enumerate(c for c, n in clusters.items() if n > 1)}
-    turn: Counter = Counter()
-    order: list[int] = []  # residuals of open bins, ascending, and their bins in the same order
-    open_: list[int] = []
-    source_bits: list[int] = []
-    cluster_bits: list[int] = []
+    """Bins as lists of numbers of items (length, source, cluster), no bin with two of a source or of a cluster."""
+    keys = [[(kind, item[kind]) for kind in (1, 2) if item[kind] is not None] for item in items]
+    held = {key: np.empty(n, np.int64) for key, n in Counter(k for own in keys for k in own).items()}
+    taken = dict.fromkeys(held, 0)  # so many bins hold a source or a cluster, their numbers are in held
+    residuals = np.empty(len(items), np.int64)
     bins: list[list[int]] = []
     for item in sorted(range(len(items)), key=lambda i: (-items[i][0], i)):
-        length, source, cluster = items[item]
-        mine, group = 0, bit.get(cluster, 0)
-        if source is not None:
-            mine = 1 << first[source] + turn[source] % width[source]
-            turn[source] += 1
-        at = bisect.bisect_left(order, length)
-        while at < len(open_) and (source_bits[open_[at]] & mine or cluster_bits[open_[at]] & group):
-            at += 1
-        if at < len(open_):
-            residual, chosen = order.pop(at), open_.pop(at)
-        else:
-            residual, chosen = size, len(bins)
+        length, chosen = items[item][0], len(bins)
+        if chosen:
+            left = residuals[:chosen].copy()
+            left[left < length] = size + 1
+            for key in keys[item]:
+                left[held[key][: taken[key]]] = size + 1
+            tightest = int(left.argmin())
+            chosen = tightest if left[tightest] <= size else chosen
+        if chosen == len(bins):
             bins.append([])
-            source_bits.append(0)
-            cluster_bits.append(0)
+            residuals[chosen] = size
         bins[chosen].append(item)
-        source_bits[chosen] |= mine
-        cluster_bits[chosen] |= group
-        if residual > length:
-            to = bisect.bisect_left(order, residual - length)
-            order.insert(to, residual - length)
-            open_.insert(to, chosen)
+        residuals[chosen] -= length
+        for key in keys[item]:
+            held[key][taken[key]] = chosen
+            taken[key] += 1
     return bins
 
 
 def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source", cluster=None) -> DataFrame:
-    """Bins of documents' pieces that share neither a source's bit nor a duplicate cluster.
+    """Bins of documents' pieces that share neither a source nor a duplicate cluster.
 
     cluster is a column of docs (default: the hash of the text, so that exact copies are
     apart). A row has bin_id, used, capacity, and by piece doc_ids, doc_starts, lengths
