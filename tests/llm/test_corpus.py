@@ -229,6 +229,22 @@ def test_packing_apart_places_every_token(spark):
     assert packing.pack_apart(fixtures.empty(spark), ranks, pattern).count() == 0
 
 
+def test_near_copies_stay_apart(spark, tmp_path):
+    """The query itself: near copies of one text, exact copies with and without doc_id, each in a bin of its own."""
+    from trailhead.llm.queries import op10_conflict_packing
+
+    rng = random.Random(21)
+    words = fixtures.prose(rng, 120).split()
+    near = [" ".join([*words[:i], f"new{i}", *words[i + 1 :]]) for i in range(0, 60, 5)]
+    rows = [(i, t, f"s{i}") for i, t in enumerate([*near, near[0]])] + [(None, near[0], "x")] + [(100 + i, fixtures.prose(rng, 40), f"o{i}") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    bins = op10_conflict_packing(spark, str(tmp_path)).collect()
+    placed = [(d, s) for r in bins for d, s in zip(r["doc_ids"], r["sources"], strict=True)]
+    assert sorted(placed, key=str) == sorted([(r[0], r[2]) for r in rows], key=str)
+    for r in bins:
+        assert sum(d is None or d < 100 for d in r["doc_ids"]) <= 1 and len(r["clusters"]) == len(set(r["clusters"]))
+
+
 # -- archives
 
 

@@ -249,8 +249,8 @@ def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     return dealt.select("group", "x", "y", "id", "c", "bits", "block", "items").groupBy("group", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class) and the number of verified links of the text."""
+def _classed(docs: DataFrame, sketch: Callable, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and text_key, class_id and n_links of each text."""
     made = base.materialise(_sketched(docs, sketch), "sketches")
     # texts that occur once or often: one node each, named by the least doc_id
     nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
@@ -284,9 +284,20 @@ def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float =
         nodes.select("text_key", "id").join(found, "id", "left").join(ends, "id", "left")
         .select("text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     )
+    return made, named
+
+
+def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class) and the number of verified links of the text."""
+    made, named = _classed(docs, sketch, threshold)
     return made.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "n_links")
 
 
+def text_classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
+    """text_key (MD5 of the text) and class_id of each text."""
+    return _classed(docs, sketch, threshold)[1].select("text_key", "class_id")
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class stays, that of the least doc_id, with all its columns.
 

@@ -187,12 +187,30 @@ def best_fit_apart(items: list[tuple], size: int) -> list[list[int]]:
     return bins
 
 
-def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source", cluster=None) -> DataFrame:
-    """Bins of documents' pieces that share neither a source nor a duplicate cluster.
+def counted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, source: str = "source", cluster=None) -> DataFrame:
+    """doc_id, length in tokens with an end mark, source, cluster and the key of the text of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("length", pa.int64()), ("source", pa.string()), ("cluster", pa.int64()), ("text_key", pa.binary())])
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def run(batches):
+        encode = tokenizer(*sent.value)
+        for batch in batches:
+            lengths = [len(encode(text)) + 1 for text in batch.column(1).to_pylist()]
+            yield base.batch_of({"length": lengths} | {n: batch.column(n) for n in schema.names if n != "length"}, schema)
 
-    cluster is a column of docs (default: the hash of the text, so that exact copies are
-    apart). A row has bin_id, used, capacity, and by piece doc_ids, doc_starts, lengths
-    (in tokens, an end mark included) and sources.
+    text = base.text_or_empty()
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(source).cast("string").alias("source"),
+        (F.xxhash64(text) if cluster is None else cluster.cast("long")).alias("cluster"), F.unhex(F.md5(text)).alias("text_key"),
+    )
+    return base.arrow_map(rows, run, "doc_id long, length long, source string, cluster long, text_key binary")
+
+
+def apart(rows: DataFrame, size: int = LENGTH) -> DataFrame:
+    """Bins of the pieces of rows (doc_id, length, source, cluster) that share neither a source nor a cluster.
+
+    A row has bin_id, used, capacity, and by piece doc_ids, doc_starts, lengths (in tokens,
+    an end mark included), sources and clusters.
     """
     schema = pa.schema(
         [
@@ -200,10 +218,8 @@ def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int
             ("lengths", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("clusters", pa.list_(pa.int64())),
         ]
     )
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches):
-        encode = tokenizer(*sent.value)
         part, made = TaskContext.get().partitionId(), 0
 
         def packed(block):
@@ -221,19 +237,31 @@ def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int
 
         block, held = [], 0
         for batch in batches:
-            for doc, text, source_, cluster_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block.append((doc, len(encode(text)) + 1, source_, cluster_))
-                held += block[-1][1]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block.append(row)
+                held += row[1]
                 if held >= BLOCK_TOKENS:
                     yield packed(block)
                     block, held = [], 0
         if block:
             yield packed(block)
 
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"), F.col(source).cast("string").alias("source"),
-        (F.xxhash64(base.text_or_empty()) if cluster is None else cluster.cast("long")).alias("cluster"),
-    )
     return base.arrow_map(
-        rows, run, "bin_id long, used int, capacity int, doc_ids array<long>, doc_starts array<long>, lengths array<int>, sources array<string>, clusters array<long>"
-    )
+        rows.select("doc_id", "length", "source", "cluster"), run,
+        "bin_id long, used int, capacity int, doc_ids array<long>, doc_starts array<long>, lengths array<int>, sources array<string>, clusters array<long>",
+    )
+
+
+def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source", cluster=None) -> DataFrame:
+    """Bins of documents' pieces as in ``apart``; cluster is a column of docs (default: the hash of the text, so that exact copies are apart)."""
+    return apart(counted(docs, ranks, pattern, source, cluster), size)
+
+
+def pack_classes_apart(docs: DataFrame, named: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source") -> DataFrame:
+    """Bins as in ``apart`` with the class of a text in named (text_key, class_id) as its cluster, the hash of the text where it has none.
+
+    No texts are shuffled; rows are dealt anew after the join, so that a class is spread over blocks.
+    """
+    rows = counted(docs, ranks, pattern, source).join(named, "text_key", "left")
+    rows = rows.withColumn("cluster", F.coalesce("class_id", "cluster")).repartition(F.xxhash64("doc_id", "text_key"))
+    return apart(rows, size)
