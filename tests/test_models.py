@@ -178,3 +178,34 @@ def test_repeated_batches_append_nothing_twice(spark, tmp_path):
         rows = spark.readStream.schema("app_id string").parquet(str(tmp_path / "in"))
         streams.resumable(rows, str(tmp_path / "done")).option("checkpointLocation", str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r["app_id"] for r in spark.read.parquet(str(tmp_path / "done")).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("limit", [100, 5, None])
+def test_paths_run_to_their_natural_end(spark, limit):
+    pairs = [(1, 2), (2, 3), (3, 2), (3, 4), (4, 5), (5, 6), (6, 7), (7, 8), (4, 9), (9, 10), (10, 9), (2, 11), (11, 8)]  # 9 and 10 lead to no end
+    succ = {}
+    for u, v in pairs:
+        succ.setdefault(u, []).append(v)
+    edges, starts = spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(1,), (3,), (8,), (9,)], "node long")
+    whole, simple, cyclic = [], set(), set()
+
+    def walk(path, visits):
+        if path[-1] not in succ:
+            (whole.append if visits == 2 else simple.add)(tuple(path))
+        for v in succ.get(path[-1], ()):
+            if path.count(v) < visits:
+                walk([*path, v], visits)
+            elif visits == 1:
+                cyclic.add(tuple(path))
+
+    for start in (1, 3, 8, 9):
+        walk([start], 2)
+        walk([start], 1)
+    wanted = set()
+    for start in (1, 3, 8, 9):
+        wanted |= set(sorted((p for p in whole if p[0] == start), key=lambda p: (len(p), [f"{x:012}" for x in p]))[:limit])
+    found = recursion.bounded_walks(edges, starts, limit=limit).collect()
+    assert sorted((r["start"], tuple(r["path"])) for r in found) == sorted((p[0], p) for p in wanted) and max(map(len, whole)) > 8
+    if limit == 100:
+        rows = {(tuple(r["path"]), r["kind"]) for r in recursion.simple_paths(edges, starts, emit_cycles=True).collect()}
+        assert rows == {(p, "complete") for p in simple} | {(p, "cyclic") for p in cyclic}

@@ -8,6 +8,8 @@ planner does that where sizes allow.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,16 +55,17 @@ def _grown(paths: DataFrame, edges: DataFrame, cap=None) -> DataFrame:
     return out if cap is None else out.where(F.col("rank") <= cap)
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int, emit_cycles: bool = False, min_nodes: int = 1) -> DataFrame:
+def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, emit_cycles: bool = False, min_nodes: int = 1) -> DataFrame:
     """(path, kind): walks without repeated nodes from the starts (node) to a node without edges.
 
     kind is "complete"; with emit_cycles also "cyclic" for a path that would repeat its next
-    node; "truncated" for one that still has edges at max_depth.
+    node; "truncated" for one that still has edges at max_depth. Without max_depth all paths
+    are followed to their end.
     """
     edges = checkpointed(edges.select("src", "dst").distinct())
     paths = checkpointed(starts.select(F.array("node").alias("path")).distinct())
     done = []
-    for depth in range(max_depth + 1):
+    for depth in itertools.count():
         # one pass: a path without successors has a null
         out = paths.join(edges, F.element_at("path", -1) == edges["src"], "left")
         done.append(out.where("dst IS NULL").select("path", F.lit("complete").alias("kind")))
@@ -106,17 +109,34 @@ def caller_paths(edges: DataFrame, sinks: DataFrame, fanout: dict[int, int] | No
     return found
 
 
-def bounded_walks(edges: DataFrame, starts: DataFrame, max_depth: int, visits: int = 2, limit: int | None = 100) -> DataFrame:
-    """(start, path): walks that visit no node more than so many times, at most limit for each start, to nodes without edges."""
+def bounded_walks(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, visits: int = 2, limit: int | None = 100) -> DataFrame:
+    """(start, path): walks that visit no node more than so many times, at most limit for each start, to nodes without edges.
+
+    Shorter walks come first, so a start is done with the step that fills its limit, and
+    nodes that lead to no end are not entered. Without max_depth walks are followed to their
+    end; with it, longer ones are left out.
+    """
     from pyspark.sql import Window
 
     edges = checkpointed(edges.select("src", "dst").distinct())
+    sources = checkpointed(edges.select("src").distinct())
+    ends = edges.join(sources.select(F.col("src").alias("dst")), "dst", "left_anti").select(F.col("dst").alias("node"))
+    leads = reachable(reversed_edges(edges), ends).select(F.col("node").alias("dst"))
+    steps = checkpointed(edges.join(leads, "dst", "left_semi").select("src", "dst"))
     paths, done = checkpointed(starts.select(F.col("node").alias("start"), F.array("node").alias("path")).distinct()), []
-    for _ in range(max_depth + 1):
-        out = paths.join(edges, F.element_at("path", -1) == edges["src"], "left")
-        done.append(out.where("dst IS NULL").select("start", "path"))
-        fits = F.size(F.filter("path", lambda x: x == F.col("dst"))) < visits
-        paths = checkpointed(out.where("dst IS NOT NULL").where(fits).select("start", F.concat("path", F.array("dst")).alias("path")))
+    counts = None
+    for depth in itertools.count():
+        last = F.element_at("path", -1)
+        done.append(checkpointed(paths.join(sources, last == sources["src"], "left_anti").select("start", "path")))
+        if depth == max_depth:
+            break
+        if limit is not None:
+            more = done[-1].groupBy("start").agg(F.count("*").alias("n"))
+            counts = checkpointed(more if counts is None else counts.unionByName(more).groupBy("start").agg(F.sum("n").alias("n")))
+            paths = paths.join(counts.where(F.col("n") >= limit).select("start"), "start", "left_anti")
+        fits = F.size("path") - F.size(F.array_remove("path", F.col("dst"))) < visits
+        grown = paths.join(steps, last == steps["src"]).where(fits)
+        paths = checkpointed(grown.select("start", F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
             break
     found = done[0]

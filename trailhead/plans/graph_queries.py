@@ -95,7 +95,7 @@ def paths_to_leaves(spark, sf):
     + ", back AS (SELECT dst AS src, src AS dst FROM edge_cyc)" + _simple("back", "SELECT node FROM sinks", 2, True)
 )
 def reach_paths_with_cycles(spark, sf):
-    """Backward paths that report a repeated caller as a cyclic path."""
+    """Backward paths that report a repeated caller as a cyclic path, two steps deep."""
     back = recursion.reversed_edges(b.edges_cyc(spark, sf))
     return recursion.simple_paths(back, b.sinks(spark, sf), 2, emit_cycles=True).select(_text().alias("path"), "kind")
 
@@ -108,7 +108,7 @@ def reach_paths_with_cycles(spark, sf):
     SELECT start, array_to_string(path, '>') AS path FROM ranked WHERE rank <= 100"""
 )
 def bounded_walks(spark, sf):
-    """Walks of at most two visits a node, 100 for each start."""
+    """Walks of at most two steps and two visits a node, 100 for each start; longer ones are left out."""
     return recursion.bounded_walks(b.edges(spark, sf), b.sinks(spark, sf), 2).select("start", _text().alias("path"))
 
 
