@@ -209,3 +209,14 @@ def test_paths_run_to_their_natural_end(spark, limit):
     if limit == 100:
         rows = {(tuple(r["path"]), r["kind"]) for r in recursion.simple_paths(edges, starts, emit_cycles=True).collect()}
         assert rows == {(p, "complete") for p in simple} | {(p, "cyclic") for p in cyclic}
+
+
+def test_responses_are_parsed_from_whole_texts(spark, tmp_path):
+    import trailhead.plans.catalog as catalog
+
+    prompt, answer = "p" * 300 + " the end of the prompt", "a" * 300 + "\nBOOLEAN_CONSTRAINT_END beyond"
+    rows = [(1, 0, "user", prompt), (1, 1, "assistant", answer), (2, 0, "user", prompt)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["conv_id"]: r for r in catalog.queries()["structured_responses_whole"](spark, str(tmp_path)).collect()}
+    assert (found[1]["format1"], found[1]["format3"]) == ("a" * 300, prompt)
+    assert (found[2]["format1"], found[2]["format3"]) == ("unknown_condition", prompt)
