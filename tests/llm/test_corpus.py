@@ -96,6 +96,18 @@ def test_one_of_each_keeps_columns_and_null_ids(spark):
     assert out.where("doc_id IS NULL").count() == 2
 
 
+def test_near_copies_without_ids_are_linked_and_reduced(spark):
+    rng = random.Random(31)
+    one, two = fixtures.prose(rng, 120).split(), fixtures.prose(rng, 120).split()
+    near = lambda words, at: " ".join([*words[:at], f"new{at}", *words[at + 1 :]])
+    rows = [(7, " ".join(one))] + [(None, near(one, at)) for at in (0, 119)] + [(None, near(two, at)) for at in (0, 0, 60, 119)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r["class_id"] for r in neardup.classes(docs).collect()]
+    assert len(found) == 7 and len(set(found)) == 2 and found.count(7) == 3
+    out = neardup.one_of_each(docs).collect()
+    assert [r["doc_id"] for r in out].count(7) == 1 and len(out) == 3  # of rows without doc_id one of each class
+
+
 # -- repeats
 
 

@@ -141,8 +141,13 @@ def _sketched(docs: DataFrame, sketch: Callable) -> DataFrame:
     return base.arrow_map(rows, run, "doc_id long, text_key binary, keys array<long>, bits array<long>")
 
 
+def _own_id(text_key):
+    """The node of a text that no row with a doc_id has; above all doc_ids, so that these name the classes."""
+    return F.lit(1 << 62) + F.abs(F.xxhash64(text_key) % (1 << 62))
+
+
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingle sets of the documents in ids, as sorted 32-bit hashes."""
+    """Shingle sets of the nodes in ids (doc_ids, or those of texts without one), as sorted 32-bit hashes."""
     schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -150,7 +155,9 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             made = [np.unique((shingles.shingles(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
             yield base.batch_of({"id": batch.column(0), "items": made}, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), base.text_or_empty().alias("text")).join(ids, "id", "left_semi")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), base.text_or_empty().alias("text"))
+    unnamed = rows.where("id IS NULL").select(_own_id(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"])
+    rows = rows.where("id IS NOT NULL").unionByName(unnamed).join(ids, "id", "left_semi")
     return base.arrow_map(rows, run, "id long, items array<int>")
 
 
@@ -254,7 +261,7 @@ def _classed(docs: DataFrame, sketch: Callable, threshold: float) -> tuple[DataF
     made = base.materialise(_sketched(docs, sketch), "sketches")
     # texts that occur once or often: one node each, named by the least doc_id
     nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    nodes = nodes.withColumn("id", F.coalesce("id", -2 - F.abs(F.xxhash64("text_key") % (1 << 62))))
+    nodes = nodes.withColumn("id", F.coalesce("id", _own_id(F.col("text_key"))))
     rows = nodes.select("id", "bits", F.explode("keys").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = base.materialise(rows.join(full, "key"), "buckets")
@@ -301,9 +308,14 @@ def text_classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: flo
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class stays, that of the least doc_id, with all its columns.
 
-    Of rows that share a doc_id one stays; of rows without doc_id one of each distinct text.
+    Of rows that share a doc_id one stays; of rows without doc_id one of each class, beside
+    the one that has a doc_id.
     """
-    found = classes(docs, dart_sketch, threshold)
+    made, named = _classed(docs, dart_sketch, threshold)
+    found = made.select("doc_id", "text_key").join(named, "text_key")
     stays = found.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    rows = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    key = base.fresh(docs, "text_key")
+    least = found.where("doc_id IS NULL").groupBy("class_id").agg(F.min("text_key").alias(key)).select(key)
+    unnamed = docs.where("doc_id IS NULL").withColumn(key, F.unhex(F.md5(base.text_or_empty()))).dropDuplicates([key])
+    return rows.unionByName(unnamed.join(least, key, "left_semi").select(*docs.columns))
