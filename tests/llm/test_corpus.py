@@ -108,6 +108,18 @@ def test_near_copies_without_ids_are_linked_and_reduced(spark):
     assert [r["doc_id"] for r in out].count(7) == 1 and len(out) == 3  # of rows without doc_id one of each class
 
 
+def test_edges_are_distinct_links_that_span_the_classes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 3)
+    rng = random.Random(41)
+    words = fixtures.prose(rng, 150).split()
+    rows = [(i, " ".join([f"new{i}x{w}" if rng.random() < 0.02 else w for w in words])) for i in range(40)]
+    sets = {i: shingle_set(t) for i, t in rows}
+    similar = {i: sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9 for j in sets if j != i and sets[i] != sets[j]) for i in sets}
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.columns == ["doc_id", "class_id", "n_edges"]
+    assert all(r["n_edges"] <= similar[r["doc_id"]] for r in found.collect())
+
+
 # -- repeats
 
 

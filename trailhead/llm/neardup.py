@@ -257,7 +257,7 @@ def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
 
 def _classed(docs: DataFrame, sketch: Callable, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows, and text_key, class_id and n_links of each text."""
+    """The sketched rows, and text_key, class_id and n_edges of each text."""
     made = base.materialise(_sketched(docs, sketch), "sketches")
     # texts that occur once or often: one node each, named by the least doc_id
     nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
@@ -286,18 +286,18 @@ def _classed(docs: DataFrame, sketch: Callable, threshold: float) -> tuple[DataF
         links = links.unionByName(base.materialise(_compared(many, sets, threshold), "links"))
     found = components(links)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    ends = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
     named = (
         nodes.select("text_key", "id").join(found, "id", "left").join(ends, "id", "left")
-        .select("text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        .select("text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
     )
     return made, named
 
 
 def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class) and the number of verified links of the text."""
+    """doc_id, class_id (least doc_id of the class) and n_edges, the text's edges among the verified links that span its class."""
     made, named = _classed(docs, sketch, threshold)
-    return made.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "n_links")
+    return made.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "n_edges")
 
 
 def text_classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
