@@ -120,6 +120,14 @@ def test_edges_are_distinct_links_that_span_the_classes(spark, monkeypatch):
     assert all(r["n_edges"] <= similar[r["doc_id"]] for r in found.collect())
 
 
+def test_filter_of_bits_loses_less_than_the_bands():
+    import math
+
+    most, odds = neardup.most_bits(0.8), 0.1
+    lost = sum(math.comb(neardup.K, i) * odds**i * (1 - odds) ** (neardup.K - i) for i in range(most + 1, neardup.K + 1))
+    assert lost < (1 - 0.8 ** (neardup.K // neardup.BANDS)) ** neardup.BANDS
+
+
 # -- repeats
 
 

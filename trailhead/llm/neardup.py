@@ -18,9 +18,10 @@ similarity, verified on the sets themselves. Texts that share a band are compare
    links alone.
 
 So a group of thousands of copies costs about as many comparisons as it has members, a
-group just below the threshold is still compared in full, no pairs of a group are shuffled
-and no candidate is dropped. With 32 bands of 4 coordinates a pair at the threshold of 0.8
-shares no band with probability 5e-8.
+group just below the threshold is still compared in full and no pairs of a group are
+shuffled. With 32 bands of 4 coordinates a pair at the threshold of 0.8 shares no band with
+probability 4.7e-8; one that only the second pass would link is ruled out by its bits with
+probability 2.5e-8, so such a pair is lost with 7.2e-8 at most.
 
 Null texts count as empty; texts without words are alike and form one class. Equal
 texts, also in repeated rows, are in one class. Rows that share a doc_id share a class.
@@ -43,8 +44,8 @@ from trailhead.llm import base, shingles
 
 K, BANDS = 128, 32
 THRESHOLD = 0.8
-#: Bits that may differ between sketches of a pair at the threshold: expectation plus 4.5 deviations.
-_SLACK = 4.5
+#: Bits that may differ between sketches of a pair at the threshold: expectation plus 6 deviations, which one of 4e7 exceeds.
+_SLACK = 6.0
 #: Up to so many members a bucket's pairs are joined; fuller ones are compared within tasks.
 FEW = 24
 #: Shingles of a block of documents that one task compares with another block.
