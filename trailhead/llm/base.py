@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Most bytes of a batch that Spark hands to a Python worker; long texts make short batches.
 BATCH_BYTES = 4 << 20
+#: Rows of one key that a task may get before the key is dealt over several.
+SHARE = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,31 +22,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share. Where none is set, a temporary one in local mode; on a cluster that is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="trailhead-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(found)
     return found
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back, so lost executors cost one stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/trailhead/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that materialise() wrote."""
-    for name in df.inputFiles()[:1]:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(name).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialise() wrote, once nothing reads them any more."""
+    for df in tables:
+        for name in df.inputFiles()[:1]:
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(name).getParent()
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, total: int, least: int = SHARE) -> DataFrame:
+    """big joined with small, which has one row a key with n, the number of rows of big that have it.
+
+    A key of very many rows is dealt over tasks by the column by. Of total rows in big no more
+    than 65,536 keys can have more than a share of total / 65,536, so the list of these is
+    small at any size and is broadcast; the other keys are joined as usual.
+    """
+    share = max(least, total >> 16)
+    if total <= share:
+        return big.join(small.drop("n"), key)
+    salt, parts = fresh(big, "salt"), fresh(big, "parts")
+    many = F.greatest(F.ceil(F.col("n") / share), F.lit(1)).cast("int")
+    full = small.where(F.col("n") > share).select(key, many.alias(parts))
+    tagged = big.join(F.broadcast(full), key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop("n")
+    return tagged.join(dealt, [key, salt]).drop(salt)
 
 
 def arrow_map(

@@ -63,22 +63,26 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
-def band_keys(values: np.ndarray, bands: int = neardup.BANDS) -> np.ndarray:
-    """A 64-bit key of each band of a signature."""
-    found = signature(values)
-    rows = np.zeros((bands, N // bands), np.uint64) if found is None else found.astype(np.uint64).reshape(bands, -1)
-    return neardup.fold(rows)
+class Signatures:
+    """Sketches of banded MinHash signatures, for ``neardup``: a document is the set of its shingles."""
 
+    @staticmethod
+    def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys and one bit per coordinate of each text."""
+        hashes, _, sizes = shingles.counted(texts)
+        found = np.stack([np.zeros(N, np.uint32) if (made := signature(x)) is None else made for x in np.split(hashes, np.cumsum(sizes)[:-1])])
+        bits = ((found * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+        return neardup.fold(found.astype(np.uint64), neardup.BANDS), np.packbits(bits, axis=1)
 
-def similar(docs: DataFrame, threshold: float = neardup.THRESHOLD) -> DataFrame:
-    """doc_id and class_id of the near-duplicate classes that banded MinHash signatures find."""
+    @staticmethod
+    def sets(texts: list[str]) -> list[np.ndarray]:
+        hashes, _, sizes = shingles.counted(texts)
+        return [np.unique((x >> np.uint64(32)).astype(np.uint32)).view(np.int32) for x in np.split(hashes, np.cumsum(sizes)[:-1])]
 
-    def sketch(text):
-        found = signature(values := shingles.shingles(text))
-        bits = np.zeros(N, np.uint8) if found is None else ((found * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
-        return band_keys(values), np.packbits(bits)
 
-    return neardup.classes(docs, sketch, threshold)
+def similar(docs: DataFrame, threshold: float = neardup.THRESHOLD) -> DataFrame:
+    """doc_id and class_id of the near-duplicate classes that banded MinHash signatures find."""
+    return neardup.classes(docs, Signatures, threshold)
 
 
 def _starts(docs: DataFrame, parts: int) -> list[int]:

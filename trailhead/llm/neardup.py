@@ -1,25 +1,29 @@
 """Near-duplicate documents: banded sketches, verified links, classes of linked documents.
 
-The sketch of the near-dedup operator is DartMinHash. For each element and each region
-of its weight axis and the rank axis, a hash says how many darts fall there and at which
-weight, rank and coordinate; darts above an element's weight are dropped, and each of K
-coordinates keeps the dart of least rank. Two weighted sets agree in a coordinate with
-probability equal to their weighted Jaccard similarity. Ranks are opened up region by
-region until every coordinate has a dart, so a document costs about K ln K darts.
-
-Links are pairs of different texts whose shingle sets have at least the given Jaccard
-similarity, verified on the sets themselves. Texts that share a band are compared so:
+The sketch of the near-dedup operator is DartMinHash. A document is a weighted set: its
+shingles, each weighted by how often it occurs. For each element and each region of its
+weight axis and the rank axis, a hash says how many darts fall there and at which weight,
+rank and coordinate; darts above an element's weight are dropped, and each of K coordinates
+keeps the dart of least rank. Two weighted sets agree in a coordinate with probability equal
+to their weighted Jaccard similarity. Ranks are opened up region by region until every
+coordinate has a dart, so a document costs about K ln K darts; all documents of a batch are
+opened up together.
+
+Links are pairs of different texts whose weighted sets have at least the given Jaccard
+similarity (the sum of the lesser counts over that of the greater ones), verified on the sets
+themselves. Texts that share a band are compared so:
 
 1. each bucket links its members to its most central one, the one whose buckets are
    fullest, which costs no more than the bucket has members;
 2. pairs of a bucket that are still in different classes are compared one by one, after
    one bit per coordinate has ruled out those that are far below the threshold: pairs of
    small buckets by a join, pairs of full ones in blocks within tasks, which hand out
-   links alone.
+   links alone. A pair that shares several full buckets is compared in one of them.
 
 So a group of thousands of copies costs about as many comparisons as it has members, a
 group just below the threshold is still compared in full and no pairs of a group are
-shuffled. With 32 bands of 4 coordinates a pair at the threshold of 0.8 shares no band with
+shuffled. Buckets, texts and nodes that very many rows share are dealt over tasks wherever
+they are joined. With 32 bands of 4 coordinates a pair at the threshold of 0.8 shares no band with
 probability 4.7e-8; one that only the second pass would link is ruled out by its bits with
 probability 2.5e-8, so such a pair is lost with 7.2e-8 at most.
 
@@ -33,7 +37,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -48,18 +51,21 @@ THRESHOLD = 0.8
 _SLACK = 6.0
 #: Up to so many members a bucket's pairs are joined; fuller ones are compared within tasks.
 FEW = 24
+#: Links of one node that a task may get before they are dealt over several.
+HUB = 1 << 16
 #: Shingles of a block of documents that one task compares with another block.
 BLOCK_ITEMS = 1 << 20
-#: Width of the first rank region; each further one is twice as wide.
-_UNIT = 2.0**-15
+#: Width of the first rank region, where an element of weight 1 has a quarter of a dart; each further one is twice as wide.
+_UNIT = 2.0**-9
 _cdfs: dict[float, np.ndarray] = {}
 
 
-def fold(rows: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each row of coordinates and its number."""
-    key = shingles.mix(np.arange(1, len(rows) + 1, dtype=np.uint64))
-    for j in range(rows.shape[1]):
-        key = shingles.mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+def fold(sketches: np.ndarray, bands: int) -> np.ndarray:
+    """A 64-bit key of each band of each row of coordinates."""
+    parts = sketches.reshape(len(sketches), bands, -1)
+    key = np.broadcast_to(shingles.mix(np.arange(1, bands + 1, dtype=np.uint64)), parts.shape[:2])
+    for j in range(parts.shape[2]):
+        key = shingles.mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
     return key
 
 
@@ -75,68 +81,93 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def darts(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
-    """The 64-bit dart that each of k coordinates keeps; elements are hashes, weights positive."""
-    weights = np.ones(len(elements)) if weights is None else weights.astype(np.float64)
-    best_rank, best = np.full(k, np.inf), np.zeros(k, np.uint64)
+def darts_of(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: int = K) -> np.ndarray:
+    """The 64-bit dart that each of k coordinates keeps, a row for each weighted set.
+
+    The sets lie in a row: sizes says how many elements each has. Elements are hashes, weights
+    positive. All sets are opened up rank region by rank region together; those whose
+    coordinates all have a dart drop out. A set without elements keeps zeros.
+    """
+    n = len(sizes)
+    best = np.zeros(n * k, np.uint64)
+    filled = np.zeros(n * k, bool)
+    weights = weights.astype(np.float64)
+    owner = np.repeat(np.arange(n), sizes)
     highest = int(math.log2(weights.max() + 1 - 1e-12)) if len(elements) else -1
     level = 0
     while len(elements):
-        found_c, found_r, found_d = [], [], []
-        low_rank, width = (2.0**level - 1) * _UNIT, 2.0**level * _UNIT
+        found_s, found_r, found_d = [], [], []
+        width = 2.0**level * _UNIT
         for band in range(highest + 1):
             low = 2.0**band - 1
-            inside = elements if band == 0 else elements[weights > low]
-            top = weights if band == 0 else weights[weights > low]
-            rate = k * width * 2.0**band
-            seed = shingles.mix(inside + np.uint64((level * 64 + band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            count = np.searchsorted(_cdf(rate), _unit(seed), "right")
+            inside = np.flatnonzero(weights > low) if band else slice(None)
+            mine, top, whose = elements[inside], weights[inside], owner[inside]
+            if not len(mine):
+                break
+            seed = shingles.mix(mine + np.uint64((level * 64 + band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            count = np.searchsorted(_cdf(k * width * 2.0**band), _unit(seed), "right")
             hit = np.flatnonzero(count)
-            if not len(hit):
-                continue
             many = count[hit]
             at = np.repeat(hit, many)
             index = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
             dart = shingles.mix(seed[at] ^ (index.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            if highest or (weights < 1).any():
-                weight = low + 2.0**band * _unit(shingles.mix(dart + np.uint64(1)))
-                dart = dart[weight < top[at]]
+            slot = whose[at] * k + (dart % np.uint64(k)).astype(np.int64)
+            open_ = ~filled[slot]  # ranks of earlier regions are lower
+            if highest:  # darts above the element's weight are dropped
+                open_ &= low + 2.0**band * _unit(shingles.mix(dart + np.uint64(1))) < top[at]
+            dart, slot = dart[open_], slot[open_]
+            found_s.append(slot)
             found_d.append(dart)
-            found_r.append(low_rank + width * _unit(shingles.mix(dart + np.uint64(2))))
-            found_c.append((dart % np.uint64(k)).astype(np.int64))
-        if found_d:
-            c, r, d = map(np.concatenate, (found_c, found_r, found_d))
-            order = np.lexsort((r, c))
-            c, r, d = c[order], r[order], d[order]
-            first = np.concatenate(([True], c[1:] != c[:-1])) if len(c) else np.zeros(0, bool)
-            c, r, d = c[first], r[first], d[first]
-            better = r < best_rank[c]
-            best_rank[c[better]], best[c[better]] = r[better], d[better]
+            found_r.append(shingles.mix(dart + np.uint64(2)))  # the place within the region
+        slot, rank, dart = map(np.concatenate, (found_s, found_r, found_d))
+        order = np.argsort(~rank)  # of the darts of a coordinate the one of least rank is written last
+        best[slot[order]] = dart[order]
+        filled[slot] = True
         level += 1
-        if np.isfinite(best_rank).all():
-            break
-    return best
+        left = ~filled.reshape(n, k).all(1) & (sizes > 0)
+        stay = left[owner]
+        if not stay.all():
+            elements, weights, owner = elements[stay], weights[stay], owner[stay]
+            highest = int(math.log2(weights.max() + 1 - 1e-12)) if len(elements) else -1
+    return best.reshape(n, k)
+
 
+def darts(elements: np.ndarray, weights: np.ndarray | None = None, k: int = K) -> np.ndarray:
+    """The darts of one set; weights are 1 where none are given."""
+    weights = np.ones(len(elements)) if weights is None else weights
+    return darts_of(elements, weights, np.array([len(elements)]), k)[0]
+
+
+class Darts:
+    """Sketches of the near-dedup operator: shingles are weighted by how often they occur."""
+
+    @staticmethod
+    def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys and one bit per coordinate of each text."""
+        found = darts_of(*shingles.counted(texts))
+        return fold(found, BANDS), np.packbits((shingles.mix(found + np.uint64(3)) >> np.uint64(63)).astype(np.uint8), axis=1)
 
-def dart_sketch(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and one bit per coordinate of a text's set of shingles."""
-    found = darts(shingles.shingles(text))
-    return fold(found.reshape(BANDS, -1)), np.packbits((shingles.mix(found + np.uint64(3)) >> np.uint64(63)).astype(np.uint8))
+    @staticmethod
+    def sets(texts: list[str]) -> list[np.ndarray]:
+        """The set that each text is verified by, as sorted 32-bit hashes: occurrences of shingles."""
+        hashes, times, sizes = shingles.counted(texts)
+        items = (shingles.numbered(hashes, times) >> np.uint64(32)).astype(np.uint32)
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes), times, len(sizes)).astype(np.int64)) if len(sizes) else sizes
+        return [np.unique(x).view(np.int32) for x in np.split(items, ends[:-1])]
 
 
-def _sketched(docs: DataFrame, sketch: Callable) -> DataFrame:
+def _sketched(docs: DataFrame, sketch) -> DataFrame:
     """A row for each document: the key of its text, its band keys and its bits as two longs."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            keys, made, bits = [], [], []
-            for text in batch.column(1).to_pylist():
-                bands, packed = sketch(text)
-                keys.append(hashlib.md5(text.encode("utf-8", "replace"), usedforsecurity=False).digest())
-                made.append(bands.view(np.int64))
-                bits.append(packed.view(np.int64))
-            yield base.batch_of({"doc_id": batch.column(0), "text_key": keys, "keys": made, "bits": bits}, schema)
+            if not batch.num_rows:
+                continue
+            texts = batch.column(1).to_pylist()
+            keys, bits = sketch.sketches(texts)
+            made = [hashlib.md5(t.encode("utf-8", "replace"), usedforsecurity=False).digest() for t in texts]
+            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": list(keys.view(np.int64)), "bits": list(bits.view(np.int64))}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"))
     return base.arrow_map(rows, run, "doc_id long, text_key binary, keys array<long>, bits array<long>")
@@ -147,14 +178,14 @@ def _own_id(text_key):
     return F.lit(1 << 62) + F.abs(F.xxhash64(text_key) % (1 << 62))
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingle sets of the nodes in ids (doc_ids, or those of texts without one), as sorted 32-bit hashes."""
+def _sets(docs: DataFrame, ids: DataFrame, sketch) -> DataFrame:
+    """Verification sets of the nodes in ids (doc_ids, or those of texts without one), as sorted 32-bit hashes."""
     schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
-            made = [np.unique((shingles.shingles(t) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
-            yield base.batch_of({"id": batch.column(0), "items": made}, schema)
+            if batch.num_rows:
+                yield base.batch_of({"id": batch.column(0), "items": sketch.sets(batch.column(1).to_pylist())}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), base.text_or_empty().alias("text"))
     unnamed = rows.where("id IS NULL").select(_own_id(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"])
@@ -177,22 +208,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate until no edge changes (Kiveris et al.,
     2014). The least neighbour comes from an aggregation, which combines before it
-    shuffles, so a node with very many links doesn't weigh on one task.
+    shuffles, and a node with very many links is dealt over tasks when it is joined back.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    seen = None
+    seen, total = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = base.spread_join(both, least, "u", "v", 2 * total, HUB).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = base.spread_join(large, least, "u", "v", 2 * total, HUB)
         edges = (
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v").distinct().checkpoint()
         )
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        total = state[0]
         if state == seen:
             break
         seen = state
@@ -206,18 +238,17 @@ def most_bits(threshold: float) -> int:
     return math.ceil(K * odds + _SLACK * math.sqrt(K * odds * (1 - odds)))
 
 
-def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links (a, b) between different classes among members (id, key, bits, c) of full buckets.
+def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, total: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different classes among members (id, key, c) of full buckets.
 
-    Buckets that share members make up one group, so that a pair is compared once. A group
-    is dealt into blocks of about BLOCK_ITEMS shingles, each pair of blocks is one task's
-    work, and only links leave it.
+    A bucket is dealt into blocks of about BLOCK_ITEMS shingles, each pair of blocks is one
+    task's work, and only links leave it. Of the buckets that a pair shares it is compared in
+    that of the least band.
     """
-    hub = members.groupBy("key").agg(F.min("id").alias("b"))
-    group = components(members.join(hub, "key").select(F.col("id").alias("a"), "b")).select("id", F.col("class_id").alias("group"))
-    rows = members.select("id", "bits", "c").distinct().join(group, "id").join(sets, "id")
-    share = rows.groupBy("group").agg(F.ceil(F.sum(F.size("items") + 1) / BLOCK_ITEMS).cast("int").alias("blocks"))
-    dealt = rows.join(share, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = members.join(nodes.select("id", "keys", "bits"), "id").join(sets, "id")
+    sizes = members.join(sets.select("id", F.size("items").alias("size")), "id")
+    share = sizes.groupBy("key").agg(F.ceil(F.sum(F.col("size") + 1) / BLOCK_ITEMS).cast("int").alias("blocks"), F.count("*").alias("n"))
+    dealt = base.spread_join(rows, share, "key", "id", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     most = most_bits(threshold)
@@ -225,7 +256,8 @@ def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
 
     def compare(table):
         ids, classes_, block = (table.column(n).to_numpy() for n in ("id", "c", "block"))
-        bits = np.stack(table.column("bits").to_numpy()).astype(np.int64)
+        bits, keys = (np.stack(table.column(n).to_numpy()).astype(np.int64) for n in ("bits", "keys"))
+        earlier = keys[:, : int(np.argmax(keys[0] == table.column("key")[0].as_py()))]
         sizes = np.fromiter(map(len, table.column("items").to_pylist()), np.int64, len(ids))
         flat = table.column("items").combine_chunks().flatten().to_numpy()
         words, local = np.unique(flat, return_inverse=True)
@@ -238,6 +270,7 @@ def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
             if across:
                 near &= block[i + 1 :] != block[i]
             at = np.flatnonzero(near) + i + 1
+            at = at[~(earlier[at] == earlier[i]).any(1)]
             if not len(at):
                 continue
             own = local[starts[i] : starts[i] + sizes[i]]
@@ -254,56 +287,64 @@ def _compared(members: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=schema)
 
-    return dealt.select("group", "x", "y", "id", "c", "bits", "block", "items").groupBy("group", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return dealt.select("key", "x", "y", "id", "c", "bits", "keys", "block", "items").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def _classed(docs: DataFrame, sketch: Callable, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The sketched rows, and text_key, class_id and n_edges of each text."""
+def _classed(docs: DataFrame, sketch, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """The sketched rows, then text_key, class_id, n_edges and n (rows) of each text, and the number of rows."""
     made = base.materialise(_sketched(docs, sketch), "sketches")
+    n_rows = made.count()
     # texts that occur once or often: one node each, named by the least doc_id
-    nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.count("*").alias("n"))
     nodes = nodes.withColumn("id", F.coalesce("id", _own_id(F.col("text_key"))))
-    rows = nodes.select("id", "bits", F.explode("keys").alias("key"))
+    rows, total = nodes.select("id", F.explode("keys").alias("key")), n_rows * BANDS
     full = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = base.materialise(rows.join(full, "key"), "buckets")
+    shared = base.materialise(base.spread_join(rows, full.withColumn("n", F.col("m")), "key", "id", total), "buckets")
 
     weight = shared.groupBy("id").agg(F.sum("m").alias("w"))
-    central = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("centre"))
-    spokes = shared.join(central, "key").where("id <> centre")
-    spokes = spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-    sets = base.materialise(_sets(docs, shared.select("id").distinct()), "sets")
+    central = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("centre"), F.count("*").alias("n"))
+    spokes = base.spread_join(shared, central, "key", "id", total).where("id <> centre")
+    spokes = base.materialise(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "spokes")
+    sets = base.materialise(_sets(docs, shared.select("id").distinct(), sketch), "sets")
     links = base.materialise(_verified(spokes, sets, threshold), "links")
     first = components(links)
 
-    placed = shared.join(first, "id", "left").select("id", "bits", "key", F.coalesce("class_id", "id").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m")
-    rest = base.materialise(placed.join(open_, "key"), "rest")
-    few = rest.where(F.col("m") <= FEW)
+    placed = shared.join(first, "id", "left").select("id", "key", F.coalesce("class_id", "id").alias("c"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m", F.col("m").alias("n"))
+    rest = base.materialise(base.spread_join(placed, open_, "key", "id", total), "rest")
+    few = rest.where(F.col("m") <= FEW).join(nodes.select("id", "bits"), "id")
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND x.c <> y.c AND bit_count(x.bits[0] ^ y.bits[0]) + bit_count(x.bits[1] ^ y.bits[1]) <= {most_bits(threshold)}"))
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(spokes, ["a", "b"], "left_anti")
     links = links.unionByName(base.materialise(_verified(pairs, sets, threshold), "links"))
-    many = rest.where(F.col("m") > FEW)
+    many = rest.where(F.col("m") > FEW).select("id", "key", "c")
     if not many.isEmpty():
-        links = links.unionByName(base.materialise(_compared(many, sets, threshold), "links"))
+        links = links.unionByName(base.materialise(_compared(many, nodes, sets, total, threshold), "links"))
+    base.release(shared, spokes, sets, rest)
     found = components(links)
 
     ends = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
     named = (
-        nodes.select("text_key", "id").join(found, "id", "left").join(ends, "id", "left")
-        .select("text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+        nodes.select("text_key", "id", "n").join(found, "id", "left").join(ends, "id", "left")
+        .select("text_key", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"), "n")
     )
-    return made, named
+    return made, named, n_rows
+
+
+def _of_rows(docs: DataFrame, sketch, threshold: float) -> DataFrame:
+    """doc_id, text_key, class_id and n_edges of each row; a text of very many rows is dealt over tasks."""
+    made, named, total = _classed(docs, sketch, threshold)
+    at = F.monotonically_increasing_id()
+    return base.spread_join(made.select("doc_id", "text_key", at.alias("at")), named, "text_key", "at", total).drop("at")
 
 
-def classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
+def classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of the class) and n_edges, the text's edges among the verified links that span its class."""
-    made, named = _classed(docs, sketch, threshold)
-    return made.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "class_id", "n_edges")
+    return _of_rows(docs, sketch, threshold).select("doc_id", "class_id", "n_edges")
 
 
-def text_classes(docs: DataFrame, sketch: Callable = dart_sketch, threshold: float = THRESHOLD) -> DataFrame:
-    """text_key (MD5 of the text) and class_id of each text."""
-    return _classed(docs, sketch, threshold)[1].select("text_key", "class_id")
+def text_classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
+    """text_key (MD5 of the text), class_id and n, the number of its rows, of each text."""
+    return _classed(docs, sketch, threshold)[1].select("text_key", "class_id", "n")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,8 +353,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Of rows that share a doc_id one stays; of rows without doc_id one of each class, beside
     the one that has a doc_id.
     """
-    made, named = _classed(docs, dart_sketch, threshold)
-    found = made.select("doc_id", "text_key").join(named, "text_key")
+    found = base.materialise(_of_rows(docs, Darts, threshold), "classes")
     stays = found.where("doc_id = class_id").select("doc_id").distinct()
     rows = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     key = base.fresh(docs, "text_key")

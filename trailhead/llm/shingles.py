@@ -87,7 +87,54 @@ def shingles(text: str, length: int = WORDS) -> np.ndarray:
     return np.unique(runs(hashes, min(length, len(hashes)) or 1))
 
 
-def counted(text: str, length: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of a text and how often each occurs."""
-    hashes = words(text.encode("utf-8", "replace"))[2]
-    return np.unique(runs(hashes, min(length, len(hashes)) or 1), return_counts=True)
+def counted(texts: list[str], length: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all texts: their hashes, how often each occurs in its text, and the number of distinct ones of each text.
+
+    The texts are laid out in a row and hashed at once, in groups of about a piece.
+    """
+    found, at = [], 0
+    datas = [t.encode("utf-8", "replace") for t in texts]
+    while at < len(datas):
+        end, size = at, 0
+        while end < len(datas) and (end == at or size + len(datas[end]) < _PIECE):
+            size += len(datas[end]) + 1
+            end += 1
+        found.append(_counted(datas[at:end], length))
+        at = end
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
+def _counted(datas: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(datas)
+    begins = np.cumsum([0, *(len(d) + 1 for d in datas[:-1])])
+    starts, _, hashes = words(b" ".join(datas))
+    text = np.searchsorted(begins, starts, "right") - 1
+    count = np.bincount(text, minlength=n)
+    grams = runs(hashes, length)
+    inside = text[: len(grams)] == text[length - 1 :] if len(grams) else np.zeros(0, bool)
+    grams, owner = grams[inside], text[: len(grams)][inside]
+    first = np.cumsum(count) - count
+    short = np.flatnonzero((count > 0) & (count < length))
+    if len(short):  # texts of fewer words have one shingle of all of them
+        grams = np.concatenate([grams, *(runs(hashes[first[i] : first[i] + count[i]], int(count[i])) for i in short)])
+        owner = np.concatenate([owner, short])
+    order = np.lexsort((grams, owner))
+    grams, owner = grams[order], owner[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return grams[at], np.diff(np.append(at, len(grams))), np.bincount(owner[at], minlength=n)
+
+
+def numbered(hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """A hash for each occurrence: the shingle's own for the first, others for the further ones.
+
+    The Jaccard similarity of two such sets is the weighted one of the shingles with their counts.
+    """
+    if not len(times) or times.max() == 1:
+        return hashes
+    many = np.repeat(hashes, times)
+    nth = (np.arange(len(many)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    return np.where(nth == 0, many, mix(many + nth * np.uint64(0x9E3779B97F4A7C15)))
