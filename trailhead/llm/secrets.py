@@ -124,9 +124,10 @@ def digests(scanned: DataFrame) -> DataFrame:
     basic = F.filter("spans", lambda x: x["kind"].isin(*BASE_KINDS))
     return scanned.select(
         "doc_id",
-        *(count(k).alias(f"n_{k}") for k in KINDS),
+        *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(text_of(basic), 256).alias("base_sha256"),
         text_of(F.col("spans")).alias("spans"),
+        *(count(k).alias(f"n_{k}") for k in KINDS if k not in BASE_KINDS),
     )
 
 
