@@ -4,18 +4,22 @@ Writing. Of records with equal payloads of at least LEAST_REVISIT bytes the one
 smallest page_id is a response, the others are revisits that refer to it. HTTP bodies are
 framed in chunks. A block longer than SEGMENT bytes is split: its first part is segment 1
 of the response, the rest follows as continuation records, which go to the next archive
-of the task, as the standard asks. Archives are rows of a table in the shared folder,
-each a run of gzip members, one for each record, since executors share no local files.
-
-Reading. Whole records are decoded where they are read. Segments are grouped by the
-identifier of their origin, ordered by number, checked against the total length that the
-last one states, joined, and only then freed from their chunk framing. A gap, a wrong
-length, a broken frame or a digest that does not match raises ValueError.
+of the task, as the standard asks. Responses are written first, with an index of the
+records that revisits need; revisits have no payload and name their response by its
+WARC-Record-ID. Archives are rows of a table in the shared folder, each a run of gzip
+members, one for each record, since executors share no local files.
+
+Reading. Archives are inflated once. Whole records are decoded where they are read.
+Segments are grouped by the identifier of their origin, ordered by number, checked against
+the total length that the last one states, joined, and only then freed from their chunk
+framing. Each revisit is looked up by the identifier that it refers to. A gap, a wrong
+length, a broken frame, a digest that does not match, or a revisit whose response is not
+there or has another payload is an error.
 
 A null html is an empty payload; a null url leaves its header out; a null page_id stays
 null and can't be referred to. Rows with equal page_id are separate records; if they share
-the smallest page_id of a payload all of them are responses. An empty table gives an empty
-one; other columns are ignored.
+the smallest page_id of a payload all of them are responses, and revisits refer to one of
+them. An empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -111,18 +115,25 @@ def _escaped(url: str | None) -> str | None:
     return None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
 
 
+def revisit(page_id, url, n_bytes: int, digest: str, target: str, row: str) -> bytes:
+    """The record of a page whose payload is that of the record target."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
+    return record(
+        "revisit", _name(page_id, row), block, WARC_Target_URI=_escaped(url), WARC_Payload_Digest=f"sha256:{digest}",
+        WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", WARC_Refers_To=f"<{target}>", Content_Type="application/http; msgtype=response",
+    )
+
+
+def _name(page_id, row: str) -> str:
+    return f"urn:trailhead:page:{'' if page_id is None else page_id}:{row}"
+
+
 def rows_of_page(page_id, url, payload: bytes, digest: str, refers_to, row: str) -> list[bytes]:
-    """The record of a page and, where it is segmented, its continuations."""
-    name = f"urn:trailhead:page:{'' if page_id is None else page_id}:{row}"
-    common = {"WARC_Target_URI": _escaped(url), "WARC_Payload_Digest": f"sha256:{digest}"}
+    """The record of a page and, where it is segmented, its continuations; refers_to is the record of its response, if it is a revisit."""
     if refers_to is not None:
-        block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-        return [
-            record(
-                "revisit", name, block, WARC_Profile="http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                WARC_Refers_To=f"<urn:trailhead:page:{refers_to}>", Content_Type="application/http; msgtype=response", **common,
-            )
-        ]
+        return [revisit(page_id, url, len(payload), digest, refers_to, row)]
+    name = _name(page_id, row)
+    common = {"WARC_Target_URI": _escaped(url), "WARC_Payload_Digest": f"sha256:{digest}"}
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     kind = {"Content_Type": "application/http; msgtype=response"}
     if len(block) <= SEGMENT:
@@ -135,63 +146,98 @@ def rows_of_page(page_id, url, payload: bytes, digest: str, refers_to, row: str)
     return out
 
 
-def write(pages: DataFrame) -> DataFrame:
-    """A table of archives (name, content) in the shared folder."""
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(base.text_or_empty("html"), "UTF-8").alias("payload")
-    ).withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.length("payload") >= LEAST_REVISIT).where("page_id IS NOT NULL").select("page_id", "digest")
-    first = long.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # pages that are revisits; written first, so that the planner knows how few or many they are
-    again = base.materialise(long.join(first, "digest").where("page_id > refers_to").distinct(), "revisits")
-    rows = rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
-    schema = pa.schema([("name", pa.string()), ("content", pa.binary())])
+_ENTRY = pa.struct([("digest", pa.string()), ("page_id", pa.int64()), ("record_id", pa.string())])
+_ARCHIVE = pa.schema([("name", pa.string()), ("content", pa.binary()), ("entries", pa.list_(_ENTRY))])
+_ARCHIVE_SQL = "name string, content binary, entries array<struct<digest:string,page_id:long,record_id:string>>"
+
+
+def _archives(rows: DataFrame, label: str, made_of) -> DataFrame:
+    """A table of archives; made_of gives the records of a row and its entry of the index or None."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        open_, size, later, number, n = [], 0, [], 0, 0
+        open_, entries, size, later, number, n = [], [], 0, [], 0, 0
+
+        def closed(content):
+            return base.batch_of({"name": [f"{label}-{part:06d}-{number:06d}.warc.gz"], "content": [b"".join(content)], "entries": [entries]}, _ARCHIVE)
+
         for batch in batches:
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                made = rows_of_page(page_id, url, payload, digest, refers_to, f"{part}-{n}")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                made, entry = made_of(row, f"{label[0]}{part}-{n}")
                 n += 1
                 open_.append(made[0])
                 later += made[1:]
+                entries += [entry] if entry else []
                 size += sum(map(len, made))
                 if size >= ARCHIVE_BYTES:
-                    yield base.batch_of({"name": [f"part-{part:06d}-{number:06d}.warc.gz"], "content": [b"".join(open_)]}, schema)
-                    open_, later, number = later, [], number + 1
+                    yield closed(open_)
+                    open_, later, entries, number = later, [], [], number + 1
                     size = sum(map(len, open_))
         for left in (open_, later):
             if left:
-                yield base.batch_of({"name": [f"part-{part:06d}-{number:06d}.warc.gz"], "content": [b"".join(left)]}, schema)
-                number += 1
+                yield closed(left)
+                entries, number = [], number + 1
 
-    return base.materialise(base.arrow_map(rows, run, "name string, content binary"), "warc")
+    return base.materialise(base.arrow_map(rows, run, _ARCHIVE_SQL), label)
+
+
+def write(pages: DataFrame) -> DataFrame:
+    """A table of archives (name, content, entries) in the shared folder."""
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(base.text_or_empty("html"), "UTF-8").alias("payload")
+    ).withColumn("digest", F.sha2("payload", 256))
+    long = rows.select("page_id", "url", F.length("payload").alias("n_bytes"), "digest").where(F.col("n_bytes") >= LEAST_REVISIT).where("page_id IS NOT NULL")
+    first = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    total = pages.count()
+    # written first, so that the planner knows how few or many they are; without payloads
+    again = base.materialise(base.spread_join(long, first, "digest", "page_id", total).where("page_id > first"), "revisits")
+
+    def response(row, name):
+        page_id, url, payload, digest, wanted = row
+        return rows_of_page(page_id, url, payload, digest, None, name), {"digest": digest, "page_id": page_id, "record_id": _name(page_id, name)} if wanted else None
+
+    def later(row, name):
+        page_id, url, n_bytes, digest, target = row
+        return [revisit(page_id, url, n_bytes, digest, target, name)], None
+
+    own = rows.join(again.select("page_id", "digest").distinct(), ["page_id", "digest"], "left_anti")
+    wanted = F.col("page_id").isNotNull() & (F.length("payload") >= LEAST_REVISIT)
+    responses = _archives(own.select("page_id", "url", "payload", "digest", wanted), "warc", response)
+    index = responses.select(F.explode("entries").alias("e")).select("e.digest", F.col("e.page_id").alias("first"), "e.record_id")
+    index = index.join(again.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("n")), ["digest", "first"])
+    index = index.groupBy("digest").agg(F.min("record_id").alias("target"), F.max("n").alias("n"))
+    found = base.spread_join(again.select("page_id", "url", "n_bytes", "digest"), index, "digest", "page_id", total)
+    revisits = _archives(found.select("page_id", "url", "n_bytes", "digest", "target"), "revisits", later)
+    return responses.unionByName(revisits)
 
 
 def _described(headers: dict[str, str], block: bytes) -> dict:
     """The columns of a whole record's page."""
-    identifier = headers["warc-record-id"].strip("<>").split(":")
+    record_id = headers["warc-record-id"].strip("<>")
+    page_id = record_id.split(":")[3]
     digest = headers["warc-payload-digest"].partition(":")[2]
     http, payload = _payload(block)
-    revisit = headers["warc-type"] == "revisit"
-    if not revisit and hashlib.sha256(payload).hexdigest() != digest:
+    again = headers["warc-type"] == "revisit"
+    if not again and hashlib.sha256(payload).hexdigest() != digest:
         raise ValueError("a payload does not have the digest that its record states")
     return {
-        "page_id": int(identifier[3]) if identifier[3] else None,
-        "payload_bytes": int(http["content-length"]) if revisit else len(payload),
+        "page_id": int(page_id) if page_id else None,
+        "payload_bytes": int(http["content-length"]) if again else len(payload),
         "payload_digest": digest,
         "record_type": headers["warc-type"],
-        "refers_to": int(headers["warc-refers-to"].strip("<>").split(":")[3]) if revisit else None,
+        "record_id": record_id,
+        "target": headers["warc-refers-to"].strip("<>") if again else None,
     }
 
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-_PAGE_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_PAGE = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("target", pa.string())])
+_PAGE_SQL = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, target string"
+_SEGMENT = pa.schema([("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
+_SEGMENT_SQL = "origin string, number int, total long, headers map<string,string>, block binary"
 
 
 def _columns(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return base.batch_of({f.name: [r[f.name] for r in rows] for f in schema}, schema)
+    return base.batch_of({f.name: [r.get(f.name) for r in rows] for f in schema}, schema)
 
 
 def reassembled(parts: list[dict]) -> dict:
@@ -205,38 +251,38 @@ def reassembled(parts: list[dict]) -> dict:
     return _described(dict(parts[0]["headers"]), block)
 
 
-def read(archives: DataFrame) -> DataFrame:
-    """One row for each page in the archives."""
-    content = archives.select("content")
+def _segment(headers: dict[str, str], block: bytes) -> dict:
+    first = headers["warc-segment-number"] == "1"
+    return {
+        "origin": headers.get("warc-segment-origin-id", headers["warc-record-id"]), "number": int(headers["warc-segment-number"]),
+        "total": int(headers["warc-segment-total-length"]) if "warc-segment-total-length" in headers else None,
+        "headers": [(k, headers[k]) for k in ("warc-record-id", "warc-type", "warc-payload-digest")] if first else [], "block": block,
+    }
 
-    def whole(batches):
-        for batch in batches:
-            for archive in batch.column(0).to_pylist():
-                rows = [_described(h, b) for h, b in records(archive) if "warc-segment-number" not in h]
-                yield _columns(rows, _PAGE)
 
-    names = ("warc-record-id", "warc-type", "warc-payload-digest")
-    segment = pa.schema(
-        [("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
-    )
+def read(archives: DataFrame) -> DataFrame:
+    """One row for each page in the archives, revisits resolved by the record that they refer to."""
+    both = pa.schema([*_PAGE, *_SEGMENT])
 
-    def segments(batches):
+    def inflate(batches):
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                rows = [
-                    {
-                        "origin": h.get("warc-segment-origin-id", h["warc-record-id"]), "number": int(h["warc-segment-number"]),
-                        "total": int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None,
-                        "headers": [(k, h[k]) for k in names] if h["warc-segment-number"] == "1" else [], "block": b,
-                    }
-                    for h, b in records(archive) if "warc-segment-number" in h
-                ]
-                yield _columns(rows, segment)
+                yield _columns([_segment(h, b) if "warc-segment-number" in h else _described(h, b) for h, b in records(archive)], both)
 
     def join(batches):
         for batch in batches:
             yield _columns([reassembled(p) for p in batch.column(0).to_pylist()], _PAGE)
 
-    parts = base.arrow_map(content, segments, "origin string, number int, total long, headers map<string,string>, block binary")
-    grouped = parts.groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", "block")).alias("parts"))
-    return base.arrow_map(content, whole, _PAGE_SQL).unionByName(base.arrow_map(grouped.select("parts"), join, _PAGE_SQL))
+    made = base.materialise(base.arrow_map(archives.select("content"), inflate, f"{_PAGE_SQL}, {_SEGMENT_SQL}"), "records")
+    grouped = made.where("origin IS NOT NULL").groupBy("origin").agg(F.collect_list(F.struct("number", "total", "headers", "block")).alias("parts"))
+    joined = base.materialise(base.arrow_map(grouped.select("parts"), join, _PAGE_SQL), "joined")
+    pages = made.where("origin IS NULL").select(*_PAGE.names).unionByName(joined)
+
+    revisits = pages.where("record_type = 'revisit'")
+    named = pages.where("record_type <> 'revisit'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("bytes_"), F.col("payload_digest").alias("digest_"))
+    named = named.join(revisits.groupBy("target").agg(F.count("*").alias("n")), "target")
+    found = base.spread_join(revisits, named, "target", "record_id", made.count(), how="left")
+    same = (F.col("digest_") == F.col("payload_digest")) & (F.col("bytes_") == F.col("payload_bytes"))
+    checked = F.when(same, F.col("refers_to")).otherwise(F.raise_error(F.concat(F.lit("no response with this payload: "), F.coalesce("target", F.lit("")))).cast("long"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type")
+    return pages.where("record_type <> 'revisit'").select(*columns, F.lit(None).cast("long").alias("refers_to")).unionByName(found.select(*columns, checked.alias("refers_to")))
