@@ -14,8 +14,10 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Factors of two independent hashes, each of words and of their runs.
+FACTORS = (_BASE, 0xC2B2AE3D27D4EB4F)
+_powers = {f: np.ones(1, np.uint64) for f in FACTORS}
+_inverse = {f: np.ones(1, np.uint64) for f in FACTORS}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,33 +29,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grow(size: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < size:
+def _grow(size: int, factor: int) -> None:
+    if len(_powers[factor]) < size:
         size = 1 << (size - 1).bit_length()
-        steps = np.full(size, _BASE, np.uint64)
+        steps = np.full(size, factor, np.uint64)
         steps[0] = 1
-        _powers = np.cumprod(steps)
-        steps[1:] = pow(_BASE, -1, 1 << 64)
-        _inverse = np.cumprod(steps)
+        _powers[factor] = np.cumprod(steps)
+        steps[1:] = pow(factor, -1, 1 << 64)
+        _inverse[factor] = np.cumprod(steps)
 
 
-def _of_piece(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _of_piece(raw: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
-    _grow(raw.size + 1)
+    _grow(raw.size + 1, factor)
     sums = np.zeros(raw.size + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers[: raw.size], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * _inverse[starts])
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers[factor][: raw.size], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * _inverse[factor][starts])
 
 
-def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: bytes, factor: int = _BASE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte offsets of the starts and ends of all words, and a 64-bit hash of each."""
     if len(data) <= _PIECE:
-        return _of_piece(np.frombuffer(data, np.uint8))
+        return _of_piece(np.frombuffer(data, np.uint8), factor)
     raw, found, at = np.frombuffer(data, np.uint8), [], 0
     while at < raw.size:  # pieces end at white space
         end = at + _PIECE
@@ -63,20 +64,20 @@ def words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 end += int(gap[0])
                 break
             end += _PIECE
-        s, e, h = _of_piece(raw[at:end])
+        s, e, h = _of_piece(raw[at:end], factor)
         found.append((s + at, e + at, h))
         at = end
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def runs(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each run of so many words."""
+def runs(hashes: np.ndarray, length: int, factor: int = _BASE) -> np.ndarray:
+    """A hash of each run of so many words; other odd factors give independent ones."""
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = hashes[:n].copy()
     for k in range(1, length):
-        out *= np.uint64(_BASE)
+        out *= np.uint64(factor)
         out += hashes[k : k + n]
     return mix(out)
 

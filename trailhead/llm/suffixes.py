@@ -7,8 +7,13 @@ two occurrences of a passage of MIN_WORDS words keep the same suffix of it. Then
 1. suffixes are sorted by their first KEY words and compared with their neighbours: a
    suffix stays if another document has one that begins alike;
 2. each that stays is extended to the left and to the right, to all runs of MIN_WORDS
-   words whose minimiser it is; runs are compared by 64-bit hashes of all their words;
-3. runs that also stand in a document of smaller doc_id are merged into spans.
+   words whose minimiser it is; runs are compared by 128 bits made from all their words
+   (at 10^13 runs two different ones are alike with a chance of 1.5e-13);
+3. runs that also stand in a document of smaller doc_id are merged into spans, which so
+   reach as far left and right as the documents agree.
+
+With ``within`` a passage that comes again in its own document is a repeat too, from the
+first word after its first occurrence.
 
 Every run of MIN_WORDS words has one minimiser, so no repeat is missed, and overlapping
 runs make up passages of any length. The sort spreads a key that many documents have over
@@ -81,8 +86,8 @@ def _suffixes(docs: DataFrame) -> DataFrame:
     return base.arrow_map(rows, run, "doc_id long, text_key binary, n_words long, low long, high long, keys array<long>, places array<int>")
 
 
-def _neighbours(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, place) of suffixes (doc_id, key, place) that begin like one of another document.
+def _neighbours(suffixes: DataFrame, within: bool) -> DataFrame:
+    """(doc_id, place) of suffixes (doc_id, key, place) that begin like one of another document, or with within like any other.
 
     Suffixes are sorted into ranges and each is compared with its neighbours. The first and
     the last key of a range may go on in the next one and stay unseen; that only costs the
@@ -101,7 +106,7 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
             key, doc, place = (np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(starts[1:], len(key))
-            shared = doc[starts] != doc[ends - 1]
+            shared = ends - starts > 1 if within else doc[starts] != doc[ends - 1]
             shared[0] |= first or (stays is not None and key[0] == stays)
             first, open_ = False, len(key)
             stays = key[-1] if shared[-1] else None
@@ -119,7 +124,7 @@ def _neighbours(suffixes: DataFrame) -> DataFrame:
 
 def _extended(texts: DataFrame) -> DataFrame:
     """Hashes and extents of the runs of words around the suffixes that stay."""
-    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.int64())), ("lows", pa.list_(pa.int32())), ("highs", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("runs", pa.list_(pa.int64())), ("checks", pa.list_(pa.int64())), ("at", pa.list_(pa.int32())), ("lows", pa.list_(pa.int32())), ("highs", pa.list_(pa.int32()))])
 
     def run(batches):
         for batch in batches:
@@ -129,13 +134,13 @@ def _extended(texts: DataFrame) -> DataFrame:
                 starts, ends, hashes = shingles.words(data)
                 _, least = minimisers(hashes)
                 at = np.flatnonzero(np.isin(least, np.array(places)))
-                runs = shingles.runs(hashes, MIN_WORDS)[at]
-                values = (doc, runs.view(np.int64), offsets(data, starts[at]).astype(np.int32), offsets(data, ends[at + MIN_WORDS - 1]).astype(np.int32))
+                runs, checks = (shingles.runs(h, MIN_WORDS, f)[at].view(np.int64) for h, f in ((hashes, shingles.FACTORS[0]), (shingles.words(data, shingles.FACTORS[1])[2], shingles.FACTORS[1])))
+                values = (doc, runs, checks, at.astype(np.int32), offsets(data, starts[at]).astype(np.int32), offsets(data, ends[at + MIN_WORDS - 1]).astype(np.int32))
                 for name, value in zip(rows, values, strict=True):
                     rows[name].append(value)
             yield base.batch_of(rows, schema)
 
-    return base.arrow_map(texts, run, "doc_id long, runs array<long>, lows array<int>, highs array<int>")
+    return base.arrow_map(texts, run, "doc_id long, runs array<long>, checks array<long>, at array<int>, lows array<int>, highs array<int>")
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -160,8 +165,11 @@ def _merged(rows: DataFrame) -> DataFrame:
     return base.arrow_map(rows, run, "doc_id long, start long, end long, first_doc_id long")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, start and end of each passage that a document of smaller doc_id has too, and the least such doc_id."""
+def repeats(docs: DataFrame, within: bool = False) -> DataFrame:
+    """doc_id, start and end of each passage that a document of smaller doc_id has too, and the least such doc_id.
+
+    With within also of passages that stand in the document itself before, with its own doc_id.
+    """
     made = base.materialise(_suffixes(docs), "suffixes")
     texts = made.groupBy("text_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys"), F.first("places").alias("places"), F.count("*").alias("n")
@@ -172,15 +180,21 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     zipped = texts.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("s"))
     suffixes = zipped.select("doc_id", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
-    places = _neighbours(suffixes).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = _neighbours(suffixes, within).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"))
     runs = base.materialise(_extended(rows.join(places, "doc_id").select("doc_id", "text", "places")), "runs")
 
-    each = runs.select("doc_id", F.explode(F.arrays_zip("runs", "lows", "highs")).alias("r"))
-    each = each.select("doc_id", F.col("r.runs").alias("run"), F.col("r.lows").alias("low"), F.col("r.highs").alias("high"))
-    first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
-    first = base.materialise(first, "first")  # read back, both sides of the join are shuffled for it, and Spark may split a hot run
-    again = each.join(first, "run").where("doc_id > first")
+    each = runs.select("doc_id", F.explode(F.arrays_zip("runs", "checks", "at", "lows", "highs")).alias("r"))
+    each = each.select("doc_id", F.struct("r.runs", "r.checks").alias("run"), F.col("r.at").alias("at"), F.col("r.lows").alias("low"), F.col("r.highs").alias("high"))
+    if within:
+        first = each.groupBy("run").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("run", F.col("f.doc_id").alias("first"), F.col("f.at").alias("first_at"), "n")
+        later = (F.col("doc_id") > F.col("first")) | (F.col("at") >= F.col("first_at") + MIN_WORDS)
+    else:
+        first = each.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first < last").select("run", "first", "n")
+        later = F.col("doc_id") > F.col("first")
+    first = base.materialise(first, "first")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    again = base.spread_join(each, first, "run", "doc_id", total).where(later)
     grouped = again.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "first")).alias("found"))
     return _merged(grouped).unionByName(copies)
 
