@@ -46,7 +46,11 @@ def signature(values: np.ndarray) -> np.ndarray | None:
 
 def of_text(text: str) -> bytes:
     """Fingerprint as bytes, empty for a text without words."""
-    found = signature(shingles.shingles(text))
+    return of_shingles(shingles.shingles(text))
+
+
+def of_shingles(values: np.ndarray) -> bytes:
+    found = signature(values)
     return b"" if found is None else ((found * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
@@ -57,6 +61,12 @@ def likeness(a: bytes, b: bytes) -> float:
     return float(max(0.0, (same - 1 / 256) / (1 - 1 / 256)))
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact likeness of two sets of shingles; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
 def edited(text: str, following: str) -> str:
     """text with its last quarter replaced by the start of the following text."""
     m = len(text) // 4
@@ -93,13 +103,14 @@ def _starts(docs: DataFrame, parts: int) -> list[int]:
 
 
 def compare(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Fingerprints of every document and its edited form, and likeness to that and to the next document.
+    """Fingerprints of every document and its edited form, and likeness to that and to the next document, with the exact Jaccard similarity of either pair.
 
     Texts are shuffled once, into ranges of doc_id that start at known ids. The first
     row of each range is also sent to the range before it, so that each task can pair
     its last row with the one that follows, without a window over the whole table.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:  # as many as the input has; a range is streamed, so its size is no matter of memory
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(docs.rdd.getNumPartitions(), 20_000))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("at"), F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text")
     )
@@ -119,7 +130,7 @@ def compare(docs: DataFrame, parts: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(parts_), pa.array(later), *(moved.column(i).cast(dealt_schema.field(i + 2).type) for i in range(3))], schema=dealt_schema)
 
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())]
+        [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("jaccard_edited", pa.float64()), ("jaccard_next", pa.float64())]
     )
 
     def run(batches):
@@ -127,17 +138,20 @@ def compare(docs: DataFrame, parts: int | None = None) -> DataFrame:
         for batch in batches:
             out = []
             for later, doc_id, text in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                print_ = of_text(text)
+                values = shingles.shingles(text)
+                print_ = of_shingles(values)
                 if held is not None and not held[3]:
                     changed = edited(held[1], text)
-                    other = held[2] if changed == held[1] else of_text(changed)
-                    out.append((held[0], len(held[1]), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), held[2].hex(), other.hex(), likeness(held[2], other), likeness(held[2], print_)))
-                held = (doc_id, text, print_, later)
+                    theirs = held[4] if changed == held[1] else shingles.shingles(changed)
+                    other = held[2] if changed == held[1] else of_shingles(theirs)
+                    digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
+                    out.append((held[0], len(held[1]), digest, held[2].hex(), other.hex(), likeness(held[2], other), likeness(held[2], print_), jaccard(held[4], theirs), jaccard(held[4], values)))
+                held = (doc_id, text, print_, later, values)
             if out:
                 yield base.batch_of(dict(zip(schema.names, zip(*out, strict=True), strict=True)), schema)
 
     dealt = base.arrow_map(rows, deal, "part int, later int, at long, doc_id long, text string")
     dealt = dealt.repartitionById(max(1, len(starts)), "part").sortWithinPartitions("later", "at", F.xxhash64("text"))
     return base.arrow_map(
-        dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
     )
