@@ -21,6 +21,7 @@ Repeated rows are packed each. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -34,6 +35,8 @@ from trailhead.llm import base
 LENGTH = 4096
 #: Tokens of a block of documents that are packed together.
 BLOCK_TOKENS = 4 << 20
+#: Sequences of a written id matrix.
+MATRIX_ROWS = 128
 
 
 class Residuals:
@@ -101,8 +104,11 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, si
     A row has pack_id, n_tokens, doc_ids and doc_starts (the piece's first token in its
     document) by segment, cu_seqlens (0, then where each segment ends), ids (size ids of
     16 bits, little-endian, filled up with end_id) and positions (as many, that begin at
-    0 in every segment and in the filling).
+    0 in every segment and in the filling). A vocabulary or a size that does not fit into
+    16 bits raises ValueError before anything is read.
     """
+    if max(end_id, *ranks.values()) > 0xFFFF or not 0 < size <= 0x10000:
+        raise ValueError("ids and positions must fit into 16 bits")
     schema = pa.schema(
         [
             ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())),
@@ -160,6 +166,74 @@ def matrices(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, positions, np.array(ends, np.int64)
 
 
+_MATRIX = "matrix_id long, n_rows int, size int, ids binary, positions binary, cu_seqlens array<int>, rows array<int>, doc_ids array<long>, doc_starts array<long>, pack_ids array<long>"
+
+
+def write_matrices(packed: DataFrame, size: int = LENGTH, rows: int = MATRIX_ROWS) -> DataFrame:
+    """Writes packed sequences as id matrices to a table in the shared folder, and reads the table back.
+
+    A row is a matrix of up to so many sequences: ids and positions (n_rows x size values of
+    16 bits, little-endian, row by row), cu_seqlens (0, then where each segment of the matrix
+    laid out in one row ends; the filling of a sequence is no segment), and for each segment
+    the number of its row, its doc_id and its first token; pack_ids names the rows.
+    """
+    schema = pa.schema(
+        [
+            ("matrix_id", pa.int64()), ("n_rows", pa.int32()), ("size", pa.int32()), ("ids", pa.binary()), ("positions", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())),
+            ("rows", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())), ("pack_ids", pa.list_(pa.int64())),
+        ]
+    )
+
+    def run(batches):
+        part, made, held = TaskContext.get().partitionId(), 0, []
+        for batch in itertools.chain(batches, [None]):
+            held += batch.to_pylist() if batch is not None else []
+            while len(held) >= rows or batch is None and held:
+                chosen, held = held[:rows], held[rows:]
+                ids, positions, ends = matrices(chosen)
+                each = [(i, d, s) for i, r in enumerate(chosen) for d, s in zip(r["doc_ids"], r["doc_starts"], strict=True)]
+                of, docs, starts = zip(*each, strict=True)
+                values = (part << 33 | made, len(chosen), size, ids.tobytes(), positions.tobytes(), ends, of, docs, starts, [r["pack_id"] for r in chosen])
+                yield base.batch_of({n: [v] for n, v in zip(schema.names, values, strict=True)}, schema)
+                made += 1
+
+    rows_ = packed.select("pack_id", "doc_ids", "doc_starts", "cu_seqlens", "ids", "positions")
+    return base.materialise(base.arrow_map(rows_, run, _MATRIX), "matrices", compression="zstd")
+
+
+def read_matrices(stored: DataFrame) -> DataFrame:
+    """The sequences of stored matrices, as ``pack`` makes them; a matrix that does not hold what it says raises ValueError."""
+    schema = pa.schema(
+        [
+            ("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())),
+            ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("positions", pa.binary()),
+        ]
+    )
+
+    def run(batches):
+        for batch in batches:
+            for m in batch.to_pylist():
+                size, wide, n = m["size"], 2 * m["size"], m["n_rows"]
+                ends, of = np.array(m["cu_seqlens"]), np.array(m["rows"])
+                positions = np.frombuffer(m["positions"], "<u2")
+                if len(m["ids"]) != n * wide or len(positions) != n * size or len(of) != len(ends) - 1 or (np.diff(ends) <= 0).any() or ends[-1] > n * size:
+                    raise ValueError("a matrix is not as large as it says")
+                bounds = np.searchsorted(of, np.arange(n + 1))
+                out = {f.name: [] for f in schema}
+                for i in range(n):
+                    own = slice(bounds[i], bounds[i + 1])
+                    cu = np.concatenate([[0], ends[1:][own] - i * size])
+                    starts = np.append(cu[:-1], cu[-1]) if cu[-1] < size else cu[:-1]
+                    if positions[i * size + starts].any():
+                        raise ValueError("positions do not begin anew at a segment")
+                    values = (m["pack_ids"][i], cu[-1], m["doc_ids"][own], m["doc_starts"][own], cu, m["ids"][i * wide : (i + 1) * wide], m["positions"][i * wide : (i + 1) * wide])
+                    for name, value in zip(out, values, strict=True):
+                        out[name].append(value)
+                yield base.batch_of(out, schema)
+
+    return base.arrow_map(stored, run, "pack_id long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, ids binary, positions binary")
+
+
 def best_fit_apart(items: list[tuple], size: int) -> list[list[int]]:
     """Bins as lists of numbers of items (length, source, cluster), no bin with two of a source or of a cluster."""
     keys = [[(kind, item[kind]) for kind in (1, 2) if item[kind] is not None] for item in items]
@@ -187,35 +261,40 @@ def best_fit_apart(items: list[tuple], size: int) -> list[list[int]]:
     return bins
 
 
-def counted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, source: str = "source", cluster=None) -> DataFrame:
-    """doc_id, length in tokens with an end mark, source, cluster and the key of the text of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("length", pa.int64()), ("source", pa.string()), ("cluster", pa.int64()), ("text_key", pa.binary())])
+def counted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, source: str = "source", cluster=None, end_id: int | None = None) -> DataFrame:
+    """doc_id, length in tokens with an end mark, source, cluster and the key of the text of each row; with end_id also the ids, of 32 bits."""
+    schema = pa.schema([("doc_id", pa.int64()), ("length", pa.int64()), ("source", pa.string()), ("cluster", pa.int64()), ("text_key", pa.binary()), ("ids", pa.binary())])
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches):
         encode = tokenizer(*sent.value)
         for batch in batches:
-            lengths = [len(encode(text)) + 1 for text in batch.column(1).to_pylist()]
-            yield base.batch_of({"length": lengths} | {n: batch.column(n) for n in schema.names if n != "length"}, schema)
+            found = [encode(text) for text in batch.column(1).to_pylist()]
+            ids = [None if end_id is None else np.array([*x, end_id], "<i4").tobytes() for x in found]
+            own = {"length": [len(x) + 1 for x in found], "ids": ids}
+            yield base.batch_of(own | {n: batch.column(n) for n in schema.names if n not in own}, schema)
 
     text = base.text_or_empty()
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(source).cast("string").alias("source"),
         (F.xxhash64(text) if cluster is None else cluster.cast("long")).alias("cluster"), F.unhex(F.md5(text)).alias("text_key"),
     )
-    return base.arrow_map(rows, run, "doc_id long, length long, source string, cluster long, text_key binary")
+    made = base.arrow_map(rows, run, "doc_id long, length long, source string, cluster long, text_key binary, ids binary")
+    return made.drop("ids") if end_id is None else made
 
 
 def apart(rows: DataFrame, size: int = LENGTH) -> DataFrame:
     """Bins of the pieces of rows (doc_id, length, source, cluster) that share neither a source nor a cluster.
 
     A row has bin_id, used, capacity, and by piece doc_ids, doc_starts, lengths (in tokens,
-    an end mark included), sources and clusters.
+    an end mark included), sources and clusters; where rows have ids, also the ids of all
+    pieces, of 32 bits, little-endian.
     """
+    with_ids = "ids" in rows.columns
     schema = pa.schema(
         [
             ("bin_id", pa.int64()), ("used", pa.int32()), ("capacity", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())),
-            ("lengths", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("clusters", pa.list_(pa.int64())),
+            ("lengths", pa.list_(pa.int32())), ("sources", pa.list_(pa.string())), ("clusters", pa.list_(pa.int64())), *([("ids", pa.binary())] if with_ids else []),
         ]
     )
 
@@ -224,16 +303,18 @@ def apart(rows: DataFrame, size: int = LENGTH) -> DataFrame:
 
         def packed(block):
             nonlocal made
-            items = [(n, s, c, doc, start) for doc, length, s, c in block for start, n in pieces(length, size)]
+            items = [(n, s, c, doc, start, ids) for doc, length, s, c, ids in block for start, n in pieces(length, size)]
             bins = best_fit_apart([i[:3] for i in items], size)
-            rows = {f.name: [] for f in schema}
-            for chosen in bins:
-                own = [items[i] for i in chosen]
-                values = (part << 33 | made, sum(i[0] for i in own), size, [i[3] for i in own], [i[4] for i in own], [i[0] for i in own], [i[1] for i in own], [i[2] for i in own])
-                made += 1
-                for name, value in zip(rows, values, strict=True):
-                    rows[name].append(value)
-            return base.batch_of(rows, schema)
+            for at in range(0, len(bins), 1024):
+                rows = {f.name: [] for f in schema}
+                for chosen in bins[at : at + 1024]:
+                    own = [items[i] for i in chosen]
+                    values = [part << 33 | made, sum(i[0] for i in own), size, [i[3] for i in own], [i[4] for i in own], [i[0] for i in own], [i[1] for i in own], [i[2] for i in own]]
+                    values += [b"".join(i[5][4 * i[4] : 4 * (i[4] + i[0])] for i in own)] if with_ids else []
+                    made += 1
+                    for name, value in zip(rows, values, strict=True):
+                        rows[name].append(value)
+                yield base.batch_of(rows, schema)
 
         block, held = [], 0
         for batch in batches:
@@ -241,27 +322,32 @@ def apart(rows: DataFrame, size: int = LENGTH) -> DataFrame:
                 block.append(row)
                 held += row[1]
                 if held >= BLOCK_TOKENS:
-                    yield packed(block)
+                    yield from packed(block)
                     block, held = [], 0
         if block:
-            yield packed(block)
+            yield from packed(block)
 
+    ids = F.col("ids") if with_ids else F.lit(None).cast("binary").alias("ids")
     return base.arrow_map(
-        rows.select("doc_id", "length", "source", "cluster"), run,
-        "bin_id long, used int, capacity int, doc_ids array<long>, doc_starts array<long>, lengths array<int>, sources array<string>, clusters array<long>",
+        rows.select("doc_id", "length", "source", "cluster", ids), run,
+        "bin_id long, used int, capacity int, doc_ids array<long>, doc_starts array<long>, lengths array<int>, sources array<string>, clusters array<long>" + (", ids binary" if with_ids else ""),
     )
 
 
-def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source", cluster=None) -> DataFrame:
-    """Bins of documents' pieces as in ``apart``; cluster is a column of docs (default: the hash of the text, so that exact copies are apart)."""
-    return apart(counted(docs, ranks, pattern, source, cluster), size)
+def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source", cluster=None, end_id: int | None = None) -> DataFrame:
+    """Bins of documents' pieces as in ``apart``; cluster is a column of docs (default: the hash of the text, so that exact copies are apart).
+
+    With end_id the bins hold the ids too, each document closed by end_id.
+    """
+    return apart(counted(docs, ranks, pattern, source, cluster, end_id), size)
 
 
 def pack_classes_apart(docs: DataFrame, named: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source") -> DataFrame:
-    """Bins as in ``apart`` with the class of a text in named (text_key, class_id) as its cluster, the hash of the text where it has none.
+    """Bins as in ``apart`` with the class of a text in named (text_key, class_id, n) as its cluster, the hash of the text where it has none.
 
     No texts are shuffled; rows are dealt anew after the join, so that a class is spread over blocks.
     """
-    rows = counted(docs, ranks, pattern, source).join(named, "text_key", "left")
+    rows = counted(docs, ranks, pattern, source).withColumn("at", F.monotonically_increasing_id())
+    rows = base.spread_join(rows, named, "text_key", "at", docs.count(), how="left")
     rows = rows.withColumn("cluster", F.coalesce("class_id", "cluster")).repartition(F.xxhash64("doc_id", "text_key"))
     return apart(rows, size)
