@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -450,50 +449,68 @@ def store(docs: DataFrame) -> DataFrame:
     return base.arrow_map(rows, run, "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(stored: DataFrame) -> DataFrame:
-    """(doc_id, block, first_sample, pcm) of every stream: one row for each block of unsigned 8-bit samples."""
-    schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int32()), ("first_sample", pa.int64()), ("pcm", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            for doc_id, samples in zip(batch.column(0).to_pylist(), decode(batch.column(1).to_pylist()), strict=True):
-                rows = (samples + 128).astype(np.uint8).reshape(-1, BLOCK)
-                yield base.batch_of({"doc_id": [doc_id] * len(rows), "block": range(len(rows)), "first_sample": [i * BLOCK for i in range(len(rows))], "pcm": [r.tobytes() for r in rows]}, schema)
+def stored(docs: DataFrame) -> DataFrame:
+    """``store``, written to a table in the shared folder and read back."""
+    return base.materialise(store(docs), "media", compression="zstd")
 
-    return base.arrow_map(stored.select("doc_id", "media"), run, "doc_id long, block int, first_sample long, pcm binary")
 
+def pcm(media: DataFrame) -> DataFrame:
+    """The decoded streams of ``store``: doc_id, n_bytes, media_bytes, media_sha256, feature, first_samples, offsets and pcm.
 
-def features(samples: np.ndarray) -> str:
-    """Peak, root mean square, share of sign changes about the mean and mean step, as text."""
-    x = samples.astype(np.float64)
-    centred = x - x.mean()
-    turns = np.count_nonzero(np.diff(np.signbit(centred))) / max(1, len(x) - 1)
-    return f"peak={int(np.abs(samples).max())};rms={np.sqrt((x * x).mean()):.3f};turns={turns:.4f};step={np.abs(np.diff(x)).mean() if len(x) > 1 else 0:.3f}"
-
-
-def described(stored: DataFrame) -> DataFrame:
-    """Digests of the streams of store() and of what they hold, read back."""
+    pcm holds the unsigned 8-bit samples of all blocks in a row; block i begins at sample
+    first_samples[i] and its frame at byte offsets[i] of the stream, so either can be sought.
+    """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-    )
+        [
+            ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
+            ("first_samples", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("pcm", pa.binary()),
+        ]
+    )
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            media = batch.column(2).to_pylist()
-            decoded = decode(media)
-            payloads = [(d + 128).astype(np.uint8).tobytes() for d in decoded]
+            streams = batch.column(2).to_pylist()
+            infos = [_stream_info(m) for m in streams]
+            decoded = decode(streams)
             yield base.batch_of(
                 {
-                    "doc_id": batch.column(0), "n_bytes": batch.column(1), "payload_bytes": [len(p) for p in payloads],
-                    "payload_sha256": [hashlib.sha256(p).hexdigest() for p in payloads], "tail_crc32": [zlib.crc32(p[-32:]) for p in payloads],
-                    "media_bytes": [len(m) for m in media], "media_sha256": [hashlib.sha256(m).hexdigest() for m in media], "feature": [features(d) for d in decoded],
+                    "doc_id": batch.column(0), "n_bytes": batch.column(1), "media_bytes": [len(m) for m in streams], "media_sha256": [hashlib.sha256(m).hexdigest() for m in streams],
+                    "feature": [features(d) for d in decoded], "first_samples": [i["seek"]["first"].astype(np.int64) for i in infos],
+                    "offsets": [i["at"] + i["seek"]["offset"].astype(np.int64) for i in infos], "pcm": [(d + 128).astype(np.uint8).tobytes() for d in decoded],
                 },
                 schema,
             )
 
     return base.arrow_map(
-        stored.select("doc_id", "n_bytes", "media"), run,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
+        media.select("doc_id", "n_bytes", "media"), run,
+        "doc_id long, n_bytes long, media_bytes long, media_sha256 string, feature string, first_samples array<long>, offsets array<long>, pcm binary",
+    )
+
+
+def write_pcm(media: DataFrame) -> DataFrame:
+    """``pcm``, written to a table in the shared folder and read back."""
+    return base.materialise(pcm(media), "pcm", compression="zstd")
+
+
+def pcm_blocks(media: DataFrame) -> DataFrame:
+    """(doc_id, block, first_sample, pcm) of every stream: one row for each block of unsigned 8-bit samples."""
+    rows = pcm(media).select("doc_id", F.posexplode("first_samples").alias("block", "first_sample"), F.col("pcm").alias("all_"))
+    return rows.select("doc_id", "block", "first_sample", F.substring("all_", F.col("first_sample").cast("int") + 1, F.lit(BLOCK)).alias("pcm"))
+
+
+def features(samples: np.ndarray) -> str:
+    """Peak, root mean square, share of sign changes about the mean and mean step, as text."""
+    x = samples.astype(np.float64)
+    centred = x - x.mean()
+    turns = np.count_nonzero(np.diff(np.signbit(centred))) / max(1, len(x) - 1)
+    return f"peak={int(np.abs(samples).max())};rms={np.sqrt((x * x).mean()):.3f};turns={turns:.4f};step={np.abs(np.diff(x)).mean() if len(x) > 1 else 0:.3f}"
+
+
+def described(media: DataFrame) -> DataFrame:
+    """Digests of the streams of ``store`` and of the PCM blocks that they are decoded to."""
+    return pcm(media).select(
+        "doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"), F.crc32(F.substring("pcm", -32, 32)).alias("tail_crc32"),
+        "media_bytes", "media_sha256", "feature", F.size("first_samples").cast("long").alias("n_blocks"),
     )

@@ -36,7 +36,7 @@ def op3_document_fingerprints(spark, sf_dir):
 
 def op4_packed_token_ids(spark, sf_dir):
     packed = packing.pack(base.table(spark, sf_dir, "documents"), *ranks_and_pattern(), END_ID)
-    return packed.select(
+    return packing.read_matrices(packing.write_matrices(packed)).select(
         "pack_id", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256")
     )
 
@@ -58,7 +58,7 @@ def op8_suffix_array_dedup(spark, sf_dir):
 
 
 def op9_flac_media(spark, sf_dir):
-    return flac.described(flac.store(base.table(spark, sf_dir, "documents")))
+    return flac.described(flac.stored(base.table(spark, sf_dir, "documents")))
 
 
 def op10_conflict_packing(spark, sf_dir):
