@@ -12,6 +12,7 @@ import numpy as np
 WORDS = 5
 _BASE = 0x9E3779B97F4A7C15 | 1
 _PIECE = 1 << 20
+_KEPT = 44
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 #: Factors of two independent hashes, each of words and of their runs.
@@ -91,7 +92,8 @@ def shingles(text: str, length: int = WORDS) -> np.ndarray:
 def counted(texts: list[str], length: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of all texts: their hashes, how often each occurs in its text, and the number of distinct ones of each text.
 
-    The texts are laid out in a row and hashed at once, in groups of about a piece.
+    The texts are laid out in a row and hashed at once, in groups of about a piece. Of a hash
+    the first 44 bits are kept, the others are 0.
     """
     found, at = [], 0
     datas = [t.encode("utf-8", "replace") for t in texts]
@@ -121,12 +123,13 @@ def _counted(datas: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     if len(short):  # texts of fewer words have one shingle of all of them
         grams = np.concatenate([grams, *(runs(hashes[first[i] : first[i] + count[i]], int(count[i])) for i in short)])
         owner = np.concatenate([owner, short])
-    order = np.lexsort((grams, owner))
-    grams, owner = grams[order], owner[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    # one sort of one key: the text's number above the first 44 bits of the hash
+    key = np.sort(owner.astype(np.uint64) << np.uint64(_KEPT) | grams >> np.uint64(64 - _KEPT))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     at = np.flatnonzero(new)
-    return grams[at], np.diff(np.append(at, len(grams))), np.bincount(owner[at], minlength=n)
+    sizes = np.bincount((key[at] >> np.uint64(_KEPT)).astype(np.int64), minlength=n)
+    return key[at] << np.uint64(64 - _KEPT), np.diff(np.append(at, len(key))), sizes
 
 
 def numbered(hashes: np.ndarray, times: np.ndarray) -> np.ndarray:
