@@ -167,7 +167,7 @@ def _sketched(docs: DataFrame, sketch) -> DataFrame:
             texts = batch.column(1).to_pylist()
             keys, bits = sketch.sketches(texts)
             made = [hashlib.md5(t.encode("utf-8", "replace"), usedforsecurity=False).digest() for t in texts]
-            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": list(keys.view(np.int64)), "bits": list(bits.view(np.int64))}, schema)
+            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": base.lists_of(keys.view(np.int64).ravel(), BANDS, len(texts)), "bits": base.lists_of(bits.view(np.int64).ravel(), 2, len(texts))}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"))
     return base.arrow_map(rows, run, "doc_id long, text_key binary, keys array<long>, bits array<long>")
