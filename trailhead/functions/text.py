@@ -17,7 +17,7 @@ PATH_TYPES = (
     ("service_lifecycle", ("onstartcommand", "onbind")),
     ("broadcast_receiver", ("onreceive",)),
     ("background_thread", ("run", "doinbackground")),
-    ("menu_interaction", ("onoptionsitemselected", "oncontextitemselected")),
+    ("menu_interaction", ("onoptionsitemselected", "onmenuitemclick")),
 )
 # Words that make a method's name interesting.
 INTERESTING = ("click", "save", "delete", "update", "menu", "button", "touch", "submit", "send", "create")
@@ -26,7 +26,23 @@ COMPARISONS = ((" gt ", " > "), (" lt ", " < "), (" ge ", " >= "), (" le ", " <=
 # Component words in simple class names.
 COMPONENTS = ("Activity", "Fragment", "Service", "Worker", "Receiver", "Dialog")
 # Lifecycle callbacks.
-LIFECYCLE = ("onCreate", "onStart", "onResume", "onPause", "onStop", "onDestroy", "onRestart", "onStartCommand", "onBind", "onReceive", "onCreateView", "onViewCreated", "onAttach", "onDetach")
+LIFECYCLE = (
+    "onCreate", "onStart", "onResume", "onPause", "onStop", "onDestroy", "onCreateView", "onViewCreated", "onDestroyView", "onStartCommand", "onBind", "onUnbind", "onReceive", "doWork",
+)
+# Beginnings of class names that a call graph leaves out as not of the app.
+NOT_OF_APP = ("java.", "javax.", "android.", "androidx.", "com.google.", "org.apache.")
+# Beginnings of packages of the platform and of common libraries.
+FRAMEWORK = (
+    "android.", "com.android.", "java.", "javax.", "com.google.android.", "com.facebook.", "com.paypal.", "ly.kite.", "io.card.", "com.stripe.", "com.crashlytics.", "com.appsflyer.",
+)
+# Beginnings of class names of the system.
+SYSTEM = ("android.", "java.", "javax.", "sun.", "org.omg.", "org.w3c.dom.", "com.google.", "com.android.")
+# Component of each base class of the platform.
+COMPONENT_OF = {
+    "android.app.Activity": "Activity", "androidx.appcompat.app.AppCompatActivity": "Activity", "androidx.fragment.app.Fragment": "Fragment", "android.app.Fragment": "Fragment",
+    "androidx.fragment.app.DialogFragment": "Fragment", "android.app.Service": "Service", "androidx.work.Worker": "Worker", "android.content.BroadcastReceiver": "Receiver",
+    "android.app.Dialog": "Dialog", "androidx.appcompat.app.AlertDialog": "Dialog",
+}
 # Severities from worst to least.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM")
 
@@ -101,8 +117,34 @@ def likely_entry(name, component) -> Column:
     return ~n.isin("<init>", "<clinit>") & (n.startswith("on") | data)
 
 
-def framework_class(class_name) -> Column:
-    return _col(class_name).rlike(r"^(java|javax|android|androidx|kotlin|kotlinx)\.")
+def begins(c, prefixes) -> Column:
+    """Whether a name begins with one of the prefixes."""
+    return reduce(lambda a, b: a | b, (F.startswith(_col(c), F.lit(p)) for p in prefixes), F.lit(False))
+
+
+def app_specific(class_name) -> Column:
+    return ~begins(class_name, NOT_OF_APP)
+
+
+def framework_package(package) -> Column:
+    return begins(package, FRAMEWORK)
+
+
+def system_class(class_name) -> Column:
+    return begins(class_name, SYSTEM)
+
+
+def unseen_by_wrappers(class_name, name) -> Column:
+    """Calls that the skip rule lets no taint into: construction of plain objects and threads, class initialisers of objects, getClass."""
+    c, n = _col(class_name), _col(name)
+    return ((c == "java.lang.Object") & n.isin("<init>", "<clinit>", "getClass")) | ((c == "java.lang.Thread") & (n == "<init>"))
+
+
+def labelled_component(class_name, above) -> Column:
+    """Component of a class by its own name, else by the names of the classes above it, else by words in its name."""
+    pairs = F.create_map(*(F.lit(x) for pair in COMPONENT_OF.items() for x in pair))
+    up = F.filter(F.transform(_col(above), lambda x: F.try_element_at(pairs, x)), lambda x: x.isNotNull())
+    return F.coalesce(F.try_element_at(pairs, _col(class_name)), F.try_element_at(up, F.lit(1)), component_label(class_name))
 
 
 def root_package(class_name) -> Column:
@@ -234,8 +276,13 @@ def xml_escaped(text) -> Column:
 
 
 def file_name(text) -> Column:
-    """A name that every file system takes."""
-    return F.substring(F.regexp_replace(_col(text), r"[^A-Za-z0-9._-]", "_"), 1, 100)
+    """A name that every file system takes, cut to 100 characters for display."""
+    return F.substring(safe_name(text), 1, 100)
+
+
+def safe_name(text) -> Column:
+    """The name in full, with characters that a file system may refuse replaced."""
+    return F.regexp_replace(_col(text), r"[^A-Za-z0-9._-]", "_")
 
 
 def length_bucket(n) -> Column:
@@ -258,3 +305,46 @@ def bundle_type(method) -> Column:
     """Type that a put... method of a bundle stores."""
     name = F.regexp_extract(_col(method), r"^put(\w+)$", 1)
     return F.when(name == "Extra", "Object").when(name != "", name)
+
+
+def chain_summary(path_type, reachable, methods) -> Column:
+    """A readable block of a call chain; a fixed line where there is none."""
+    m = _col(methods)
+    steps = F.array_join(F.transform(m, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x, F.lit("\n"))), "")
+    head = F.concat(F.lit("Path Type: "), _col(path_type), F.lit("\nReachable: "), _col(reachable).cast("string"), F.lit("\nCall Chain ("), F.size(m).cast("string"), F.lit(" methods):\n"))
+    return F.when(m.isNull() | (F.size(m) == 0), "No call chain available").otherwise(F.concat(head, steps))
+
+
+def unreachable_chain(sig) -> Column:
+    """The chain of a method that nothing leads to."""
+    return F.array(F.lit("NoPathFound"), _col(sig))
+
+
+def framework_info(section) -> Column:
+    """Framework method and return type named in a section of variables."""
+    found = lambda word: _first(_col(section), rf"(?i){word}:\s*(.+?)(?=\n|$)")
+    method, kind = F.trim(found("Framework Method")), F.trim(found("Return Type"))
+    made = F.concat_ws("; ", F.concat(F.lit("Framework method: "), method), F.concat(F.lit("Returns: "), kind))
+    return F.when(made == "", "Technical condition analysis").otherwise(made)
+
+
+def boolean_format(section, business) -> Column:
+    """A plain comparison of the first variable of a section, else the business text."""
+    name = F.trim(_first(_col(section), r"(?i)Variable:\s*(.+?)(?=\n|$)"))
+    return F.coalesce(F.concat(name, F.lit(" == condition_value")), _col(business), F.lit("condition_check"))
+
+
+def stable_id(kind: str, *parts) -> Column:
+    """An id that depends on the parts alone."""
+    return F.concat(F.lit(f"{kind}_"), F.substring(F.sha2(F.concat_ws("|", *(_col(p) for p in parts)), 256), 1, 16))
+
+
+def base_values(kind, operands, keep_array: bool = False) -> Column:
+    """The values that a taint of an expression rests on: both sides of a binary one, else its operand without casts and the like.
+
+    kind is array, cast, new_array, instance_of, unary, binary or plain; operands are in order, an array's base first.
+    """
+    k, o = _col(kind), _col(operands)
+    inner = k.isin("cast", "new_array", "instance_of", "unary", *([] if keep_array else ["array"]))
+    whole = F.array_join(o, ",")
+    return F.when(k == "binary", F.slice(o, 1, 2)).when(inner, F.slice(o, 1, 1)).otherwise(F.array(whole))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailhead.operators import constraints, recursion
+from trailhead.operators import constraints
 from trailhead.storage import checkpointed
 
 
@@ -97,8 +97,23 @@ def composite_paths(calls: DataFrame, roots: DataFrame, max_depth: int = 50) ->
 
 
 def component_methods(calls: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, method): methods that each component's own methods lead to."""
-    return recursion.closure(calls).join(components.select("component", F.col("method").alias("src")), "src").select("component", F.col("dst").alias("method")).unionByName(components.select("component", "method")).distinct()
+    """(component, method): each component's own methods and those they lead to; the frontier holds pairs of components and methods only."""
+    seen = frontier = checkpointed(components.select("component", "method").distinct())
+    calls = checkpointed(calls.select("src", "dst").distinct())
+    while True:
+        step = frontier.join(calls, frontier["method"] == calls["src"]).select("component", F.col("dst").alias("method")).distinct()
+        frontier = checkpointed(step.join(seen, ["component", "method"], "left_anti"))
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def sink_leading(calls: DataFrame, edges: DataFrame, reach: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Calls (method, callee, ...) that lead to a sink (node): into it, or into a method of reach (node) that the call graph has them call."""
+    direct = calls.join(sinks.select(F.col("node").alias("callee")).distinct(), "callee", "left_semi")
+    others = calls.join(sinks.select(F.col("node").alias("callee")).distinct(), "callee", "left_anti")
+    known = edges.join(reach.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("method"), F.col("dst").alias("callee")).distinct()
+    return direct.unionByName(others.join(known, ["method", "callee"], "left_semi"))
 
 
 def contains_sink(paths: DataFrame, sinks: DataFrame) -> DataFrame:

@@ -25,21 +25,29 @@ def flow_edges(stmts: DataFrame, jumps: dict[str, int] | None = None) -> DataFra
 
 
 def numbered(stmts: DataFrame) -> DataFrame:
-    """Statements with the number of their basic block."""
+    """Statements with the number of their basic block.
+
+    A statement leads a block if it is the first, follows a branch or is a branch's target. A
+    target lies a known distance after its branch, so one window over the method tells all three.
+    """
     order = Window.partitionBy("method").orderBy("ordinal")
-    targets = flow_edges(stmts).where("dst > src + 1").select("method", F.col("dst").cast("int").alias("ordinal"), F.lit(True).alias("target")).distinct()
-    leader = (F.col("ordinal") == 1) | F.lag("kind").over(order).isin(*BRANCHES) | F.col("target").isNotNull()
-    made = stmts.join(targets, ["method", "ordinal"], "left").withColumn("leader", F.when(leader, 1).otherwise(0))
+    leader = (F.col("ordinal") == 1) | F.lag("kind").over(order).isin(*BRANCHES)
+    for kind, step in JUMPS.items():
+        leader = leader | (F.coalesce(F.lag("kind", step).over(order), F.lit("")) == kind)
+    made = stmts.withColumn("leader", F.when(leader, 1).otherwise(0))
     return made.withColumn("block", F.sum("leader").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
 
 
 def _parts(stmts: DataFrame):
     rows = numbered(stmts)
-    spans = rows.groupBy("method", "block").agg(F.count("*").alias("n_units"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
-    flow = flow_edges(stmts).select("method", F.col("src").cast("int").alias("high"), F.col("dst").cast("int").alias("ordinal"))
-    starts = rows.select("method", "ordinal", F.col("block").alias("succ"))
-    jumps = spans.select("method", "block", "high").join(flow, ["method", "high"]).join(starts, ["method", "ordinal"]).select("method", "block", "succ").distinct()
-    return rows, spans, jumps
+    order = Window.partitionBy("method").orderBy("ordinal")
+    # the block of the next statement and of a taken branch's target, looked up in the same window
+    ahead = [F.lead("block").over(order), *(F.when(F.col("kind") == k, F.lead("block", n).over(order)) for k, n in JUMPS.items())]
+    reach = rows.withColumn("ahead", F.array_compact(F.array(*ahead)))
+    last = F.max_by("ahead", "ordinal")
+    spans = reach.groupBy("method", "block").agg(F.count("*").alias("n_units"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), last.alias("ahead"))
+    jumps = spans.select("method", "block", F.explode(F.array_distinct("ahead")).alias("succ"))
+    return rows, spans.drop("ahead"), jumps
 
 
 def blocks(stmts: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailhead.operators import recursion
@@ -62,3 +62,22 @@ def more_precise(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     down = below.select(F.col("sup").alias("a"), F.col("sub").alias("b"), F.lit(True).alias("b_below"))
     found = pairs.join(up, ["a", "b"], "left").join(down, ["a", "b"], "left")
     return found.select("a", "b", F.when(F.col("a_below"), F.col("a")).when(F.col("b_below"), F.col("b")).alias("precise"))
+
+
+def can_have_aliases(form, kind, sub_fields, overwritten) -> Column:
+    """Whether a newly tainted value can have aliases.
+
+    form is local, array_ref, field, static, constant or other; kind is primitive, string, array
+    or object; sub_fields says that the fact taints all fields; overwritten that a local's whole
+    value is replaced.
+    """
+    f, k = (F.col(c) if isinstance(c, str) else c for c in (form, kind))
+    whole, sub = (F.col(c) if isinstance(c, str) else c for c in (overwritten, sub_fields))
+    heap = f.isin("array_ref", "field", "static")
+    return F.when(whole, False).when(heap, True).when((f == "constant") | k.isin("primitive", "string"), False).otherwise(((f == "local") & (k == "array")) | sub)
+
+
+def can_have_aliases_right(form, kind) -> Column:
+    """The same for the right side of a definition, where any local that is no primitive or string may have some."""
+    f, k = (F.col(c) if isinstance(c, str) else c for c in (form, kind))
+    return F.when(f.isin("array_ref", "field", "static"), True).when((f == "constant") | k.isin("primitive", "string"), False).otherwise(f == "local")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from trailhead.storage import checkpointed
 
+#: Rounds after which the tables of earlier rounds are folded into one.
+FOLD = 8
+
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -32,6 +35,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None)
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % FOLD == 0:  # one table again, so that a round doesn't read all earlier ones
+            seen = checkpointed(seen)
     return seen
 
 
@@ -49,12 +54,6 @@ def closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     return seen
 
 
-def _grown(paths: DataFrame, edges: DataFrame, cap=None) -> DataFrame:
-    """Paths joined with the edges that leave their last node; cap bounds the rank of an edge."""
-    out = paths.join(edges, F.element_at("path", -1) == edges["src"])
-    return out if cap is None else out.where(F.col("rank") <= cap)
-
-
 def simple_paths(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, emit_cycles: bool = False, min_nodes: int = 1) -> DataFrame:
     """(path, kind): walks without repeated nodes from the starts (node) to a node without edges.
 
@@ -97,9 +96,10 @@ def caller_paths(edges: DataFrame, sinks: DataFrame, fanout: dict[int, int] | No
     calls = checkpointed(calls.where(F.col("rank") <= max([default, *fanout.values()])))
     paths, done = checkpointed(sinks.select(F.array("node").alias("path")).distinct()), []
     for depth in range(max_depth + 1):
-        roots = paths.join(calls.select("src").distinct(), F.element_at("path", -1) == F.col("src"), "left_anti")
-        done.append(roots.select(F.reverse("path").alias("path"), F.lit(depth).alias("depth")))
-        grown = _grown(paths, calls, fanout.get(depth, default)).where(~F.array_contains("path", F.col("dst")))
+        # one join: a path without callers has a null
+        out = paths.join(calls, F.element_at("path", -1) == calls["src"], "left")
+        done.append(out.where("dst IS NULL").select(F.reverse("path").alias("path"), F.lit(depth).alias("depth")))
+        grown = out.where("dst IS NOT NULL").where((F.col("rank") <= fanout.get(depth, default)) & ~F.array_contains("path", F.col("dst")))
         paths = checkpointed(grown.select(F.concat("path", F.array("dst")).alias("path")))
         if paths.isEmpty():
             break

@@ -92,6 +92,11 @@ def dependencies(flows: DataFrame) -> DataFrame:
     return named.join(flows.select(F.col("class").alias("needs")).distinct(), "needs", "left_anti").select("class", "needs")
 
 
+def processing_order(uses: DataFrame) -> DataFrame:
+    """(class, n): classes by the number of others that they need (class, needs), so that the most independent are summarised first."""
+    return uses.groupBy("class").agg(F.count_distinct("needs").alias("n")).orderBy("n", "class")
+
+
 def listed(calls: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame:
     """(call, action) by a wrapper list: rules (kind, class, method); the nearest class that says anything decides;
     at equal distance exclusion comes before killing before propagation."""

@@ -18,6 +18,7 @@ shared by all methods.
 
 from __future__ import annotations
 
+import itertools
 from collections import defaultdict, deque
 from dataclasses import dataclass, field
 
@@ -25,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailhead.operators import frontend
 from trailhead.storage import checkpointed
 
 MAX_FIELDS = 5
@@ -41,7 +43,6 @@ class Rules:
     statics: bool = True
     casts: set | None = None
     wrappers: dict = field(default_factory=dict)  # callee to flows (from, from_fields, to, to_fields); "kill" lists what is cleared
-    exclusive: bool = True  # a wrapped call's arguments don't keep flowing into an unknown body
 
 
 def parse(fact: str):
@@ -83,10 +84,11 @@ def _regions(succ, nodes):
     return out
 
 
-def solve_method(method, stmts: list[dict], succ: dict, entries, summaries, params: dict, rules: Rules):
+def solve_method(method, stmts: list[dict], succ: dict, entries, summaries, params: dict, rules: Rules, uses: dict | None = None):
     """(exits, calls, hits) of one method: facts at its end by entry fact, facts that enter callees, and sinks reached.
 
-    summaries: callee to {entry fact: set of exit facts}; params: method to its formal names.
+    summaries: callee to {entry fact: set of exit facts}; params: method to its formal names;
+    uses: callee to the statics that it or what it calls touches (None: any).
     """
     by_id = {s["stmt"]: s for s in stmts}
     order = [s["stmt"] for s in stmts]
@@ -163,7 +165,7 @@ def solve_method(method, stmts: list[dict], succ: dict, entries, summaries, para
             elif kind == "return" and s["rhs"] == base:
                 exits.add((d1, fact(source, "@ret", fields)))
             elif kind == "call":
-                keep = _call(s, source, base, fields, keep, out, calls, summaries, params, rules)
+                keep = _call(s, source, base, fields, keep, out, calls, summaries, params, rules, uses)
             if keep:
                 out.add(d2)
         following = succ.get(n, ())
@@ -180,15 +182,15 @@ def solve_method(method, stmts: list[dict], succ: dict, entries, summaries, para
     return exits, calls, hits
 
 
-def _call(s, source, base, fields, keep, out, calls, summaries, params, rules):
+def _call(s, source, base, fields, keep, out, calls, summaries, params, rules, uses):
     callee, args = s["callee"], s["args"]
     if callee in params:
         inside = [fact(source, formal, fields) for formal, actual in zip(params[callee], args, strict=False) if actual == base]
         if s["base"] == base:
             inside.append(fact(source, "@this", fields))
-        if base.startswith("static "):
+        if base.startswith("static ") and (uses is None or base in uses.get(callee, ())):
             inside.append(fact(source, base, fields))
-            keep = False  # the callee decides what stays
+            keep = False  # the callee decides what stays; one that never touches the static is passed by
         for x in inside:
             calls.add((callee, x))
             for y in summaries.get(callee, {}).get(x, ()):
@@ -219,7 +221,7 @@ def _returned(exit_fact, s, params):
     return [fact(source, names[base], fields)] if names.get(base) else []
 
 
-def flows(stmts: DataFrame, cfg: DataFrame, params: DataFrame, roots: DataFrame, rules: Rules | None = None, max_rounds: int = 200) -> DataFrame:
+def flows(stmts: DataFrame, cfg: DataFrame, params: DataFrame, roots: DataFrame, rules: Rules | None = None, max_rounds: int | None = None) -> DataFrame:
     """(method, sink, source, fact): sinks that facts reach from the source statements.
 
     stmts are rows of STATEMENT; cfg is (method, src, dst); params is (method, names array);
@@ -232,7 +234,7 @@ def flows(stmts: DataFrame, cfg: DataFrame, params: DataFrame, roots: DataFrame,
     return hits.select("method", F.col("stmt").alias("sink"), parts[0].cast("long").alias("source"), F.concat_ws(".", parts[1], F.nullif(parts[2], F.lit(""))).alias("fact")).distinct()
 
 
-def generated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, rules: Rules | None = None, max_rounds: int = 200) -> DataFrame:
+def generated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, rules: Rules | None = None, max_rounds: int | None = None) -> DataFrame:
     """(method, from_param, to, fields): what each method does to its parameters, as summary flows.
 
     Every formal enters as a source of its own; to is Return, Parameter i, Base, Exception or a
@@ -248,7 +250,7 @@ def generated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, rules: Rules
     return rows.select("method", F.expr("substring(source, 2)").cast("int").alias("from_param"), to.alias("to"), "fields").distinct()
 
 
-def _tabulated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, entries: DataFrame, rules: Rules, max_rounds: int):
+def _tabulated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, entries: DataFrame, rules: Rules, max_rounds: int | None):
     """Sinks reached (what, method, entry, exit, stmt) and summaries (method, entry, exit)."""
     # a method's whole program text as one row, with the formals of itself and its callees
     formals = params.select(F.col("method").alias("callee"), "names")
@@ -256,13 +258,16 @@ def _tabulated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, entries: Dat
     edges = cfg.groupBy("method").agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
     calls = stmts.where("callee IS NOT NULL").select("method", "callee").unionByName(params.select("method", F.col("method").alias("callee"))).distinct()
     known = calls.join(formals, "callee").groupBy("method").agg(F.collect_list(F.struct("callee", "names")).alias("formals"))
-    program = checkpointed(body.join(edges, "method", "left").join(known, "method", "left"))
+    statics = stmts.select("method", F.explode(F.array("lhs", "rhs", "base")).alias("field")).unionByName(stmts.select("method", F.explode("args").alias("field"))).where("startswith(field, 'static ')")
+    touched = frontend.static_uses(calls.select(F.col("method").alias("src"), F.col("callee").alias("dst")), statics)
+    theirs = calls.join(touched.select(F.col("method").alias("callee"), "field"), "callee").groupBy("method").agg(F.collect_set(F.struct("callee", "field")).alias("statics"))
+    program = checkpointed(body.join(edges, "method", "left").join(known, "method", "left").join(theirs, "method", "left"))
     uses = checkpointed(calls)
 
     entries = checkpointed(entries.distinct())
     summaries = all_hits = None
     dirty = entries.select("method").distinct()
-    for _ in range(max_rounds):
+    for _ in itertools.count() if max_rounds is None else range(max_rounds):
         given = entries.groupBy("method").agg(F.collect_set("entry").alias("entries"))
         work = program.join(dirty, "method", "left_semi").join(given, "method")
         if summaries is not None:
@@ -284,7 +289,10 @@ def _tabulated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, entries: Dat
                     held = defaultdict(lambda: defaultdict(set))
                     for s in row.summaries if row.summaries is not None else ():
                         held[s["callee"]][s["entry"]].add(s["exit"])
-                    exits, made, hits = solve_method(row.method, body_, succ, list(row.entries), held, names, rules)
+                    touched_ = defaultdict(set)
+                    for s in row.statics if row.statics is not None else ():
+                        touched_[s["callee"]].add(s["field"])
+                    exits, made, hits = solve_method(row.method, body_, succ, list(row.entries), held, names, rules, touched_)
                     out += [("exit", row.method, d1, x, None) for d1, x in exits] + [("call", c, x, None, None) for c, x in made] + [("hit", row.method, d1, d2, n) for d1, n, d2 in hits]
                 yield pd.DataFrame(out, columns=["what", "method", "entry", "exit", "stmt"]).astype({"stmt": "Int64"})
 
@@ -328,3 +336,50 @@ def conditional(found: DataFrame, conditions: DataFrame, reached: DataFrame, abo
     match = lambda wanted, got: (size(wanted) == 0) | F.coalesce(F.arrays_overlap(wanted, got), F.lit(False))
     holds = F.col("sigs").isNotNull() & match("signatures", "sigs") & match("classes", "seen") & ~F.coalesce(F.arrays_overlap("excluded", "seen"), F.lit(False))
     return rows.where(empty | holds).select(*found.columns)
+
+
+def trace_back(stmts: list[dict], pred: dict) -> set[tuple]:
+    """(sink, source, argument) of one method: from each sink's argument over the statements before it.
+
+    An entry (n, var, sink, arg) says that the value of var before n reaches the sink. A statement
+    that defines var by another variable goes on with that, a source is a result, and any other
+    definition ends it.
+    """
+    by_id = {s["stmt"]: s for s in stmts}
+    queue = deque((s["stmt"], a, s["stmt"], a) for s in stmts if s["kind"] == "sink" for a in s["args"])
+    seen, found = set(queue), set()
+    while queue:
+        n, var, sink, arg = queue.popleft()
+        for m in pred.get(n, ()):
+            s, now = by_id[m], var
+            if s["lhs"] == var and s["kind"] in ("assign", "cast", "source", "call", "catch"):
+                if s["kind"] == "source":
+                    found.add((sink, m, arg))
+                now = s["rhs"] if s["kind"] in ("assign", "cast") else None
+            entry = (m, now, sink, arg)
+            if now and entry not in seen:
+                seen.add(entry)
+                queue.append(entry)
+    return found
+
+
+def backward(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
+    """(method, sink, source, fact): from each argument of a sink back to the source statements that it comes from, within a method.
+
+    A method's statements are one row and are traced in one task, as in ``flows``.
+    """
+    body = stmts.groupBy("method").agg(F.collect_list(F.struct("stmt", "kind", "lhs", "rhs", "args")).alias("body"))
+    edges = cfg.groupBy("method").agg(F.collect_set(F.struct("src", "dst")).alias("edges"))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False):
+                pred = defaultdict(list)
+                for e in row.edges if row.edges is not None else ():
+                    pred[e["dst"]].append(e["src"])
+                own = [{**s, "args": [] if s["args"] is None else list(s["args"])} for s in map(dict, row.body)]
+                out += [(row.method, *x) for x in trace_back(own, pred)]
+            yield pd.DataFrame(out, columns=["method", "sink", "source", "fact"])
+
+    return body.join(edges, "method", "left").mapInPandas(run, "method string, sink long, source long, fact string")

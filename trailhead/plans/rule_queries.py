@@ -28,20 +28,25 @@ def signature_parts(spark, sf):
     )
 
 
-_PATH_TYPE = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(sig), '{w}')" for w in words) + f" THEN '{name}'" for name, words in t.PATH_TYPES) + " ELSE 'application_method' END"
+_PATH_TYPE = """CASE WHEN contains(lower(sig), 'oncreate') OR contains(lower(sig), 'onstart') OR contains(lower(sig), 'onresume') THEN 'activity_lifecycle'
+    WHEN contains(lower(sig), 'onclick') OR contains(lower(sig), 'ontouch') OR contains(lower(sig), 'onkey') THEN 'user_interaction'
+    WHEN contains(lower(sig), 'onstartcommand') OR contains(lower(sig), 'onbind') THEN 'service_lifecycle' WHEN contains(lower(sig), 'onreceive') THEN 'broadcast_receiver'
+    WHEN contains(lower(sig), 'run') OR contains(lower(sig), 'doinbackground') THEN 'background_thread'
+    WHEN contains(lower(sig), 'onoptionsitemselected') OR contains(lower(sig), 'onmenuitemclick') THEN 'menu_interaction' ELSE 'application_method' END"""
+_LIFECYCLE = """CASE WHEN name IN ('onCreate', 'onStart', 'onResume', 'onPause', 'onStop', 'onDestroy', 'onCreateView', 'onViewCreated', 'onDestroyView', 'onStartCommand', 'onBind', 'onUnbind', 'onReceive', 'doWork') THEN name END"""
 
 
 @query(
     b.with_sql("method")
-    + f"""SELECT method_id, {_PATH_TYPE} AS path_type, CASE WHEN name IN ({', '.join(f"'{x}'" for x in t.LIFECYCLE)}) THEN name END AS lifecycle,
-    regexp_matches(lower(name), '{'|'.join(t.INTERESTING)}') AS interesting, name NOT IN ('<init>', '<clinit>') AND (starts_with(name, 'on') OR name IN ('query', 'insert', 'update', 'delete')) AS entry,
-    regexp_matches(class, '^(java|javax|android|androidx|kotlin|kotlinx)\\.') AS framework, split_part(class, '.', 1) || '.' || split_part(class, '.', 2) AS root,
+    + f"""SELECT method_id, {_PATH_TYPE} AS path_type, {_LIFECYCLE} AS lifecycle,
+    regexp_matches(lower(name), 'click|save|delete|update|menu|button|touch|submit|send|create') AS interesting, name NOT IN ('<init>', '<clinit>') AND (starts_with(name, 'on') OR name IN ('query', 'insert', 'update', 'delete')) AS entry,
+    regexp_matches(class, '^(android|com\\.android|java|javax|com\\.google\\.android|com\\.facebook|com\\.paypal|ly\\.kite|io\\.card|com\\.stripe|com\\.crashlytics|com\\.appsflyer)\\.') AS framework, split_part(class, '.', 1) || '.' || split_part(class, '.', 2) AS root,
     CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 END AS severity_rank FROM method"""
 )
 def method_labels(spark, sf):
     return b.methods(spark, sf).select(
         "method_id", t.path_type("sig").alias("path_type"), t.lifecycle("name").alias("lifecycle"), t.interesting("name").alias("interesting"),
-        t.likely_entry("name", F.lit("ContentProvider")).alias("entry"), t.framework_class("class").alias("framework"), t.root_package("class").alias("root"), t.severity_rank("severity").alias("severity_rank"),
+        t.likely_entry("name", F.lit("ContentProvider")).alias("entry"), t.framework_package("class").alias("framework"), t.root_package("class").alias("root"), t.severity_rank("severity").alias("severity_rank"),
     )
 
 

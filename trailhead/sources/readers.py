@@ -69,7 +69,7 @@ def categorised_text(spark: SparkSession, path: str, include: list[str] | None =
 def permission_csv(spark: SparkSession, path: str) -> DataFrame:
     """(sig, permissions) of a table with the columns class, method and a list of permissions."""
     rows = spark.read.option("header", True).option("quote", '"').csv(path).toDF("class", "method", "permissions")
-    return rows.select(F.concat(F.lit("<"), "class", F.lit(": "), "method", F.lit(">")).alias("sig"), F.filter(F.split("permissions", r"[,;\s]+"), lambda x: x != "").alias("permissions"))
+    return rows.select(F.concat(F.lit("<"), "class", F.lit(": "), "method", F.lit(">")).alias("sig"), F.filter(F.split(F.coalesce("permissions", F.lit("")), r"[,;\s]+"), lambda x: x != "").alias("permissions"))
 
 
 def permission_headers(spark: SparkSession, path: str) -> DataFrame:

@@ -28,8 +28,9 @@ def api_documents(results: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder for each app; the folder's name is safe on every file system."""
-    documents.select(t.file_name("app_id").alias("app_id"), F.col("document").alias("value")).write.partitionBy("app_id").mode("append").text(path)
+    """One folder for each app. The folder's name is safe on every file system and, as names may become alike by that, ends in a hash."""
+    name = F.concat(t.safe_name("app_id"), F.lit("-"), F.substring(F.sha2("app_id", 256), 1, 8))
+    documents.select(name.alias("app_id"), F.col("document").alias("value")).write.partitionBy("app_id").mode("append").text(path)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def dot(edges: DataFrame, name: str = "G") -> DataFrame:
 
 def gexf(edges: DataFrame) -> DataFrame:
     """(part, value): lines of a GEXF document."""
-    node = edges.select(F.explode(F.array("src", "dst")).cast("string").alias("n")).distinct()
+    node = edges.select(F.explode(F.array("src", "dst")).alias("n")).select(F.col("n").cast("string").alias("n")).distinct()
     nodes = node.select(F.lit(1).alias("part"), F.concat(F.lit('<node id="'), t.xml_escaped("n"), F.lit('" label="'), t.xml_escaped("n"), F.lit('"/>')).alias("value"))
     links = edges.select(F.lit(3).alias("part"), F.concat(F.lit('<edge source="'), t.xml_escaped(F.col("src").cast("string")), F.lit('" target="'), t.xml_escaped(F.col("dst").cast("string")), F.lit('"/>')).alias("value")).distinct()
     frame = [(0, '<gexf version="1.2"><graph defaultedgetype="directed"><nodes>'), (2, "</nodes><edges>"), (4, "</edges></graph></gexf>")]
@@ -118,3 +119,41 @@ def constraint_csv(paths: DataFrame, target: str) -> DataFrame:
         F.count("*").alias("Total"), F.count_if("valid").alias("Valid"), F.count_if(~F.col("valid")).alias("Invalid"), F.round(F.avg(F.size("constraints")), 2).alias("AvgConstraints")
     )
     return made
+
+
+def control_flow_view(stmts: DataFrame) -> DataFrame:
+    """(method, value): a readable view of each method of statements (method, ordinal, kind, is_sink): its units with entry, exit and sink calls marked."""
+    unit = F.struct("ordinal", "kind", F.coalesce("is_sink", F.lit(False)).alias("is_sink"))
+    rows = stmts.groupBy("method").agg(F.array_sort(F.collect_list(unit)).alias("units"))
+    mark = lambda hit, word: F.when(hit, F.lit(f" ({word})")).otherwise("")
+    line = lambda u, i: F.concat(
+        F.lit("  ["), u["ordinal"].cast("string"), F.lit("] "), u["kind"], mark(i == 0, "entry"), mark(i == F.size("units") - 1, "exit"), mark(u["is_sink"], "sink")
+    )
+    head = F.concat(F.lit("Method m"), F.col("method").cast("string"), F.lit(": "), F.size("units").cast("string"), F.lit(" units\n"))
+    return rows.select("method", F.concat(head, F.array_join(F.transform("units", line), "\n")).alias("value"))
+
+
+def path_event_documents(rows: DataFrame) -> DataFrame:
+    """(class, document): methods, their paths and the events of each as JSON, from rows (class, method, path, ordinal, kind)."""
+    events = rows.groupBy("class", "method", "path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "kind"))).alias("events"))
+    paths = events.groupBy("class", "method").agg(F.array_sort(F.collect_list(F.struct("path", "events"))).alias("paths"))
+    methods = paths.groupBy("class").agg(F.array_sort(F.collect_list(F.struct("method", "paths"))).alias("methods"))
+    return methods.select("class", F.to_json(F.struct("methods")).alias("document"))
+
+
+def evaluation_documents(rows: DataFrame) -> DataFrame:
+    """(model, document): the report of each model as JSON, from rows (model, category, score, ok)."""
+    each = rows.groupBy("model", "category").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.avg(F.when(F.col("ok"), F.col("score"))).alias("mean"), F.max("score").alias("best"))
+    entry = F.struct("category", F.struct("n", "ok", "mean").alias("v"))
+    made = each.groupBy("model").agg(F.sum("n").alias("evaluated"), F.sum("ok").alias("successful"), F.max("best").alias("best"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("by_category"))
+    return made.select("model", F.to_json(F.struct("evaluated", "successful", "best", "by_category")).alias("document"))
+
+
+def evaluation_csv(rows: DataFrame, path: str) -> None:
+    """The same figures as a table, a row for each model and category."""
+    rows.groupBy("model", "category").agg(F.count("*").alias("n"), F.count_if("ok").alias("ok"), F.avg(F.when(F.col("ok"), F.col("score"))).alias("mean")).write.mode("overwrite").option("header", True).csv(path)
+
+
+def kept_files(files: DataFrame, name: str) -> DataFrame:
+    """Of files (path) those of one name, of each folder; nothing is deleted."""
+    return files.where(F.element_at(F.split("path", "/"), -1) == name)
