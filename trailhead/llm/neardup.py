@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -156,21 +157,27 @@ class Darts:
         return [np.unique(x).view(np.int32) for x in np.split(items, ends[:-1])]
 
 
-def _sketched(docs: DataFrame, sketch) -> DataFrame:
-    """A row for each document: the key of its text, its band keys and its bits as two longs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+def _sketched(docs: DataFrame, sketch, measure: Callable | None = None, carry: str | None = None) -> DataFrame:
+    """A row for each document: the key of its text, its band keys and its bits as two longs.
+
+    measure makes, once for each task, a function from texts to numbers, the column measure;
+    carry is a column of docs that comes along as a string.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("measure", pa.int64()), ("carry", pa.string())])
 
     def run(batches):
+        of = measure() if measure else None
         for batch in batches:
             if not batch.num_rows:
                 continue
             texts = batch.column(1).to_pylist()
             keys, bits = sketch.sketches(texts)
             made = [hashlib.md5(t.encode("utf-8", "replace"), usedforsecurity=False).digest() for t in texts]
-            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": base.lists_of(keys.view(np.int64).ravel(), BANDS, len(texts)), "bits": base.lists_of(bits.view(np.int64).ravel(), 2, len(texts))}, schema)
+            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": base.lists_of(keys.view(np.int64).ravel(), BANDS, len(texts)), "bits": base.lists_of(bits.view(np.int64).ravel(), 2, len(texts)), "measure": of(texts) if of else [None] * len(texts), "carry": batch.column(2)}, schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"))
-    return base.arrow_map(rows, run, "doc_id long, text_key binary, keys array<long>, bits array<long>")
+    extra = (F.lit(None) if carry is None else F.col(carry)).cast("string").alias("carry")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"), extra)
+    return base.arrow_map(rows, run, "doc_id long, text_key binary, keys array<long>, bits array<long>, measure long, carry string")
 
 
 def _own_id(text_key):
@@ -290,9 +297,9 @@ def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, total: int,
     return dealt.select("key", "x", "y", "id", "c", "bits", "keys", "block", "items").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
-def _classed(docs: DataFrame, sketch, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None = None, carry: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """The sketched rows, then text_key, class_id, n_edges and n (rows) of each text, and the number of rows."""
-    made = base.materialise(_sketched(docs, sketch), "sketches")
+    made = base.materialise(_sketched(docs, sketch, measure, carry), "sketches")
     n_rows = made.count()
     # texts that occur once or often: one node each, named by the least doc_id
     nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.count("*").alias("n"))
@@ -330,11 +337,11 @@ def _classed(docs: DataFrame, sketch, threshold: float) -> tuple[DataFrame, Data
     return made, named, n_rows
 
 
-def _of_rows(docs: DataFrame, sketch, threshold: float) -> DataFrame:
-    """doc_id, text_key, class_id and n_edges of each row; a text of very many rows is dealt over tasks."""
-    made, named, total = _classed(docs, sketch, threshold)
+def _of_rows(docs: DataFrame, sketch, threshold: float, measure: Callable | None = None, carry: str | None = None) -> DataFrame:
+    """doc_id, text_key, measure, carry, class_id and n_edges of each row; a text of very many rows is dealt over tasks."""
+    made, named, total = _classed(docs, sketch, threshold, measure, carry)
     at = F.monotonically_increasing_id()
-    return base.spread_join(made.select("doc_id", "text_key", at.alias("at")), named, "text_key", "at", total).drop("at")
+    return base.spread_join(made.select("doc_id", "text_key", "measure", "carry", at.alias("at")), named, "text_key", "at", total).drop("at")
 
 
 def classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
@@ -342,9 +349,9 @@ def classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> Data
     return _of_rows(docs, sketch, threshold).select("doc_id", "class_id", "n_edges")
 
 
-def text_classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
-    """text_key (MD5 of the text), class_id and n, the number of its rows, of each text."""
-    return _classed(docs, sketch, threshold)[1].select("text_key", "class_id", "n")
+def measured_classes(docs: DataFrame, measure: Callable, carry: str, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_key, class_id, a number that measure gives for the text, and the column carry of each row, by one pass over the texts."""
+    return _of_rows(docs, sketch, threshold, measure, carry).select("doc_id", "text_key", "class_id", "measure", "carry")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhead.llm import base
+from trailhead.llm import base, neardup
 
 LENGTH = 4096
 #: Tokens of a block of documents that are packed together.
@@ -342,12 +342,18 @@ def pack_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int
     return apart(counted(docs, ranks, pattern, source, cluster, end_id), size)
 
 
-def pack_classes_apart(docs: DataFrame, named: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source") -> DataFrame:
-    """Bins as in ``apart`` with the class of a text in named (text_key, class_id, n) as its cluster, the hash of the text where it has none.
+def pack_classes_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, size: int = LENGTH, source: str = "source") -> DataFrame:
+    """Bins as in ``apart`` with a document's near-duplicate class as its cluster.
 
-    No texts are shuffled; rows are dealt anew after the join, so that a class is spread over blocks.
+    Tokens are counted in the pass that sketches the texts. No texts are shuffled; rows are
+    dealt anew after the join with their classes, so that a class is spread over blocks.
     """
-    rows = counted(docs, ranks, pattern, source).withColumn("at", F.monotonically_increasing_id())
-    rows = base.spread_join(rows, named, "text_key", "at", docs.count(), how="left")
-    rows = rows.withColumn("cluster", F.coalesce("class_id", "cluster")).repartition(F.xxhash64("doc_id", "text_key"))
-    return apart(rows, size)
+    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def measure():
+        encode = tokenizer(*sent.value)
+        return lambda texts: [len(encode(t)) + 1 for t in texts]
+
+    rows = neardup.measured_classes(docs, measure, source)
+    rows = rows.select("doc_id", "text_key", F.col("measure").alias("length"), F.col("carry").alias("source"), F.col("class_id").alias("cluster"))
+    return apart(rows.repartition(F.xxhash64("doc_id", "text_key")), size)

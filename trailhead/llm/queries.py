@@ -62,8 +62,7 @@ def op9_flac_media(spark, sf_dir):
 
 
 def op10_conflict_packing(spark, sf_dir):
-    docs = base.table(spark, sf_dir, "documents")
-    return packing.pack_classes_apart(docs, neardup.text_classes(docs), *ranks_and_pattern())
+    return packing.pack_classes_apart(base.table(spark, sf_dir, "documents"), *ranks_and_pattern())
 
 
 def pipeline(spark, sf_dir):
