@@ -352,7 +352,12 @@ def pack_classes_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s
 
     def measure():
         encode = tokenizer(*sent.value)
-        return lambda texts: [len(encode(t)) + 1 for t in texts]
+
+        def lengths(texts):
+            each = {t: len(encode(t)) + 1 for t in set(texts)}
+            return [each[t] for t in texts]
+
+        return lengths
 
     rows = neardup.measured_classes(docs, measure, source)
     rows = rows.select("doc_id", "text_key", F.col("measure").alias("length"), F.col("carry").alias("source"), F.col("class_id").alias("cluster"))

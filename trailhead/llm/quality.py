@@ -106,6 +106,28 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(w: np.ndarray, b: float, at_p: np.ndarray, at_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """The positive part of the risk and the bracket of the negative one; at_p and at_u hold selected weights by row.
+
+    Losses are -log s for the positive class and -log(1 - s) for the negative class.
+    """
+    sp, su = _sigmoid(w[at_p].sum(1) + b), _sigmoid(w[at_u].sum(1) + b)
+    negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
+    return float(-prior * np.log(np.maximum(sp, 1e-9)).mean()), float(negative)
+
+
+def gradient(w: np.ndarray, b: float, at_p: np.ndarray, at_u: np.ndarray, prior: float) -> np.ndarray:
+    """Gradient of the non-negative risk by w, then by b; where the bracket is negative, that of its opposite."""
+    sp, su = _sigmoid(w[at_p].sum(1) + b), _sigmoid(w[at_u].sum(1) + b)
+    gu, gneg = su / len(at_u), -prior * sp / len(at_p)
+    if risk(w, b, at_p, at_u, prior)[1] >= 0:
+        gp = prior * (sp - 1) / len(at_p) + gneg
+    else:  # ascend the bracket until it is no longer negative
+        gp, gu = -gneg, -gu
+    own = np.bincount(at_p.ravel(), np.repeat(gp, at_p.shape[1]), len(w)) + np.bincount(at_u.ravel(), np.repeat(gu, at_u.shape[1]), len(w))
+    return np.append(own, gp.sum() + gu.sum())
+
+
 def _descend(at_p, at_u, size, prior, steps=1500, rate=0.03, decay=2e-3, batch=4096, seed=7):
     """Adam on the non-negative risk with logistic loss; at_p and at_u hold selected weights by row."""
     rng = np.random.default_rng(seed)
@@ -114,18 +136,8 @@ def _descend(at_p, at_u, size, prior, steps=1500, rate=0.03, decay=2e-3, batch=4
     for step in range(1, steps + 1):
         p = at_p[rng.integers(0, len(at_p), min(batch, len(at_p)))]
         u = at_u[rng.integers(0, len(at_u), min(batch, len(at_u)))]
-        sp, su = _sigmoid(w[p].sum(1) + b), _sigmoid(w[u].sum(1) + b)
-        # losses: -log s for the positive class, -log(1-s) for the negative class
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        gp, gu = np.zeros(len(p)), su / len(u)
-        gneg = -prior * sp / len(p)
-        if negative >= 0:
-            gp += prior * (sp - 1) / len(p) + gneg
-        else:  # ascend the bracket until it is no longer negative
-            gp, gu = -gneg, -gu
-        g = np.zeros(size + 1)
-        g[:size] = np.bincount(p.ravel(), np.repeat(gp, p.shape[1]), size) + np.bincount(u.ravel(), np.repeat(gu, u.shape[1]), size) + decay * w / size
-        g[size] = gp.sum() + gu.sum()
+        g = gradient(w, b, p, u, prior)
+        g[:size] += decay * w / size
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:size], b - move[size]
@@ -186,7 +198,9 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             yield base.batch_of({"doc_id": batch.column(0), "good": batch.column(2), "web": batch.column(3), "x": x}, schema)
 
     rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "good", "web")
-    rows = base.arrow_map(rows, run, "doc_id long, good int, web int, x binary").dropDuplicates(["doc_id"])
+    rows = base.arrow_map(rows, run, "doc_id long, good int, web int, x binary")
+    # of rows that share a doc_id one counts, the same at every run
+    rows = rows.groupBy("doc_id").agg(F.max("good").alias("good"), F.max("web").alias("web"), F.min("x").alias("x"))
     found = sorted(rows.collect(), key=lambda r: r["doc_id"])
     width = len(features(""))
     pick = lambda name: np.array([np.frombuffer(r["x"], np.float32) for r in found if r[name]], np.float32).reshape(-1, width)
