@@ -3,7 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and read again
 as the docs of the next. The stages decide on their own input: rejected documents go, one
 of each near-duplicate class stays, passages that an earlier document has are cut out,
-secrets are replaced, and what is left is packed.
+secrets are replaced, and what is left is packed into sequences of token ids.
+
+Null texts count as empty: the classifier scores them like any other, of all texts without
+words one stays, and such a document is a piece of just the end mark. A null doc_id keeps its
+row: one row of each near-duplicate class without id stays, nothing is cut out of it, and its
+piece has a null doc_id. Rows that repeat a doc_id are one document after the second stage. Of
+ties the least doc_id stays, and the earliest occurrence of a passage. Texts of any length are
+read whole; ones longer than a sequence are split by the packer. Empty tables pass through; a
+table without positive labels rejects nothing. Further columns, whatever their names, come
+along up to the packer.
 """
 
 from __future__ import annotations
@@ -11,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trailhead.llm import base, neardup, packing, quality, secrets, suffixes
-from trailhead.llm.queries import ranks_and_pattern
+from trailhead.llm.queries import END_ID, ranks_and_pattern
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +40,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_apart(docs, *ranks_and_pattern())
+    return packing.pack_apart(docs, *ranks_and_pattern(), end_id=END_ID)
 
 
 STAGES = [

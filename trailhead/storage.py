@@ -7,17 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
+def _shared(sc) -> str:
+    """The checkpoint folder, set from spark.checkpoint.dir; a temporary one only in local mode."""
+    current = sc._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        found = sc.getConf().get("spark.checkpoint.dir")
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="trailhead-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut off from its lineage by a reliable checkpoint, which survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trailhead-"))
+    _shared(df.sparkSession.sparkContext)
     return df.checkpoint()
 
 
 def shared_path(spark, name: str) -> str:
     """A folder of that name below the shared one."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="trailhead-"))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}"
+    return f"{_shared(spark.sparkContext)}/{name}"
