@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as t
@@ -28,9 +28,11 @@ def api_documents(results: DataFrame) -> DataFrame:
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """One folder for each app. The folder's name is safe on every file system and, as names may become alike by that, ends in a hash."""
-    name = F.concat(t.safe_name("app_id"), F.lit("-"), F.substring(F.sha2("app_id", 256), 1, 8))
-    documents.select(name.alias("app_id"), F.col("document").alias("value")).write.partitionBy("app_id").mode("append").text(path)
+    """One folder for each app. Its name is safe on every file system; of apps whose names become alike by that, each has a hash behind it."""
+    safe = t.safe_name("app_id")
+    rows = documents.withColumn("alike", F.count("*").over(Window.partitionBy(safe)))
+    name = F.when(F.col("alike") > 1, F.concat(safe, F.lit("-"), F.substring(F.sha2("app_id", 256), 1, 8))).otherwise(safe)
+    rows.select(name.alias("app_id"), F.col("document").alias("value")).write.partitionBy("app_id").mode("append").text(path)
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
