@@ -50,7 +50,7 @@ def overriding_callbacks(components: DataFrame, methods: DataFrame, edges: DataF
     return components.select("class").join(found, "class").join(methods.select("class", "sub_sig", F.col("sig").alias("method")), ["class", "sub_sig"]).select(F.col("class").alias("component"), "method").distinct()
 
 
-def discovered(components: DataFrame, entries: DataFrame, calls: DataFrame, registrations: DataFrame, cap: int = 100, max_rounds: int = 50) -> DataFrame:
+def discovered(components: DataFrame, entries: DataFrame, calls: DataFrame, registrations: DataFrame, cap: int = 100) -> DataFrame:
     """(component, method) reachable in each component, callbacks included.
 
     registrations (method, callback) add a callback once the method that registers it is
@@ -60,7 +60,7 @@ def discovered(components: DataFrame, entries: DataFrame, calls: DataFrame, regi
     edges = checkpointed(edges.distinct())
     start = entries.select(F.col("class").alias("component"), F.col("method").alias("node")).distinct()
     seen = frontier = checkpointed(start)
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(edges, frontier["node"] == edges["src"]).select("component", F.col("dst").alias("node")).distinct()
         frontier = checkpointed(step.join(seen, ["component", "node"], "left_anti"))
         if frontier.isEmpty():
@@ -135,3 +135,62 @@ def list_sizes(ops: DataFrame) -> DataFrame:
     rows = ops.withColumn("age", age).withColumn("change", change)
     within = Window.partitionBy("method", "var", "age").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("size", F.coalesce(F.sum("change").over(within), F.lit(0)).cast("int")).drop("age", "change")
+
+
+def own_callbacks(callbacks: DataFrame, classes: DataFrame, fragments: DataFrame, below: DataFrame) -> DataFrame:
+    """Callbacks (component, class, name, of_application) that belong to their component.
+
+    classes: (class, kind, is_component, outers, needs, listens, constructed): enclosing classes, classes that a
+    constructor takes, whether it listens to the whole application, and whether a constructor is reachable.
+    fragments: (fragment, activity); below: (sub, sup), a class being below itself.
+
+    A fragment stays only with its own activities. A handler that is another component, lies within one or
+    is built from one goes. An application hosts only what listens to it, other components none of its
+    callbacks. A handler needs a reachable constructor, but for the component itself, classes above it or
+    within it, and fragments.
+    """
+    parts = classes.where("is_component").select("class")
+    hosts = classes.select(F.col("class").alias("component"), F.col("kind").alias("host"))
+    own = fragments.select(F.col("fragment").alias("class"), F.col("activity").alias("component"), F.lit(True).alias("listed")).distinct()
+    up = below.select(F.col("sub").alias("component"), F.col("sup").alias("class"), F.lit(True).alias("above")).distinct()
+    pairs = callbacks.select("component", "class").distinct().join(classes, "class")
+    outer = pairs.select("component", "class", F.explode("outers").alias("outer")).join(parts.withColumnRenamed("class", "outer"), "outer", "left_semi")
+    alien = outer.join(below.select(F.col("sub").alias("component"), F.col("sup").alias("outer")), ["component", "outer"], "left_anti").select("component", "class")
+    taken = pairs.select("component", "class", F.explode("needs").alias("need")).where("need <> component").join(parts.withColumnRenamed("class", "need"), "need", "left_semi").select("component", "class")
+    pairs = pairs.join(alien.unionByName(taken).distinct(), ["component", "class"], "left_anti").join(hosts, "component").join(own, ["component", "class"], "left").join(up, ["component", "class"], "left")
+    same, fragment = F.col("component") == F.col("class"), F.col("kind") == "Fragment"
+    at_home = ~fragment | ((F.col("host") == "Activity") & F.col("listed").isNotNull())
+    heard = (F.col("host") != "Application") | same | F.col("listens")
+    built = F.col("constructed") | fragment | F.col("above").isNotNull() | F.array_contains("outers", F.col("component"))
+    kept = pairs.where(at_home & (same | ~F.col("is_component")) & heard & built).select("component", "class", "host")
+    return callbacks.join(kept, ["component", "class"]).where("host = 'Application' OR NOT of_application").select("component", "class", "name").distinct()
+
+
+def control_sources(lookups: DataFrame, controls: DataFrame, mode: str = "sensitive") -> DataFrame:
+    """Lookups (method, stmt, control_id) whose value is a source: those of no control, of all, or of sensitive ones (id, view, sensitive).
+
+    A control that several layouts declare is sensitive where one of them says so.
+    """
+    if mode not in ("none", "all", "sensitive"):
+        raise ValueError(f"unknown mode {mode}")
+    wanted = controls.where(F.lit(mode == "all") | (F.lit(mode == "sensitive") & F.col("sensitive")))
+    return lookups.join(wanted.select(F.col("id").alias("control_id")).distinct(), "control_id", "left_semi").select("method", "stmt", "control_id")
+
+
+def concatenations(calls: DataFrame) -> DataFrame:
+    """(call, step, kind, value): builder calls that a dynamically invoked concatenation stands for.
+
+    calls: (call, recipe, args, constants). A recipe holds literal text, \\u0001 for the next argument and \\u0002 for
+    the next constant; the builder is made first, and its text is taken last.
+    """
+    parts = F.filter(F.regexp_extract_all("recipe", F.lit("(\u0001|\u0002|[^\u0001\u0002]+)"), 1), lambda x: x != "")
+    nth = lambda x, i, mark: F.size(F.filter(F.slice(F.col("parts"), F.lit(1), i + 1), lambda y: y == mark))
+    made = F.transform(
+        "parts",
+        lambda x, i: F.when(x == "\u0001", F.struct(F.lit("append").alias("kind"), F.try_element_at("args", nth(x, i, "\u0001")).alias("value")))
+        .when(x == "\u0002", F.struct(F.lit("append_constant").alias("kind"), F.try_element_at("constants", nth(x, i, "\u0002")).alias("value")))
+        .otherwise(F.struct(F.lit("append_constant").alias("kind"), x.alias("value"))),
+    )
+    none = F.lit(None).cast("string").alias("value")
+    steps = F.concat(F.array(F.struct(F.lit("new").alias("kind"), none)), made, F.array(F.struct(F.lit("text").alias("kind"), none)))
+    return calls.withColumn("parts", parts).select("call", F.posexplode(steps).alias("step", "s")).select("call", "step", "s.kind", "s.value")

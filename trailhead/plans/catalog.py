@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailhead.plans import app_queries, file_queries, flow_queries, graph_queries, model_queries, rule_queries, taint_queries  # noqa: F401  (they register their queries)
+from trailhead.plans import app_queries, file_queries, flow_queries, front_queries, graph_queries, model_queries, rule_queries, taint_queries  # noqa: F401  (they register their queries)
 from trailhead.plans.registry import ORACLES, QUERIES
 
 
