@@ -64,7 +64,3 @@ def recorded(wrapped: DataFrame, calls: DataFrame) -> DataFrame:
     """(callee, hits, misses): calls that a wrapper had flows for, and those it had none for."""
     hit = wrapped.select("call").distinct().withColumn("hit", F.lit(1))
     return calls.join(hit, "call", "left").groupBy("callee").agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
-
-
-#: Native methods: which argument's taint reaches what.
-NATIVE = {"arraycopy": ("arg0", "arg2"), "newArray": ("arg1", "return"), "compareAndSwapObject": ("arg3", "arg0")}

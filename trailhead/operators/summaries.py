@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailhead.functions import containers
 from trailhead.operators import hierarchy
+from trailhead.storage import checkpointed
 
 
 def resolved(calls: DataFrame, flows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -105,3 +106,59 @@ def listed(calls: DataFrame, rules: DataFrame, edges: DataFrame) -> DataFrame:
     order = F.when(F.col("kind") == "exclude", 0).when(F.col("kind") == "kill", 1).otherwise(2)
     found = calls.join(own.unionByName(up), "class").join(rules.withColumnRenamed("class", "owner"), ["owner", "method"])
     return found.groupBy("call").agg(F.min_by("kind", F.struct("depth", order)).alias("action"))
+
+
+def through_gaps(flows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(method, src, dst): flows from a method's start to its end, through the user code that fills its gaps.
+
+    flows: (method, src, src_gap, dst, dst_gap), a gap being a call that a library method makes to
+    code of its user; bodies: (gap, src, dst) are the flows of that code. A fact that enters a gap
+    goes on at its exit once the body passes it.
+    """
+    rows = checkpointed(flows.select("method", "src", F.coalesce("src_gap", F.lit("")).alias("src_gap"), "dst", F.coalesce("dst_gap", F.lit("")).alias("dst_gap")).distinct())
+    onward = rows.where("src_gap <> ''").select("method", F.col("src_gap").alias("gap"), F.col("src").alias("place"), F.col("dst").alias("next"), "dst_gap")
+    inside = checkpointed(bodies.select("gap", F.col("src").alias("dst"), F.col("dst").alias("place")).distinct())
+    seen = frontier = checkpointed(rows.where("src_gap = ''").select("method", "src", "dst", F.col("dst_gap").alias("gap")).distinct())
+    while True:
+        back = frontier.where("gap <> ''").join(inside, ["gap", "dst"]).select("method", "src", "gap", "place")
+        step = back.join(onward, ["method", "gap", "place"]).select("method", "src", F.col("next").alias("dst"), F.col("dst_gap").alias("gap")).distinct()
+        frontier = checkpointed(step.join(seen, ["method", "src", "dst", "gap"], "left_anti"))
+        if frontier.isEmpty():
+            return seen.where("gap = ''").select("method", "src", "dst")
+        seen = seen.unionByName(frontier)
+
+
+def identity(calls: DataFrame, taints: DataFrame) -> DataFrame:
+    """(call, value) after library calls (call, base, args, result): what was tainted stays, and the result is if the base or an argument was."""
+    touched = taints.join(calls, "call").where("result IS NOT NULL AND (base <=> value OR array_contains(args, value))")
+    return taints.select("call", "value").unionByName(touched.select("call", F.col("result").alias("value"))).distinct()
+
+
+#: Ways to model library calls, and the tables that each asks, the first that knows a call deciding.
+WRAPPERS = {"none": (), "default": ("summaries",), "stubdroid": ("summaries",), "defaultfallback": ("summaries", "list"), "easy": ("list",)}
+
+
+def modelled(mode: str, calls: DataFrame, **effects: DataFrame) -> DataFrame:
+    """Effects (call, source, target) of calls (call) by a mode of WRAPPERS; effects are tables by name: summaries, list.
+
+    Mode multi takes all tables, each for all calls.
+    """
+    if mode != "multi" and mode not in WRAPPERS:
+        raise ValueError(f"unknown mode {mode}")
+    names = tuple(effects) if mode == "multi" else WRAPPERS[mode]
+    found, open_calls = calls.sparkSession.createDataFrame([], effects[next(iter(effects))].select("call", "source", "target").schema), calls.select("call").distinct()
+    for name in names:
+        found = found.unionByName(effects[name].select("call", "source", "target").join(open_calls, "call", "left_semi"))
+        if mode != "multi":
+            open_calls = open_calls.join(effects[name].select("call").distinct(), "call", "left_anti")
+    return found.distinct()
+
+
+# Native methods, and from where to where each passes a taint.
+NATIVE = (("arraycopy", "arg0", "arg2"), ("newArray", "arg1", "return"), ("compareAndSwapObject", "arg3", "arg0"))
+
+
+def native(calls: DataFrame, taints: DataFrame) -> DataFrame:
+    """(call, place): places that a native call (call, name) taints, for active taints (call, place, active)."""
+    rules = calls.sparkSession.createDataFrame(NATIVE, "name string, place string, target string")
+    return taints.where("active").join(calls.select("call", "name"), "call").join(rules, ["name", "place"]).select("call", F.col("target").alias("place")).distinct()
