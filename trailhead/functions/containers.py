@@ -67,6 +67,10 @@ def either(a: Column, b: Column) -> Column:
     return a | b
 
 
+def negated(a: Column) -> Column:
+    return ~a
+
+
 def starts_with(path: Column, prefix: Column) -> Column:
     """Whether an array of fields begins with another."""
     return (F.size(prefix) == 0) | (F.slice(path, 1, F.greatest(F.size(prefix), F.lit(1))) == prefix)

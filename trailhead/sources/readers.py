@@ -116,7 +116,9 @@ _METHOD = f"_id string, _isExcluded boolean, flows struct<flow: {_FLOW}>, clears
 
 
 def _class_of_file() -> F.Column:
-    return F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.xml$", "")
+    """The class that a file is named after, or the folder that ``writers.summary_xml`` put it in."""
+    folder = F.nullif(F.regexp_extract(F.input_file_name(), r"/class=([^/]+)/[^/]*$", 1), F.lit(""))
+    return F.coalesce(F.url_decode(folder), F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\.xml$", ""))
 
 
 def _endpoint(e) -> F.Column:
@@ -258,3 +260,14 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("category", F.explode("methods").alias("m")).select(
         "category", F.col("m.signature").alias("sig"), F.col("m.purpose_behavior").alias("purpose"), F.col("m.return_values.type").alias("return_type"), F.col("m.return_values.description").alias("return_description")
     )
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """A table such as the callbacks found, from path if it is there, else made and written first.
+
+    Spark moves finished files into place and marks the folder with _SUCCESS last; a folder without it is written anew.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

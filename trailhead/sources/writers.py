@@ -84,7 +84,12 @@ def flow_xml(flows: DataFrame, path: str) -> None:
 
 def summary_xml(flows: DataFrame, path: str) -> None:
     """Summary flows (class, method, from, to, is_alias) as XML, a folder for each class."""
-    end = lambda c: F.struct(F.col(c)["kind"].alias("_sourceSinkType"), F.col(c)["param"].alias("_ParameterIndex"), F.concat(F.lit("["), F.array_join(F.transform(F.col(c)["fields"], lambda x: F.concat(F.lit("x: y "), x)), ", "), F.lit("]")).alias("_AccessPath"))
+    def end(c):
+        has = flows.schema[c].dataType.fieldNames()
+        path_ = F.concat(F.lit("["), F.array_join(F.transform(F.col(c)["fields"], lambda x: F.concat(F.lit("x: y "), x)), ", "), F.lit("]"))
+        more = [F.col(c)[name].alias(as_) for name, as_ in (("gap", "_gap"), ("base_type", "_BaseType"), ("match_strict", "_matchStrict")) if name in has]
+        return F.struct(F.col(c)["kind"].alias("_sourceSinkType"), F.col(c)["param"].alias("_ParameterIndex"), path_.alias("_AccessPath"), *more)
+
     flow = F.struct(F.col("is_alias").alias("_isAlias"), end("from").alias("from"), end("to").alias("to"))
     rows = flows.groupBy("class", "method").agg(F.collect_list(flow).alias("flow"))
     rows.select("class", F.col("method").alias("_id"), F.struct("flow").alias("flows")).write.partitionBy("class").format("xml").option("rowTag", "method").option("rootTag", "methods").mode("overwrite").save(path)
