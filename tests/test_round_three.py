@@ -1,7 +1,10 @@
 """Open list places, widening, unknown keys, blocks without definitions, gaps in a cycle, wrapper modes and caches."""
 
+import os
+
 import pytest
 
+from trailhead.__main__ import main
 from trailhead.operators import collections, frontend, summaries
 from trailhead.sources import readers
 
@@ -69,3 +72,15 @@ def test_a_cache_without_its_mark_is_made_again(spark, tmp_path):
     assert readers.cached(spark, path, lambda: spark.range(5)).count() == 3
     (tmp_path / "cache" / "_SUCCESS").unlink()
     assert readers.cached(spark, path, lambda: spark.range(5)).count() == 5
+
+
+def test_command_line(spark, tmp_path, capsys):
+    main(["list"])
+    assert "bundle_types" in capsys.readouterr().out.split()
+    main(["sql", "bundle_types"])
+    assert "SELECT" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "no such query", "a", "b"])
+    if os.path.isdir("/root/testdata/sf0.001"):
+        main(["run", "bundle_types", "/root/testdata/sf0.001", str(tmp_path / "out")])
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 200
