@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from trailhead.llm import base
 
 #: Bytes of text in a block, and steps of the merge in a piece.
-BLOCK_BYTES, PIECE = 6 << 20, 1 << 16
+BLOCK_BYTES, PIECE = 2 << 20, 1 << 16
 _MADE = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, picked binary, times binary, codes array<long>, docs array<int>"
 _OUT_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
