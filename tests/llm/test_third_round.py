@@ -284,3 +284,63 @@ def test_slots_are_minimal_perfect_and_verified():
     assert (slots.of(keys[40_000:]) == -1).all()
     with pytest.raises(ValueError):
         trie.Slots(np.zeros((2, 2), np.uint64))
+
+
+# ---- silent errors of earlier rounds
+
+
+def test_two_vocabularies_in_turn(spark):
+    from trailhead.llm import bpe
+
+    bytes_ = {bytes([b]): b for b in range(256)}
+    one, two = bytes_ | {b"ab": 256, b"abc": 257}, bytes_ | {b"bc": 256, b"abc": 257}
+    docs = spark.createDataFrame([(i, "ab abc bc b") for i in range(8)], "doc_id long, text string").repartition(4)
+    want = [[sorted({tuple(r.ids) for r in bpe.encoded(docs, v, r"\S+|\s+").collect()}) for v in (one, two)] for _ in range(6)]
+    assert want[0][0] != want[0][1] and all(w == want[0] for w in want)
+    assert want[0] == [[(256, 32, 257, 32, 98, 99, 32, 98)], [(97, 98, 32, 257, 32, 256, 32, 98)]]
+
+
+def test_cuts_are_made_in_the_text_that_they_are_of(spark):
+    from trailhead.llm import suffixes
+
+    rng = random.Random(12)
+    passage, other = fixtures.prose(rng, 60), fixtures.prose(rng, 90)
+    rows = [(1, passage + " " + fixtures.prose(rng, 20)), (5, passage + " x"), (5, other)]
+    for parts in (1, 3, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        out = {r.text for r in suffixes.without_repeats(docs).collect()}
+        assert out == {rows[0][1], " x", other}
+
+
+def test_texts_of_one_document_are_one_class(spark):
+    from trailhead.llm import neardup
+
+    rng = random.Random(13)
+    same, other, lone = (fixtures.prose(rng, 80) for _ in range(3))
+    rows = [(3, same), (7, same), (7, other), (9, other + " more"), (11, lone), (11, lone), (12, None), (12, lone + " more")]
+    for parts in (1, 3, 4, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        found = sorted({(r.doc_id, r.class_id) for r in neardup.classes(docs).collect()})
+        assert found == [(3, 3), (7, 3), (9, 3), (11, 11), (12, 11)]
+        assert sorted(map(tuple, neardup.one_of_each(docs).collect())) == [(3, same), (11, lone)]
+
+
+def test_pieces_of_one_cluster_are_packed_in_linear_time(spark):
+    import time
+
+    from trailhead.llm import packing
+
+    began = time.time()
+    assert len(packing.best_fit_apart([(1, None, 7)] * packing.BLOCK_ROWS, 4096)) == packing.BLOCK_ROWS
+    assert time.time() - began < 20
+    rows = spark.range(0, 3 * packing.BLOCK_ROWS, 1, 1).selectExpr("id AS doc_id", "1L AS length", "CAST(NULL AS STRING) AS source", "id % 2 AS cluster")
+    out = packing.apart(rows, 16)
+    assert out.selectExpr("sum(used)").first()[0] == 3 * packing.BLOCK_ROWS and out.where("size(clusters) <> size(array_distinct(clusters))").isEmpty()
+
+
+def test_a_table_without_sources_is_packed(spark):
+    from tests.llm.test_corpus import ranks_and_pattern
+    from trailhead.llm import packing
+
+    docs = fixtures.documents(spark).drop("source")
+    assert packing.pack_apart(docs, *ranks_and_pattern(), size=512).where("exists(sources, s -> s IS NOT NULL)").isEmpty()

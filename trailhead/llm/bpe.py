@@ -188,14 +188,9 @@ class Vocabulary:
         return out
 
 
-_cached: dict[tuple, Vocabulary] = {}
-
-
-def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """Read once a process."""
-    if (path, pattern) not in _cached:
-        _cached[path, pattern] = Vocabulary(read_ranks(path), pattern)
-    return _cached[path, pattern]
+#: Vocabularies of this process, by digest; only the last few stay.
+_cached: dict[bytes, Vocabulary] = {}
+_KEPT = 2
 
 
 def _blocks(batches, at: int):
@@ -214,7 +209,7 @@ def _blocks(batches, at: int):
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, number of ids, digest of the ids and digest of the bytes that they decode to."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))  # of the vocabulary's fixed size
+    sent = _sent(docs, ranks, pattern)
 
     def run(batches):
         vocab = _of_broadcast(sent)
@@ -241,17 +236,25 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     return base.arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _sent(df: DataFrame, ranks: dict[bytes, int], pattern: str):
+    """A broadcast of the vocabulary, of its fixed size, and of the digest by which workers know it."""
+    digest = hashlib.sha256(repr((pattern, sorted(ranks.items()))).encode()).digest()
+    return df.sparkSession.sparkContext.broadcast((digest, ranks, pattern))
+
+
 def _of_broadcast(sent) -> Vocabulary:
-    key = ("broadcast", sent.id) if hasattr(sent, "id") else ("broadcast", id(sent))
-    if key not in _cached:
-        _cached[key] = Vocabulary(*sent.value)
-    return _cached[key]
+    digest, ranks, pattern = sent.value
+    if digest not in _cached:
+        while len(_cached) >= _KEPT:
+            del _cached[next(iter(_cached))]
+        _cached[digest] = Vocabulary(ranks, pattern)
+    return _cached[digest]
 
 
 def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and the ids of each text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
+    sent = _sent(docs, ranks, pattern)
 
     def run(batches):
         vocab = _of_broadcast(sent)
@@ -266,7 +269,7 @@ def encoded(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 def decoded(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
     schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    sent = rows.sparkSession.sparkContext.broadcast((ranks, pattern))
+    sent = _sent(rows, ranks, pattern)
 
     def run(batches):
         vocab = _of_broadcast(sent)

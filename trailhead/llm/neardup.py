@@ -185,8 +185,12 @@ def _own_id(text_key):
     return F.lit(1 << 62) + F.abs(F.xxhash64(text_key) % (1 << 62))
 
 
-def _sets(docs: DataFrame, ids: DataFrame, sketch) -> DataFrame:
-    """Verification sets of the nodes in ids (doc_ids, or those of texts without one), as sorted 32-bit hashes."""
+def _sets(docs: DataFrame, ids: DataFrame, several: DataFrame | None, sketch) -> DataFrame:
+    """Verification sets of the nodes in ids (id, and the hash of its text_key), as sorted 32-bit hashes.
+
+    A node has a doc_id or the id of its text, which is looked up among rows without doc_id
+    and those of several, the doc_ids that more than one text has.
+    """
     schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int32()))])
 
     def run(batches):
@@ -195,9 +199,12 @@ def _sets(docs: DataFrame, ids: DataFrame, sketch) -> DataFrame:
                 yield base.batch_of({"id": batch.column(0), "items": sketch.sets(batch.column(1).to_pylist())}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), base.text_or_empty().alias("text"))
-    unnamed = rows.where("id IS NULL").select(_own_id(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"])
-    rows = rows.where("id IS NOT NULL").unionByName(unnamed).join(ids, "id", "left_semi")
-    return base.arrow_map(rows, run, "id long, items array<int>")
+    others = rows.where("id IS NULL")
+    if several is not None:
+        others = others.unionByName(rows.join(several.select(F.col("doc_id").alias("id")), "id", "left_semi"))
+    others = others.select(_own_id(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"]).join(ids.select("id"), "id", "left_semi")
+    named = rows.join(ids, "id").where(F.xxhash64(F.unhex(F.md5("text"))) == F.col("of")).select("id", "text").dropDuplicates(["id"])
+    return base.arrow_map(named.unionByName(others), run, "id long, items array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -303,7 +310,20 @@ def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None
     n_rows = made.count()
     # texts that occur once or often: one node each, named by the least doc_id
     nodes = made.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.count("*").alias("n"))
-    nodes = nodes.withColumn("id", F.coalesce("id", _own_id(F.col("text_key"))))
+    # of texts that share a doc_id one is named by it, and all are linked
+    of = F.xxhash64("text_key")
+    several = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low < high")
+    several = None if several.isEmpty() else base.materialise(several, "several")
+    if several is None:
+        nodes = nodes.withColumn("id", F.coalesce("id", _own_id(F.col("text_key"))))
+    else:
+        holder = nodes.where("id IS NOT NULL").groupBy("id").agg(F.min(of).alias("holder"))
+        own = F.col("holder").isNull() | (F.col("holder") != of)
+        nodes = base.materialise(nodes.join(holder, "id", "left").withColumn("id", F.when(own, _own_id(F.col("text_key"))).otherwise(F.col("id"))).drop("holder"), "nodes")
+        of_row = made.join(several, "doc_id").select("text_key", "low", of.alias("of")).where("low <> of").distinct()
+        low = nodes.select(F.col("id").alias("b"), of.alias("low"))
+        of_row = of_row.join(nodes.select("text_key", F.col("id").alias("a")), "text_key").join(low, "low")
+        given = base.materialise(of_row.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "given")
     rows, total = nodes.select("id", F.explode("keys").alias("key")), n_rows * BANDS
     full = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = base.materialise(base.spread_join(rows, full.withColumn("n", F.col("m")), "key", "id", total), "buckets")
@@ -312,8 +332,11 @@ def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None
     central = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("centre"), F.count("*").alias("n"))
     spokes = base.spread_join(shared, central, "key", "id", total).where("id <> centre")
     spokes = base.materialise(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "spokes")
-    sets = base.materialise(_sets(docs, shared.select("id").distinct(), sketch), "sets")
+    wanted = nodes.select("id", of.alias("of")).join(shared.select("id").distinct(), "id", "left_semi")
+    sets = base.materialise(_sets(docs, wanted, several, sketch), "sets")
     links = base.materialise(_verified(spokes, sets, threshold), "links")
+    if several is not None:
+        links = links.unionByName(given).distinct()
     first = components(links)
 
     placed = shared.join(first, "id", "left").select("id", "key", F.coalesce("class_id", "id").alias("c"))
@@ -338,10 +361,10 @@ def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None
 
 
 def _of_rows(docs: DataFrame, sketch, threshold: float, measure: Callable | None = None, carry: str | None = None) -> DataFrame:
-    """doc_id, text_key, measure, carry, class_id and n_edges of each row; a text of very many rows is dealt over tasks."""
+    """doc_id, text_key, measure, carry, class_id, n_edges and at, the row's number, of each row; a text of very many rows is dealt over tasks."""
     made, named, total = _classed(docs, sketch, threshold, measure, carry)
     at = F.monotonically_increasing_id()
-    return base.spread_join(made.select("doc_id", "text_key", "measure", "carry", at.alias("at")), named, "text_key", "at", total).drop("at")
+    return base.spread_join(made.select("doc_id", "text_key", "measure", "carry", at.alias("at")), named, "text_key", "at", total)
 
 
 def classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
@@ -349,21 +372,21 @@ def classes(docs: DataFrame, sketch=Darts, threshold: float = THRESHOLD) -> Data
     return _of_rows(docs, sketch, threshold).select("doc_id", "class_id", "n_edges")
 
 
-def measured_classes(docs: DataFrame, measure: Callable, carry: str, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, class_id, a number that measure gives for the text, and the column carry of each row, by one pass over the texts."""
-    return _of_rows(docs, sketch, threshold, measure, carry).select("doc_id", "text_key", "class_id", "measure", "carry")
+def measured_classes(docs: DataFrame, measure: Callable, carry: str | None, sketch=Darts, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, at (the row's number), class_id, a number that measure gives for the text, and the column carry of each row, by one pass over the texts."""
+    return _of_rows(docs, sketch, threshold, measure, carry).select("doc_id", "at", "class_id", "measure", "carry")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class stays, that of the least doc_id, with all its columns.
 
-    Of rows that share a doc_id one stays; of rows without doc_id one of each class, beside
-    the one that has a doc_id.
+    Of rows that share a doc_id one stays, that of the least text_key; of rows without doc_id
+    one of each class, beside the one that has a doc_id.
     """
-    found = base.materialise(_of_rows(docs, Darts, threshold), "classes")
-    stays = found.where("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    key = base.fresh(docs, "text_key")
+    found = base.materialise(_of_rows(docs, Darts, threshold).drop("at"), "classes")
+    key, kept = base.fresh(docs, "text_key"), base.fresh(docs, "kept_key")
+    stays = found.where("doc_id = class_id").groupBy("doc_id").agg(F.min("text_key").alias(kept))
+    rows = docs.join(stays, "doc_id").where(F.unhex(F.md5(base.text_or_empty())) == F.col(kept)).dropDuplicates(["doc_id"]).select(*docs.columns)
     least = found.where("doc_id IS NULL").groupBy("class_id").agg(F.min("text_key").alias(key)).select(key)
     unnamed = docs.where("doc_id IS NULL").withColumn(key, F.unhex(F.md5(base.text_or_empty()))).dropDuplicates([key])
     return rows.unionByName(unnamed.join(least, key, "left_semi").select(*docs.columns))

@@ -8,11 +8,13 @@ nothing.
 ``pack`` finds the tightest bin by a segment tree over residual capacities: a node holds
 whether any bin below it is open, and a descent leads to the least residual that suffices.
 
-``pack_apart`` puts a document into the tightest bin that suffices and holds neither its
-source nor its duplicate cluster, and opens a bin where there is none: no bin has two
+``pack_apart`` keeps bins in the order of their residuals, with bitmaps of the bins that hold
+each source and each duplicate cluster. From the least residual that suffices the search goes
+on from successor to successor until a bin holds neither the document's source nor its cluster;
+where there is none, a bin is opened: no bin has two
 pieces of one source or of one cluster, whatever their shares and however the input is
 split. So there are at least as many bins as pieces of the most frequent source. Documents
-without source or cluster (null) conflict with none.
+without source or cluster (null) conflict with none; nor do those of a table without sources.
 
 Null texts count as empty; an empty text has just the end mark in ``pack`` and a piece of
 length 0 is not placed in ``pack_apart`` unless marks are counted (they are, by default).
@@ -22,7 +24,6 @@ Repeated rows are packed each. An empty table gives an empty table.
 from __future__ import annotations
 
 import itertools
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from trailhead.llm import base, neardup
 
 LENGTH = 4096
-#: Tokens of a block of documents that are packed together.
-BLOCK_TOKENS = 4 << 20
+#: Tokens of a block of documents that are packed together, and documents where bitmaps are kept.
+BLOCK_TOKENS, BLOCK_ROWS = 4 << 20, 1 << 16
 #: Sequences of a written id matrix.
 MATRIX_ROWS = 128
 
@@ -234,30 +235,66 @@ def read_matrices(stored: DataFrame) -> DataFrame:
     return base.arrow_map(stored, run, "pack_id long, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, ids binary, positions binary")
 
 
+class OrderedBins:
+    """Bins in the order of their residual capacities.
+
+    Sets of bins are bitmaps, one bit a bin: those of each residual, and those that hold
+    each source and each cluster; a bitmap over residuals says which have bins at all.
+    """
+
+    def __init__(self, size: int):
+        self.at = [0] * (size + 1)
+        self.open = 0
+        self.residual: list[int] = []
+        self.holding: dict[tuple, int] = {}
+
+    def tightest(self, length: int, keys: list[tuple]) -> int | None:
+        """The bin of the least residual that suffices and holds none of the keys; of equal ones the first made."""
+        against = 0
+        for key in keys:
+            against |= self.holding.get(key, 0)
+        rest = self.open >> length
+        residual = length
+        while rest:  # successor after successor
+            step = (rest & -rest).bit_length() - 1
+            residual += step
+            fits = self.at[residual] & ~against
+            if fits:
+                return (fits & -fits).bit_length() - 1
+            rest >>= step + 1
+            residual += 1
+        return None
+
+    def put(self, bin_: int | None, length: int, keys: list[tuple]) -> int:
+        """Takes length from a bin, a new one where bin_ is None, and notes the keys there."""
+        if bin_ is None:
+            bin_ = len(self.residual)
+            self.residual.append(len(self.at) - 1)
+        else:
+            self._move(bin_)
+        self.residual[bin_] -= length
+        self._move(bin_)
+        for key in keys:
+            self.holding[key] = self.holding.get(key, 0) | 1 << bin_
+        return bin_
+
+    def _move(self, bin_: int) -> None:
+        residual = self.residual[bin_]
+        self.at[residual] ^= 1 << bin_
+        bit = 1 << residual
+        self.open = self.open | bit if self.at[residual] else self.open & ~bit
+
+
 def best_fit_apart(items: list[tuple], size: int) -> list[list[int]]:
     """Bins as lists of numbers of items (length, source, cluster), no bin with two of a source or of a cluster."""
-    keys = [[(kind, item[kind]) for kind in (1, 2) if item[kind] is not None] for item in items]
-    held = {key: np.empty(n, np.int64) for key, n in Counter(k for own in keys for k in own).items()}
-    taken = dict.fromkeys(held, 0)  # so many bins hold a source or a cluster, their numbers are in held
-    residuals = np.empty(len(items), np.int64)
-    bins: list[list[int]] = []
+    ordered, bins = OrderedBins(size), []
     for item in sorted(range(len(items)), key=lambda i: (-items[i][0], i)):
-        length, chosen = items[item][0], len(bins)
-        if chosen:
-            left = residuals[:chosen].copy()
-            left[left < length] = size + 1
-            for key in keys[item]:
-                left[held[key][: taken[key]]] = size + 1
-            tightest = int(left.argmin())
-            chosen = tightest if left[tightest] <= size else chosen
+        length = items[item][0]
+        keys = [(kind, items[item][kind]) for kind in (1, 2) if items[item][kind] is not None]
+        chosen = ordered.put(ordered.tightest(length, keys), length, keys)
         if chosen == len(bins):
             bins.append([])
-            residuals[chosen] = size
         bins[chosen].append(item)
-        residuals[chosen] -= length
-        for key in keys[item]:
-            held[key][taken[key]] = chosen
-            taken[key] += 1
     return bins
 
 
@@ -276,13 +313,19 @@ def counted(docs: DataFrame, ranks: dict[bytes, int], pattern: str, source: str
 
     text = base.text_or_empty()
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(source).cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _source(docs, source),
         (F.xxhash64(text) if cluster is None else cluster.cast("long")).alias("cluster"), F.unhex(F.md5(text)).alias("text_key"),
     )
     made = base.arrow_map(rows, run, "doc_id long, length long, source string, cluster long, text_key binary, ids binary")
     return made.drop("ids") if end_id is None else made
 
 
+def _source(docs: DataFrame, source: str):
+    """The column of sources; in a table without it no document has one."""
+    found = F.col(source) if source in docs.columns else F.lit(None)
+    return found.cast("string").alias("source")
+
+
 def apart(rows: DataFrame, size: int = LENGTH) -> DataFrame:
     """Bins of the pieces of rows (doc_id, length, source, cluster) that share neither a source nor a cluster.
 
@@ -321,7 +364,7 @@ def apart(rows: DataFrame, size: int = LENGTH) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 block.append(row)
                 held += row[1]
-                if held >= BLOCK_TOKENS:
+                if held >= BLOCK_TOKENS or len(block) == BLOCK_ROWS:
                     yield from packed(block)
                     block, held = [], 0
         if block:
@@ -359,6 +402,6 @@ def pack_classes_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s
 
         return lengths
 
-    rows = neardup.measured_classes(docs, measure, source)
-    rows = rows.select("doc_id", "text_key", F.col("measure").alias("length"), F.col("carry").alias("source"), F.col("class_id").alias("cluster"))
-    return apart(rows.repartition(F.xxhash64("doc_id", "text_key")), size)
+    rows = neardup.measured_classes(docs, measure, source if source in docs.columns else None)
+    rows = rows.select("doc_id", "at", F.col("measure").alias("length"), F.col("carry").alias("source"), F.col("class_id").alias("cluster"))
+    return apart(rows.repartition(F.xxhash64("at")), size)
