@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -28,3 +29,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def shared_path(spark, name: str) -> str:
     """A folder of that name below the shared one."""
     return f"{_shared(spark.sparkContext)}/{name}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to a table in the shared folder and read back: like a checkpoint, but the planner knows its size."""
+    path = f"{_shared(df.sparkSession.sparkContext)}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
