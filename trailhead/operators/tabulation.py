@@ -10,7 +10,7 @@ A program is a set of relations, so rules are rows and not code:
                                                 (deep: only where x has a field)
     starts  method, stmt                        where methods begin
 
-A path edge (method, entry, stmt, base, path, act) says: if the method is entered with entry,
+A path edge (method, entry, stmt, base, path) says: if the method is entered with entry,
 base.path holds before stmt. In a round each new entry of a method is walked to its end by itself, over
 the rules of that one method, so a method that many enter is spread over tasks; what passes
 between methods is joined: facts at calls with the callees' starts, and callers with the
@@ -26,7 +26,12 @@ taint is the same solver from the sinks. Sparse control flow (``sparse``) leads
 from one statement that concerns it to the next, past all others.
 
 Paths are fields joined by dots, at most MAX_FIELDS; a path stands for all that begin with it.
-act is 0, or the statement after which the fact becomes true (see ``with_aliases``).
+
+A store into a field concerns all names of the object. They are searched on demand
+(``with_aliases``): backwards from each store that a fact passes, then forwards from where
+another name was found to the store again, which is the statement that makes the fact true
+under the other name. Names given after the store come by ordinary copies; loads of the field
+before it see the old value.
 """
 
 from __future__ import annotations
@@ -37,11 +42,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailhead.operators import frontend
 from trailhead.storage import written
 
 MAX_FIELDS = 5
 EXIT = -1
-FACT = ["method", "entry", "stmt", "base", "path", "act"]
+FACT = ["method", "entry", "stmt", "base", "path"]
 #: Rounds after which the tables of earlier rounds are written as one.
 FOLD = 8
 SCHEMAS = {
@@ -126,29 +132,56 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def walk(ways: dict, flows: dict, kills: dict, facts) -> set[tuple]:
-    """All facts (stmt, base, path, act) that some lead to along a method's ways, themselves included."""
+def rest(path: str, wanted: str) -> str:
+    """SQL: what is left of path once wanted is read, null where they differ."""
+    return f"CASE WHEN {wanted} = '' THEN {path} WHEN {path} = '' OR {path} = {wanted} THEN '' WHEN startswith({path}, concat({wanted}, '.')) THEN substring({path}, length({wanted}) + 2) END"
+
+
+def joined(first: str, second: str) -> str:
+    """SQL: first.second with as many fields as are kept."""
+    return f"substring_index(concat_ws('.', nullif({first}, ''), nullif({second}, '')), '.', {MAX_FIELDS})"
+
+
+def walk(ways: dict, flows: dict, kills: dict, facts, exact: bool = False) -> set[tuple]:
+    """All facts (stmt, base, path) that some lead to along a method's ways, themselves included.
+
+    A path stands for all that begin with it; if exact, for itself, as the name of an object.
+    """
     seen, stack = set(facts), list(set(facts))
     while stack:
-        stmt, base, path, act = stack.pop()
-        act = 0 if act == stmt else act
+        stmt, base, path = stack.pop()
         out = [] if any(not k or f"{path}.".startswith(f"{k}.") for k in kills.get((stmt, base), ())) else [(base, path)]
         for wanted, to, to_path in flows.get((stmt, base), ()):
-            if not wanted or not path or path == wanted or path.startswith(f"{wanted}."):
+            if not wanted or not path and not exact or path == wanted or path.startswith(f"{wanted}."):
                 fields = [x for x in (to_path, path[len(wanted) :].lstrip(".")) if x]
                 out.append((to, ".".join(".".join(fields).split(".")[:MAX_FIELDS])))
         for to, to_path in out:
             for dst in ways.get((stmt, to), ways.get((stmt, None), ())):
-                fact = (dst, to, to_path, act)
+                fact = (dst, to, to_path)
                 if fact not in seen:
                     seen.add(fact)
                     stack.append(fact)
     return seen
 
 
-def _walked(rules: DataFrame, new: DataFrame) -> DataFrame:
+def _listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    return df.groupBy("method").agg(F.collect_list(F.struct(*columns)).alias(name))
+
+
+def _dense(program: Program) -> DataFrame:
+    return program.edges.withColumn("base", F.lit(None).cast("string"))
+
+
+def _rules(program: Program, ways: DataFrame | None = None) -> DataFrame:
+    """The rules of each method as one row."""
+    rules = _listed(_dense(program) if ways is None else ways, "ways", "base", "src", "dst")
+    rules = rules.join(_listed(program.flows, "flows", "stmt", "base", "path", "to", "to_path"), "method", "full")
+    return written(rules.join(_listed(program.kills, "kills", "stmt", "base", "path"), "method", "full"), "rules")
+
+
+def _walked(rules: DataFrame, new: DataFrame, exact: bool = False) -> DataFrame:
     """The path edges that new ones lead to within their methods; each entry of a method is walked by itself."""
-    held = new.groupBy("method", "entry").agg(F.collect_list(F.struct("stmt", "base", "path", "act")).alias("facts"))
+    held = new.groupBy("method", "entry").agg(F.collect_list(F.struct("stmt", "base", "path")).alias("facts"))
 
     def run(frames):
         for frame in frames:
@@ -161,31 +194,39 @@ def _walked(rules: DataFrame, new: DataFrame) -> DataFrame:
                     flows.setdefault((f["stmt"], f["base"]), []).append((f["path"], f["to"], f["to_path"]))
                 for k in row.kills if row.kills is not None else ():
                     kills.setdefault((k["stmt"], k["base"]), []).append(k["path"])
-                start = [(f["stmt"], f["base"], f["path"], f["act"]) for f in row.facts]
-                out += [(row.method, row.entry, *fact) for fact in walk(ways, flows, kills, start)]
+                start = [(f["stmt"], f["base"], f["path"]) for f in row.facts]
+                out += [(row.method, row.entry, *fact) for fact in walk(ways, flows, kills, start, exact)]
             yield pd.DataFrame(out, columns=FACT)
 
-    return held.join(rules, "method", "left").mapInPandas(run, "method string, entry string, stmt long, base string, path string, act long")
+    return held.join(rules, "method", "left").mapInPandas(run, "method string, entry string, stmt long, base string, path string")
+
 
+def _along(after: DataFrame, ways: DataFrame) -> DataFrame:
+    """From facts after their statement to facts before the next ones."""
+    steps = ways.select("method", F.col("src").alias("stmt"), F.col("base").alias("way"), "dst")
+    step = after.join(steps, ["method", "stmt"]).where("way IS NULL OR way = base")
+    return step.select("method", "entry", F.col("dst").alias("stmt"), "base", "path")
 
-def tabulated(program: Program, seeds: DataFrame, unbalanced: bool = False, ways: DataFrame | None = None, max_rounds: int | None = None) -> Solution:
+
+def _returned(calls: DataFrame, at_end: DataFrame, leaves: DataFrame) -> DataFrame:
+    """What holds after calls for facts at the callees' ends."""
+    result = at_end.selectExpr("method AS callee", "entry AS callee_entry", "base", "path")
+    back = calls.join(result, ["callee", "callee_entry"]).join(leaves, ["callee", "method", "stmt", "base"]).where("NOT deep OR path <> ''")
+    return back.select("method", "entry", "stmt", F.col("to").alias("base"), "path")
+
+
+def tabulated(program: Program, seeds: DataFrame, unbalanced: bool = False, ways: DataFrame | None = None, known: Solution | None = None, max_rounds: int | None = None) -> Solution:
     """All path edges from the seeds (FACT columns): facts that hold after their statement.
 
     Without recorded callers a method's end is the end, unless unbalanced: then facts that
     began in it (entry 0) go on after every call of it. ways replaces control flow by a
-    sparse one.
+    sparse one. With known the seeds are added to a solution of the same program.
     """
-    ways = program.edges.withColumn("base", F.lit(None).cast("string")) if ways is None else ways
-    listed = lambda df, name, *columns: df.groupBy("method").agg(F.collect_list(F.struct(*columns)).alias(name))
-    rules = listed(ways, "ways", "base", "src", "dst").join(listed(program.flows, "flows", "stmt", "base", "path", "to", "to_path"), "method", "full")
-    rules = written(rules.join(listed(program.kills, "kills", "stmt", "base", "path"), "method", "full"), "rules")
-    steps = ways.select("method", F.col("src").alias("stmt"), F.col("base").alias("way"), "dst")
-
-    def along(after: DataFrame) -> DataFrame:
-        step = after.join(steps, ["method", "stmt"]).where("way IS NULL OR way = base")
-        return step.select("method", "entry", F.col("dst").alias("stmt"), "base", "path", "act")
-
-    new, parts, calls, ends, round_ = along(seeds).distinct(), [], [], [], 0
+    rules, ways = _rules(program, ways), _dense(program) if ways is None else ways
+    parts, calls, ends, round_ = [], [], [], 0
+    if known is not None:
+        parts, calls, ends = [known.facts], [known.calls] if known.calls is not None else [], [known.facts.where(f"stmt = {EXIT}")]
+    new = _along(seeds, ways).distinct()
     while max_rounds is None or round_ < max_rounds:
         round_ += 1
         fresh = _walked(rules, new)
@@ -194,31 +235,76 @@ def tabulated(program: Program, seeds: DataFrame, unbalanced: bool = False, ways
         if program.enters is None or fresh.isEmpty():
             break
         at_end = fresh.where(f"stmt = {EXIT}")
-        given = fresh.where("act = 0").join(program.enters, ["method", "stmt", "base"])
+        given = fresh.join(program.enters, ["method", "stmt", "base"])
         given = given.select("callee", F.concat_ws("|", "to", "path").alias("callee_entry"), "method", "stmt", "entry", F.col("to").alias("base"), "path").distinct()
         entered = written(given, "calls")
         begun = entered.select(F.col("callee").alias("method"), F.col("callee_entry").alias("entry"), "base", "path").distinct()
-        begun = begun.join(program.starts, "method").withColumn("act", F.lit(0).cast("long")).select(*FACT)
-        key = ["callee", "callee_entry"]
-        result = lambda facts: facts.selectExpr("method AS callee", "entry AS callee_entry", "base", "path", "act")
-        sides = [entered.drop("base", "path").join(result(_union([*ends, at_end])), key)]
+        begun = begun.join(program.starts, "method").select(*FACT)
+        own = entered.drop("base", "path")
+        after = [_returned(own, _union([*ends, at_end]), program.leaves)]
         if calls:
-            sides.append(_union(calls).join(result(at_end), key))
-        back = _union(sides).join(program.leaves, ["callee", "method", "stmt", "base"]).where("NOT deep OR path <> ''")
-        after = [back.select("method", "entry", "stmt", F.col("to").alias("base"), "path", "act")]
+            after.append(_returned(_union(calls), at_end, program.leaves))
         if unbalanced:
             on = at_end.where("startswith(entry, '0|')").withColumnRenamed("method", "callee").drop("stmt")
             on = on.join(program.leaves, ["callee", "base"]).where("NOT deep OR path <> ''")
-            after.append(on.select("method", "entry", "stmt", F.col("to").alias("base"), "path", "act"))
-        calls.append(entered.drop("base", "path"))
+            after.append(on.select("method", "entry", "stmt", F.col("to").alias("base"), "path"))
+        calls.append(own)
         ends.append(at_end)
         if round_ % FOLD == 0:
             parts, calls = [written(_union(parts), "facts")], [written(_union(calls), "calls")]
             ends = [parts[0].where(f"stmt = {EXIT}")]
-        new = _union([along(_union(after)), begun]).distinct().join(_union(parts), FACT, "left_anti")
+        new = _union([_along(_union(after), ways), begun]).distinct().join(_union(parts), FACT, "left_anti")
     return Solution(_union(parts), _union(calls) if calls else None)
 
 
+def _other_names(program: Program, forward: DataFrame, backward: DataFrame, heap: DataFrame) -> DataFrame:
+    """Facts after stores under the other names of the object: heap is (method, entry, stmt, base, path), path being what was stored."""
+    mark = "\x01"
+    key = F.concat_ws(mark, "entry", F.col("stmt").cast("string"), "path").alias("entry")
+    back = _dense(Program(program.edges.selectExpr("method", "dst AS src", "src AS dst"), program.flows, program.kills))
+    seeds = heap.select("method", key, "stmt", "base", F.lit("").alias("path"))
+    found = _walked(backward, _along(seeds, back).distinct(), exact=True)
+    there = _walked(forward, _along(found, _dense(program)).distinct(), exact=True).withColumn("part", F.split("entry", mark))
+    there = there.where(F.col("part")[1].cast("long") == F.col("stmt"))
+    return there.select("method", F.col("part")[0].alias("entry"), "stmt", "base", F.expr(joined("path", "part[2]")).alias("path")).distinct()
+
+
+def with_aliases(program: Program, seeds: DataFrame, unbalanced: bool = False) -> Solution:
+    """tabulated(), where a store or a callee that writes to an object's field concerns all names that the object has in the method."""
+    solution = tabulated(program, seeds, unbalanced)
+    forward, backward = _rules(program), _rules(replace(converse(replace(program, enters=None)), enters=None))
+    stores = program.flows.where("to_path <> ''").withColumnRenamed("path", "wanted")
+    done = None
+    while True:
+        stored = solution.facts.join(stores, ["method", "stmt", "base"]).withColumn("rest", F.expr(rest("path", "wanted"))).where("rest IS NOT NULL")
+        heap = stored.select("method", "entry", "stmt", F.col("to").alias("base"), F.expr(joined("to_path", "rest")).alias("path"))
+        if solution.calls is not None:
+            heap = heap.unionByName(_returned(solution.calls, solution.facts.where(f"stmt = {EXIT}"), program.leaves).where("path <> ''"))
+        heap = written(heap.distinct() if done is None else heap.distinct().join(done, FACT, "left_anti"), "heap")
+        if heap.isEmpty():
+            return solution
+        done = heap if done is None else done.unionByName(heap)
+        more = written(_other_names(program, forward, backward, heap), "aliases")
+        solution = tabulated(program, more, unbalanced, known=solution)
+
+
+def with_globals(program: Program, seeds: DataFrame, unbalanced: bool = False) -> Solution:
+    """tabulated(), where a static that any method has written is tainted in every method that reads it, called or not."""
+    solution = tabulated(program, seeds, unbalanced)
+    readers = written(program.flows.where("startswith(base, 'static ')").select("method", "stmt", "base").distinct(), "readers")
+    sources = program.edges.select("method", F.col("dst").alias("stmt"), F.col("src").alias("before")).unionByName(program.starts.selectExpr("method", "stmt", "NULL AS before"))
+    done = None
+    while True:
+        held = solution.facts.where("startswith(base, 'static ')").join(origins(solution), ["method", "entry"]).select("base", "path", "origin").distinct()
+        held = written(held if done is None else held.join(done, ["base", "path", "origin"], "left_anti"), "globals")
+        if held.isEmpty():
+            return solution
+        done = held if done is None else done.unionByName(held)
+        at = readers.join(held, "base").join(sources.where("before IS NOT NULL"), ["method", "stmt"])
+        more = at.select("method", F.concat(F.lit("0|"), "origin").alias("entry"), F.col("before").alias("stmt"), "base", "path").distinct()
+        solution = tabulated(program, written(more, "globals"), unbalanced, known=solution)
+
+
 def origins(solution: Solution) -> DataFrame:
     """(method, entry, origin): the origins that stand behind each entry."""
     begun = solution.facts.where("startswith(entry, '0|')").select("method", "entry", F.expr("substring(entry, 3)").alias("origin")).distinct()
@@ -235,12 +321,60 @@ def origins(solution: Solution) -> DataFrame:
 
 
 def reached(solution: Solution, uses: DataFrame) -> DataFrame:
-    """(method, stmt, origin, base, path): the uses (method, stmt, base) before which a true fact holds, with its origin."""
-    at = solution.facts.where("act = 0").join(uses.select("method", "stmt", "base").distinct(), ["method", "stmt", "base"])
+    """(method, stmt, origin, base, path): the uses (method, stmt, base) before which a fact holds, with its origin."""
+    at = solution.facts.join(uses.select("method", "stmt", "base").distinct(), ["method", "stmt", "base"])
     return at.join(origins(solution), ["method", "entry"]).select("method", "stmt", "origin", "base", "path").distinct()
 
 
 def seeds(at: DataFrame) -> DataFrame:
     """Facts (method, stmt, base) that begin after their statement; their origin is method:stmt."""
     origin = F.concat(F.lit("0|"), "method", F.lit(":"), F.col("stmt").cast("string"))
-    return at.select("method", origin.alias("entry"), F.col("stmt").cast("long").alias("stmt"), "base", F.lit("").alias("path"), F.lit(0).cast("long").alias("act"))
+    return at.select("method", origin.alias("entry"), F.col("stmt").cast("long").alias("stmt"), "base", F.lit("").alias("path"))
+
+
+def compiled(stmts: DataFrame, cfg: DataFrame, params: DataFrame, wrappers: DataFrame | None = None, clears: DataFrame | None = None) -> Program:
+    """The program of taint.STATEMENT rows: one rule a row and kind of statement.
+
+    cfg is (method, src, dst), params (method, names array). wrappers are flows of library
+    methods without a body: (callee, base, path, to, to_path) with places arg0, arg1, ..., base
+    and return; clears, (callee, base, path), what they empty.
+    """
+    none = "coalesce({}, '')"
+    flow = lambda where, base, path, to, to_path: stmts.where(where).selectExpr("method", "stmt", f"{base} AS base", f"{path} AS path", f"{to} AS to", f"{to_path} AS to_path")
+    flows = _union([
+        flow("kind = 'assign' AND rhs IS NOT NULL AND coalesce(rhs_field, '') <> 'len'", "rhs", none.format("rhs_field"), "lhs", none.format("lhs_field")),
+        flow("kind = 'cast'", "rhs", "''", "lhs", "''"), flow("kind = 'throw'", "rhs", "''", "'@exc'", "''"),
+        flow("kind = 'catch'", "'@exc'", "''", "lhs", "''"), flow("kind = 'return' AND rhs IS NOT NULL", "rhs", "''", "'@ret'", "''"),
+    ])
+    kills = stmts.where("kind IN ('assign', 'cast', 'source', 'call', 'catch') AND lhs IS NOT NULL AND coalesce(lhs_field, '') <> '[]'").selectExpr("method", "stmt", "lhs AS base", "coalesce(lhs_field, '') AS path")
+    kills = kills.unionByName(stmts.where("kind = 'catch'").selectExpr("method", "stmt", "'@exc' AS base", "'' AS path"))
+
+    calls = stmts.where("kind = 'call'")
+    named = calls.join(params.withColumnRenamed("method", "callee"), "callee")
+    pairs = named.select("method", "stmt", "callee", F.explode(F.arrays_zip("args", "names")).alias("x")).selectExpr("method", "stmt", "callee", "x.args AS actual", "x.names AS formal").where("actual IS NOT NULL AND formal IS NOT NULL")
+    pairs = pairs.unionByName(named.where("base IS NOT NULL").selectExpr("method", "stmt", "callee", "base AS actual", "'@this' AS formal"))
+    fields = stmts.select("method", F.explode(F.array("lhs", "rhs")).alias("field")).where("startswith(field, 'static ')").distinct()
+    touched = frontend.static_uses(calls.select(F.col("method").alias("src"), F.col("callee").alias("dst")).distinct(), fields)
+    statics = named.select("method", "stmt", "callee").join(touched.select(F.col("method").alias("callee"), F.col("field").alias("base")), "callee")
+    kills = kills.unionByName(statics.selectExpr("method", "stmt", "base", "'' AS path"))
+    enters = pairs.selectExpr("method", "stmt", "callee", "actual AS base", "formal AS to").unionByName(statics.selectExpr("method", "stmt", "callee", "base", "base AS to"))
+    leave = lambda df, base, to, deep: df.selectExpr("callee", "method", "stmt", f"{base} AS base", f"{to} AS to", f"{deep} AS deep")
+    leaves = _union([
+        leave(named.where("lhs IS NOT NULL"), "'@ret'", "lhs", "false"), leave(named, "'@exc'", "'@exc'", "false"),
+        leave(pairs, "formal", "actual", "true"), leave(statics, "base", "base", "false"),
+    ])
+
+    if wrappers is not None or clears is not None:
+        place = F.posexplode("args").alias("i", "name")
+        places = calls.select("method", "stmt", "callee", place).selectExpr("method", "stmt", "callee", "concat('arg', i) AS place", "name")
+        for what, column in (("base", "base"), ("return", "lhs")):
+            places = places.unionByName(calls.where(f"{column} IS NOT NULL").selectExpr("method", "stmt", "callee", f"'{what}' AS place", f"{column} AS name"))
+        at = lambda side: places.select("method", "stmt", "callee", F.col("place").alias(side), F.col("name").alias(f"{side}_name"))
+        if wrappers is not None:
+            made = wrappers.join(at("base"), ["callee", "base"]).join(at("to"), ["method", "stmt", "callee", "to"])
+            flows = flows.unionByName(made.selectExpr("method", "stmt", "base_name AS base", "path", "to_name AS to", "to_path"))
+        if clears is not None:
+            kills = kills.unionByName(clears.join(at("base"), ["callee", "base"]).selectExpr("method", "stmt", "base_name AS base", "path"))
+    last = stmts.select("method", F.col("stmt").alias("src")).join(cfg.select("method", "src"), ["method", "src"], "left_anti")
+    edges = cfg.select("method", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).unionByName(last.selectExpr("method", "src", f"{EXIT}L AS dst"))
+    return Program(edges, flows, kills, enters, leaves, stmts.groupBy("method").agg(F.min("stmt").alias("stmt"))).written()
