@@ -351,8 +351,10 @@ def compiled(stmts: DataFrame, cfg: DataFrame, params: DataFrame, wrappers: Data
 
     calls = stmts.where("kind = 'call'")
     named = calls.join(params.withColumnRenamed("method", "callee"), "callee")
-    pairs = named.select("method", "stmt", "callee", F.explode(F.arrays_zip("args", "names")).alias("x")).selectExpr("method", "stmt", "callee", "x.args AS actual", "x.names AS formal").where("actual IS NOT NULL AND formal IS NOT NULL")
-    pairs = pairs.unionByName(named.where("base IS NOT NULL").selectExpr("method", "stmt", "callee", "base AS actual", "'@this' AS formal"))
+    zipped = named.select("method", "stmt", "callee", "lhs", F.explode(F.arrays_zip("args", "names")).alias("x")).where("x.args IS NOT NULL AND x.names IS NOT NULL")
+    lost = "actual <=> lhs AS overwritten"  # an object whose name gets the result is out of sight
+    pairs = zipped.selectExpr("method", "stmt", "callee", "lhs", "x.args AS actual", "x.names AS formal").selectExpr("*", lost)
+    pairs = pairs.unionByName(named.where("base IS NOT NULL").selectExpr("method", "stmt", "callee", "lhs", "base AS actual", "'@this' AS formal").selectExpr("*", lost))
     fields = stmts.select("method", F.explode(F.array("lhs", "rhs")).alias("field")).where("startswith(field, 'static ')").distinct()
     touched = frontend.static_uses(calls.select(F.col("method").alias("src"), F.col("callee").alias("dst")).distinct(), fields)
     statics = named.select("method", "stmt", "callee").join(touched.select(F.col("method").alias("callee"), F.col("field").alias("base")), "callee")
@@ -361,7 +363,7 @@ def compiled(stmts: DataFrame, cfg: DataFrame, params: DataFrame, wrappers: Data
     leave = lambda df, base, to, deep: df.selectExpr("callee", "method", "stmt", f"{base} AS base", f"{to} AS to", f"{deep} AS deep")
     leaves = _union([
         leave(named.where("lhs IS NOT NULL"), "'@ret'", "lhs", "false"), leave(named, "'@exc'", "'@exc'", "false"),
-        leave(pairs, "formal", "actual", "true"), leave(statics, "base", "base", "false"),
+        leave(pairs.where("NOT overwritten"), "formal", "actual", "true"), leave(statics, "base", "base", "false"),
     ])
 
     if wrappers is not None or clears is not None:
@@ -378,3 +380,50 @@ def compiled(stmts: DataFrame, cfg: DataFrame, params: DataFrame, wrappers: Data
     last = stmts.select("method", F.col("stmt").alias("src")).join(cfg.select("method", "src"), ["method", "src"], "left_anti")
     edges = cfg.select("method", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).unionByName(last.selectExpr("method", "src", f"{EXIT}L AS dst"))
     return Program(edges, flows, kills, enters, leaves, stmts.groupBy("method").agg(F.min("stmt").alias("stmt"))).written()
+
+
+def with_models(program: Program, stmts: DataFrame, models: DataFrame, gaps: DataFrame, params: DataFrame, clears: DataFrame | None = None, fallback: bool = False) -> Program:
+    """The program with models of library methods as methods of one statement, which loops: an inner fixpoint.
+
+    models are flows (callee, base, path, to, to_path) between the places arg0, arg1, ..., base,
+    return and those of gaps, such as gap1.arg0; a gap (callee, gap, target) is a call that
+    the library makes back into the program: its places are bound to the target's formals
+    (params: method, names), so a flow stops at the gap, enters the target and goes on from
+    what comes back. A modelled method's own body is not entered. clears (callee, base, path)
+    are emptied by the call. With fallback a method without model or body takes its
+    arguments and its object to its result.
+    """
+    calls = stmts.where("kind = 'call'")
+    known = models.select("callee").unionByName(gaps.select("callee"))
+    known = written((known if clears is None else known.unionByName(clears.select("callee"))).distinct(), "modelled")
+    listed = calls.select("method", "stmt", "callee", "lhs", F.posexplode("args").alias("i", "actual")).selectExpr("method", "stmt", "callee", "lhs", "actual", "concat('arg', i) AS place")
+    listed = listed.unionByName(calls.where("base IS NOT NULL").selectExpr("method", "stmt", "callee", "lhs", "base AS actual", "'base' AS place"))
+    places = written(listed.join(known, "callee", "left_semi"), "places")
+    changed = models.select("callee", F.col("to").alias("place")).distinct()
+    inner = models.selectExpr("callee AS method", "1L AS stmt", "base", "path", "to", "to_path")
+    inside = known.selectExpr("callee AS method")
+
+    bound = gaps.join(params.withColumnRenamed("method", "target"), "target").select("callee", "gap", "target", F.posexplode("names").alias("i", "formal"))
+    bound = bound.selectExpr("callee AS method", "target", "concat(gap, '.arg', i) AS place", "formal")
+    this = gaps.selectExpr("callee AS method", "target", "concat(gap, '.base') AS place", "'@this' AS formal")
+    bound = bound.unionByName(this)
+    enters = program.enters.join(known, "callee", "left_anti").unionByName(places.selectExpr("method", "stmt", "callee", "actual AS base", "place AS to"))
+    enters = enters.unionByName(bound.selectExpr("method", "1L AS stmt", "target AS callee", "place AS base", "formal AS to"))
+    leave = lambda df, callee, base, to, deep: df.selectExpr(f"{callee} AS callee", "method", "stmt", f"{base} AS base", f"{to} AS to", f"{deep} AS deep")
+    gap_sites = bound.withColumn("stmt", F.lit(1).cast("long"))
+    leaves = _union([
+        program.leaves.join(known, "callee", "left_anti").select(*program.leaves.columns),
+        leave(places.join(changed, ["callee", "place"]).where("NOT actual <=> lhs"), "callee", "place", "actual", "true"),
+        leave(calls.join(known, "callee", "left_semi").where("lhs IS NOT NULL"), "callee", "'return'", "lhs", "false"),
+        leave(gap_sites, "target", "formal", "place", "true"),
+        leave(gaps.selectExpr("callee AS method", "gap", "target", "1L AS stmt"), "target", "'@ret'", "concat(gap, '.return')", "false"),
+    ])
+    flows, kills = program.flows.unionByName(inner), program.kills
+    if clears is not None:
+        kills = kills.unionByName(places.join(clears.withColumnRenamed("base", "place"), ["callee", "place"]).selectExpr("method", "stmt", "actual AS base", "path"))
+    if fallback:
+        free = calls.join(known, "callee", "left_anti").join(params.select(F.col("method").alias("callee")), "callee", "left_anti").where("lhs IS NOT NULL")
+        given = free.select("method", "stmt", "lhs", F.explode(F.array_compact(F.concat("args", F.array("base")))).alias("base"))
+        flows = flows.unionByName(given.selectExpr("method", "stmt", "base", "'' AS path", "lhs AS to", "'' AS to_path"))
+    loop = inside.selectExpr("method", "1L AS src", f"explode(array(1L, {EXIT}L)) AS dst")
+    return Program(program.edges.unionByName(loop), flows, kills, enters, leaves, program.starts.unionByName(inside.selectExpr("method", "1L AS stmt"))).written()
