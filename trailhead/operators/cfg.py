@@ -78,3 +78,40 @@ def interprocedural(stmts: DataFrame) -> DataFrame:
         .unionByName(edge(calls, "method", "block", "callee", None, "call"))
         .unionByName(edge(back.join(exits, "callee"), "callee", "exit", "method", "cont", "return"))
     )
+
+
+#: Statements that never go on to the next one, and those after which a block ends.
+LEAVING = ("GOTO", "RETURN", "THROW")
+ENDING = (*LEAVING, "IF", "SWITCH", "CALL")
+
+
+def code_edges(code: DataFrame) -> DataFrame:
+    """(method, src, dst, kind) of code (method, n, kind, targets, handler): next statement, targets of branches, and handlers of exceptions.
+
+    Targets are data: any statements of the method, before or after the branch. A call or
+    throw under a handler may go there. Targets outside the method lead nowhere.
+    """
+    leaving = ", ".join(f"'{k}'" for k in LEAVING)
+    step = "named_struct('dst', {}, 'kind', '{}')".format
+    each = f"""concat(IF(kind IN ({leaving}), array(), array({step('n + 1', 'next')})), transform(coalesce(targets, array()), t -> {step('t', 'target')}),
+      IF(kind IN ('CALL', 'THROW') AND handler IS NOT NULL, array({step('handler', 'exception')}), array()))"""
+    rows = code.withColumn("last", F.max("n").over(Window.partitionBy("method"))).selectExpr("method", "n AS src", "last", f"explode({each}) AS e")
+    return rows.where("e.dst BETWEEN 1 AND last").select("method", "src", "e.dst", "e.kind").distinct()
+
+
+def code_blocks(code: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks (method, block, low, high) of code, and their edges (method, block, succ).
+
+    A block begins at the first statement, at every target and handler, and after a branch,
+    call or end. An exception may leave a block at any statement of it.
+    """
+    edges = code_edges(code)
+    led = edges.where("kind <> 'next'").select("method", F.col("dst").alias("n")).distinct().withColumn("led", F.lit(True))
+    order = Window.partitionBy("method").orderBy("n")
+    leader = (F.col("n") == 1) | F.col("led").isNotNull() | F.lag("kind").over(order).isin(*ENDING)
+    rows = code.select("method", "n", "kind").join(led, ["method", "n"], "left").withColumn("leader", leader)
+    rows = rows.withColumn("block", F.sum(F.col("leader").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    blocks = rows.groupBy("method", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    from_ = rows.select("method", F.col("n").alias("src"), "block")
+    to = rows.where("leader").select("method", F.col("n").alias("dst"), F.col("block").alias("succ"))
+    return blocks, edges.join(from_, ["method", "src"]).join(to, ["method", "dst"]).select("method", "block", "succ").distinct()

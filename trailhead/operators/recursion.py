@@ -13,7 +13,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhead.storage import checkpointed
+from trailhead.storage import checkpointed, written
 
 #: Rounds after which the tables of earlier rounds are folded into one.
 FOLD = 8
@@ -201,3 +201,37 @@ def dominators(edges: DataFrame, entries: DataFrame) -> DataFrame:
 
     kind = dict(edges.dtypes)["method"]
     return rows.withColumn("src", F.col("src").cast("long")).withColumn("dst", F.col("dst").cast("long")).groupBy("method").applyInPandas(solve, f"method {kind}, node long, dominator long")
+
+
+def matched_walks(edges: DataFrame, calls: DataFrame, starts: DataFrame, max_calls: int, visits: int = 1) -> DataFrame:
+    """(path, calls): walks over successors, calls and their own returns, from the starts (node) to an end with no call open.
+
+    edges are (src, dst) within methods, calls (src, dst) from call nodes to callees' first
+    nodes. Each walk carries the stack of its open calls: at a node without successors it
+    goes on after the call on top, and with none open it is done. A call with max_calls open
+    is stepped over. Walks in which a node comes more than visits times are left out; calls is
+    the number of calls entered.
+    """
+    edges = written(edges.select("src", F.col("dst").alias("succ")).distinct(), "edges")
+    calls = written(calls.select("src", F.col("dst").alias("callee")).distinct(), "calls")
+    ends = written(edges.select(F.col("succ").alias("node")).unionByName(starts.select("node")).distinct().join(edges.select(F.col("src").alias("node")), "node", "left_anti"), "ends")
+    kind = dict(starts.dtypes)["node"]
+    walks, done = written(starts.select(F.array("node").alias("path"), F.array().cast(f"array<{kind}>").alias("stack"), F.lit(0).alias("calls")).distinct(), "walks"), []
+    while not walks.isEmpty():
+        at = walks.withColumn("last", F.element_at("path", -1))
+        over = at.join(ends, F.col("last") == ends["node"], "left").withColumn("ended", F.col("node").isNotNull()).drop("node")
+        done.append(over.where("ended AND size(stack) = 0").select("path", "calls"))
+        back = over.where("ended AND size(stack) > 0").withColumn("from", F.element_at("stack", -1)).withColumn("stack", F.expr("slice(stack, 1, size(stack) - 1)"))
+        on = over.where("NOT ended").join(calls, F.col("last") == calls["src"], "left").drop("src")
+        into = on.where(f"callee IS NOT NULL AND size(stack) < {max_calls}")
+        past = on.where(f"callee IS NULL OR size(stack) >= {max_calls}").withColumn("from", F.col("last"))
+        same = ["path", "stack", "calls", "from"]
+        stepped = back.select(*same).unionByName(past.select(*same)).distinct().join(edges, F.col("from") == edges["src"])
+        grown = stepped.select("path", "stack", "calls", F.col("succ").alias("next"))
+        grown = grown.unionByName(into.select("path", F.concat("stack", F.array("last")).alias("stack"), (F.col("calls") + 1).alias("calls"), F.col("callee").alias("next")))
+        grown = grown.where(F.size("path") - F.size(F.array_remove("path", F.col("next"))) < visits)
+        walks = written(grown.select(F.concat("path", F.array("next")).alias("path"), "stack", "calls"), "walks")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    return found
