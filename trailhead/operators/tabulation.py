@@ -215,8 +215,8 @@ def _returned(calls: DataFrame, at_end: DataFrame, leaves: DataFrame) -> DataFra
     return back.select("method", "entry", "stmt", F.col("to").alias("base"), "path")
 
 
-def tabulated(program: Program, seeds: DataFrame, unbalanced: bool = False, ways: DataFrame | None = None, known: Solution | None = None, max_rounds: int | None = None) -> Solution:
-    """All path edges from the seeds (FACT columns): facts that hold after their statement.
+def tabulated(program: Program, seeds: DataFrame | None, unbalanced: bool = False, ways: DataFrame | None = None, known: Solution | None = None, before: DataFrame | None = None, max_rounds: int | None = None) -> Solution:
+    """All path edges from the seeds (FACT columns): facts that hold after their statement; those in before hold before it.
 
     Without recorded callers a method's end is the end, unless unbalanced: then facts that
     began in it (entry 0) go on after every call of it. ways replaces control flow by a
@@ -226,7 +226,7 @@ def tabulated(program: Program, seeds: DataFrame, unbalanced: bool = False, ways
     parts, calls, ends, round_ = [], [], [], 0
     if known is not None:
         parts, calls, ends = [known.facts], [known.calls] if known.calls is not None else [], [known.facts.where(f"stmt = {EXIT}")]
-    new = _along(seeds, ways).distinct()
+    new = _union(([] if seeds is None else [_along(seeds, ways)]) + ([] if before is None else [before.select(*FACT)])).distinct()
     while max_rounds is None or round_ < max_rounds:
         round_ += 1
         fresh = _walked(rules, new)
@@ -257,14 +257,21 @@ def tabulated(program: Program, seeds: DataFrame, unbalanced: bool = False, ways
     return Solution(_union(parts), _union(calls) if calls else None)
 
 
+def _with_beginning(program: Program) -> Program:
+    """The program with a node before the first statement of each method, where names that hold from the outset are found."""
+    first = program.starts.selectExpr("method", f"{EXIT - 1}L AS src", "stmt AS dst")
+    return replace(program, edges=program.edges.unionByName(first), enters=None)
+
+
 def _other_names(program: Program, forward: DataFrame, backward: DataFrame, heap: DataFrame) -> DataFrame:
     """Facts after stores under the other names of the object: heap is (method, entry, stmt, base, path), path being what was stored."""
     mark = "\x01"
     key = F.concat_ws(mark, "entry", F.col("stmt").cast("string"), "path").alias("entry")
-    back = _dense(Program(program.edges.selectExpr("method", "dst AS src", "src AS dst"), program.flows, program.kills))
+    ways = _dense(_with_beginning(program))
+    back = ways.select("method", "base", F.col("dst").alias("src"), F.col("src").alias("dst"))
     seeds = heap.select("method", key, "stmt", "base", F.lit("").alias("path"))
     found = _walked(backward, _along(seeds, back).distinct(), exact=True)
-    there = _walked(forward, _along(found, _dense(program)).distinct(), exact=True).withColumn("part", F.split("entry", mark))
+    there = _walked(forward, _along(found, ways).distinct(), exact=True).withColumn("part", F.split("entry", mark))
     there = there.where(F.col("part")[1].cast("long") == F.col("stmt"))
     return there.select("method", F.col("part")[0].alias("entry"), "stmt", "base", F.expr(joined("path", "part[2]")).alias("path")).distinct()
 
@@ -272,7 +279,7 @@ def _other_names(program: Program, forward: DataFrame, backward: DataFrame, heap
 def with_aliases(program: Program, seeds: DataFrame, unbalanced: bool = False) -> Solution:
     """tabulated(), where a store or a callee that writes to an object's field concerns all names that the object has in the method."""
     solution = tabulated(program, seeds, unbalanced)
-    forward, backward = _rules(program), _rules(replace(converse(replace(program, enters=None)), enters=None))
+    forward, backward = _rules(program), _rules(converse(_with_beginning(program)))
     stores = program.flows.where("to_path <> ''").withColumnRenamed("path", "wanted")
     done = None
     while True:
@@ -289,20 +296,32 @@ def with_aliases(program: Program, seeds: DataFrame, unbalanced: bool = False) -
 
 
 def with_globals(program: Program, seeds: DataFrame, unbalanced: bool = False) -> Solution:
-    """tabulated(), where a static that any method has written is tainted in every method that reads it, called or not."""
+    """tabulated(), where a static that any method has written is tainted in every method that reads it, called or not.
+
+    All readers share one entry for each tainted static, whichever methods wrote it; which
+    origins stand behind it is found through a method "global" that writers call and readers
+    are called by, so their pairs are never made.
+    """
     solution = tabulated(program, seeds, unbalanced)
     readers = written(program.flows.where("startswith(base, 'static ')").select("method", "stmt", "base").distinct(), "readers")
-    sources = program.edges.select("method", F.col("dst").alias("stmt"), F.col("src").alias("before")).unionByName(program.starts.selectExpr("method", "stmt", "NULL AS before"))
-    done = None
+    key = F.concat_ws("|", F.lit("global"), "base", "path")
+    done = begun = None
     while True:
-        held = solution.facts.where("startswith(base, 'static ')").join(origins(solution), ["method", "entry"]).select("base", "path", "origin").distinct()
-        held = written(held if done is None else held.join(done, ["base", "path", "origin"], "left_anti"), "globals")
+        held = solution.facts.where("startswith(base, 'static ')").select("base", "path").distinct()
+        held = written(held if done is None else held.join(done, ["base", "path"], "left_anti"), "globals")
         if held.isEmpty():
-            return solution
+            break
         done = held if done is None else done.unionByName(held)
-        at = readers.join(held, "base").join(sources.where("before IS NOT NULL"), ["method", "stmt"])
-        more = at.select("method", F.concat(F.lit("0|"), "origin").alias("entry"), F.col("before").alias("stmt"), "base", "path").distinct()
-        solution = tabulated(program, written(more, "globals"), unbalanced, known=solution)
+        more = written(readers.join(held, "base").select("method", key.alias("entry"), "stmt", "base", "path"), "globals")
+        begun = more if begun is None else begun.unionByName(more)
+        solution = tabulated(program, None, unbalanced, known=solution, before=more)
+    if begun is None:
+        return solution
+    none = F.lit(None).cast("long").alias("stmt")
+    write = solution.facts.where("startswith(base, 'static ')").select(F.lit("global").alias("callee"), key.alias("callee_entry"), "method", none, "entry")
+    read = begun.select(F.col("method").alias("callee"), F.col("entry").alias("callee_entry"), F.lit("global").alias("method"), none, "entry")
+    calls = write.unionByName(read).distinct()
+    return Solution(solution.facts, calls if solution.calls is None else calls.unionByName(solution.calls))
 
 
 def origins(solution: Solution) -> DataFrame:
