@@ -160,3 +160,29 @@ def test_a_static_joins_methods_without_calls(spark):
     found = [r.method for r in t.reached(t.with_globals(prog, sources), sinks).collect()]
     assert {name: found.count(name) for name in programs} == {name: n for name, (_, n) in programs.items()}
     assert not t.reached(t.tabulated(prog, sources), sinks).collect()
+
+
+def test_conditions_decide_sinks_in_called_methods(spark):
+    """Branches go from their statement to the one two after it, and to the next."""
+    programs = {
+        "under": ([st(1, "source", "x"), st(2, "if", rhs="x"), st(3, "call", callee="tell"), st(4, "nop")], 1),
+        "after": ([st(1, "source", "x"), st(2, "if", rhs="x"), st(3, "nop"), st(4, "call", callee="tell")], 0),
+        "assigned": ([st(1, "source", "x"), st(2, "if", rhs="x"), st(3, "assign", "y"), st(4, "sink", args=["y"])], 1),
+        "nested": ([st(1, "source", "x"), st(2, "if", rhs="x"), st(3, "if", rhs="z"), st(4, "call", callee="pass_on"), st(5, "nop"), st(6, "nop")], 1),
+        "untainted": ([st(1, "source", "x"), st(2, "if", rhs="z"), st(3, "call", callee="tell"), st(4, "nop")], 0),
+    }
+    helpers = {"tell": ([], [st(1, "sink", args=["c"])]), "pass_on": ([], [st(1, "nop"), st(2, "call", callee="tell")])}
+    from pyspark.sql import functions as F
+
+    hits = {}
+    for name, (body, want) in programs.items():  # one program each, as they share the sink
+        held = {name: ([], body)} | helpers
+        stmts = spark.createDataFrame([(m, *s) for m, (_, rows) in held.items() for s in rows], taint.STATEMENT)
+        flow = [(m, a[0], z[0]) for m, (_, rows) in held.items() for a, z in zip(rows, rows[1:], strict=False)]
+        flow += [(name, s[0], s[0] + (3 if name == "nested" and s[0] == 2 else 2)) for s in body if s[1] == "if"]
+        flow = spark.createDataFrame(flow, "method string, src long, dst long")
+        params = spark.createDataFrame([(m, n) for m, (n, _) in held.items()], "method string, names array<string>")
+        prog, decided = t.with_implicit(t.compiled(stmts, flow, params), stmts)
+        sinks = stmts.where("kind = 'sink'").select("method", "stmt", F.explode("args").alias("base")).unionByName(decided)
+        hits[name] = t.reached(t.tabulated(prog, t.seeds(stmts.where("kind = 'source'").selectExpr("method", "stmt", "lhs AS base"))), sinks).select("stmt", "origin").distinct().count()
+    assert hits == {name: n for name, (_, n) in programs.items()}

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhead.operators import frontend
+from trailhead.operators import frontend, recursion
 from trailhead.storage import written
 
 MAX_FIELDS = 5
@@ -446,3 +446,39 @@ def with_models(program: Program, stmts: DataFrame, models: DataFrame, gaps: Dat
         flows = flows.unionByName(given.selectExpr("method", "stmt", "base", "'' AS path", "lhs AS to", "'' AS to_path"))
     loop = inside.selectExpr("method", "1L AS src", f"explode(array(1L, {EXIT}L)) AS dst")
     return Program(program.edges.unionByName(loop), flows, kills, enters, leaves, program.starts.unionByName(inside.selectExpr("method", "1L AS stmt"))).written()
+
+
+def nearest_postdominators(edges: DataFrame) -> DataFrame:
+    """(method, stmt, post): the nearest statement that every way from stmt to EXIT passes; none where there is no such statement."""
+    back = edges.selectExpr("method", "dst AS src", "src AS dst")
+    ends = edges.select("method").distinct().withColumn("node", F.lit(EXIT).cast("long"))
+    over = recursion.dominators(back, ends).where(f"node <> {EXIT} AND dominator <> {EXIT}")
+    over = written(over, "postdominators")
+    depth = over.groupBy("method", F.col("node").alias("dominator")).agg(F.count("*").alias("n"))
+    return over.where("node <> dominator").join(depth, ["method", "dominator"]).groupBy("method", F.col("node").alias("stmt")).agg(F.max_by("dominator", "n").alias("post"))
+
+
+def with_implicit(program: Program, stmts: DataFrame) -> tuple[Program, DataFrame]:
+    """The program where what a tainted condition decides is tainted, also in methods called meanwhile, and the sinks that it decides.
+
+    A tainted condition opens a context, a fact of its own that ends at the condition's nearest
+    postdominator (``@ctx post``, or ``@ctx`` where there is none); nested conditions have one
+    each. What is assigned while it is open is tainted by it. A call hands every open context
+    to the callee as ``@ctx``, which stays open to the callee's end and doesn't come back. The sinks
+    are rows (method, stmt, base) for ``reached``.
+    """
+    none = F.lit("").alias("path")
+    conditions = stmts.where("kind = 'if' AND rhs IS NOT NULL").select("method", "stmt", "rhs").join(nearest_postdominators(program.edges), ["method", "stmt"], "left")
+    conditions = written(conditions.select("method", "stmt", "rhs", "post", F.concat_ws(" ", F.lit("@ctx"), F.col("post").cast("string")).alias("context")), "conditions")
+    contexts = conditions.select("method", "context", "post").distinct()
+    contexts = written(contexts.unionByName(stmts.selectExpr("method", "'@ctx' AS context", "CAST(NULL AS BIGINT) AS post").distinct()).distinct(), "contexts")
+    open_ = F.expr("post IS NULL OR post <> stmt")
+    opened = conditions.selectExpr("method", "stmt", "rhs AS base", "'' AS path", "context AS to", "'' AS to_path")
+    decided = stmts.where("kind IN ('assign', 'cast') AND lhs IS NOT NULL").join(contexts, "method").where(open_)
+    flows = opened.unionByName(decided.selectExpr("method", "stmt", "context AS base", "'' AS path", "lhs AS to", "coalesce(lhs_field, '') AS to_path"))
+    kills = contexts.where("post IS NOT NULL").select("method", F.col("post").alias("stmt"), F.col("context").alias("base"), none)
+    bodies = program.starts.select(F.col("method").alias("callee"))
+    into = stmts.where("kind = 'call'").join(bodies, "callee", "left_semi").join(contexts, "method").where(open_).selectExpr("method", "stmt", "callee", "context AS base", "'@ctx' AS to")
+    sinks = stmts.where("kind = 'sink'").join(contexts, "method").where(open_).select("method", "stmt", F.col("context").alias("base"))
+    made = replace(program, flows=program.flows.unionByName(flows), kills=program.kills.unionByName(kills), enters=program.enters.unionByName(into))
+    return made.written(), sinks
