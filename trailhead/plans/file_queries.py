@@ -29,18 +29,25 @@ def _methods(spark, sf):
 
 
 def _written(rows, path: str):
-    """One text file of lines (rows have a column value), in the order of the column at, if there."""
-    rows = rows.orderBy("at").select("value") if "at" in rows.columns else rows.select("value")
-    rows.coalesce(1).write.text(path)
+    """Text files of lines (rows have a column value) in no order, by as many tasks as there are."""
+    rows.select("value").write.text(path)
+    return path
+
+
+def _documents(rows, path: str):
+    """A text file for each document (rows have doc and value), of its lines in the order of the column at, if there."""
+    lines = F.array_sort(F.collect_list(F.struct("at", "value"))) if "at" in rows.columns else F.collect_list(F.struct("value"))
+    whole = rows.groupBy("doc").agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("value"))
+    whole.repartition("doc").write.partitionBy("doc").text(path)
     return path
 
 
 @query(_M + " SELECT category, severity, 'about ' || category AS description, full_sig AS sig FROM m WHERE dangerous")
 def catalog_scan(spark, sf):
-    """The catalog of sensitive methods as a JSON document."""
+    """The catalog of sensitive methods as JSON documents, one for each category."""
     rows = _methods(spark, sf).where("dangerous").groupBy("category").agg(F.struct(F.concat(F.lit("about "), F.col("category")).alias("description"), F.min("severity").alias("severity"), F.array_sort(F.collect_list("full_sig")).alias("apis")).alias("v"))
-    whole = rows.agg(F.map_from_entries(F.collect_list(F.struct("category", "v"))).alias("api_categories")).select(F.to_json(F.struct("api_categories")).alias("value"))
-    return readers.catalog(spark, _written(whole, _folder(spark, "catalog")))
+    whole = rows.select(F.col("category").alias("doc"), F.to_json(F.struct(F.create_map("category", "v").alias("api_categories"))).alias("value"))
+    return readers.catalog(spark, _documents(whole, _folder(spark, "catalog")))
 
 
 @query(
@@ -75,11 +82,11 @@ def permission_table(spark, sf):
     _M + """ SELECT full_sig AS sig, string_agg(p, '|' ORDER BY p) AS permissions FROM (SELECT DISTINCT full_sig, 'perm.' || category AS p FROM m UNION SELECT full_sig, 'perm.all' FROM m WHERE size % 2 = 0) x GROUP BY full_sig"""
 )
 def permission_blocks(spark, sf):
-    """Callers below the permission that they need, in one file."""
+    """Callers below the permission that they need, a file for each permission."""
     own = _methods(spark, sf).select(F.concat(F.lit("perm."), "category").alias("p"), "full_sig").unionByName(_methods(spark, sf).where("size % 2 = 0").select(F.lit("perm.all").alias("p"), "full_sig"))
-    lines = own.select(F.struct("p", F.lit(1).alias("k"), F.col("full_sig").alias("s")).alias("at"), F.concat("full_sig", F.lit(" (1)")).alias("value"))
-    heads = own.select("p").distinct().select(F.struct("p", F.lit(0).alias("k"), F.lit("").alias("s")).alias("at"), F.concat(F.lit("Permission:"), "p").alias("value"))
-    found = readers.permission_headers(spark, _written(heads.unionByName(lines), _folder(spark, "blocks")))
+    lines = own.select(F.col("p").alias("doc"), F.lit(1).alias("at"), F.concat("full_sig", F.lit(" (1)")).alias("value"))
+    heads = own.select("p").distinct().select(F.col("p").alias("doc"), F.lit(0).alias("at"), F.concat(F.lit("Permission:"), "p").alias("value"))
+    found = readers.permission_headers(spark, _documents(heads.unionByName(lines), _folder(spark, "blocks")))
     return found.select("sig", F.array_join("permissions", "|").alias("permissions"))
 
 
@@ -124,26 +131,26 @@ def callback_names(spark, sf):
 
 @query(b.with_sql("edge_cyc") + "SELECT 'm' || CAST(src AS VARCHAR) AS src, 'm' || CAST(dst AS VARCHAR) AS dst FROM edge_cyc")
 def call_graph_round_trip(spark, sf):
-    """The call graph written as JSON and read again."""
+    """The call graph written as JSON, a line for each caller, and read again."""
     name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string")).alias(c)
     docs = writers.call_graph_json(b.edges_cyc(spark, sf).select(name("src"), name("dst")))
-    return readers.call_graph_json(spark, _written(docs.select(F.col("document").alias("value")), _folder(spark, "graph")))
+    return readers.call_graph_json(spark, _written(docs.select(F.col("document").alias("value")), _folder(spark, "graph")), by_line=True)
 
 
 @query(
-    f"""WITH {_RESULT} SELECT 'group' || CAST(CAST(substr(app_id, 4) AS INT) % 50 AS VARCHAR) AS app_id, COUNT(*) AS total, COUNT(DISTINCT category) AS categories, COUNT(*) FILTER (status = 'success') AS successful FROM res GROUP BY 1"""
+    f"""WITH {_RESULT} SELECT app_id, COUNT(*) AS total, COUNT(DISTINCT category) AS categories, COUNT(*) FILTER (status = 'success') AS successful FROM res GROUP BY 1"""
 )
 def prior_results(spark, sf):
-    """Result documents of all apps, a folder for each of fifty groups of them, read again as prior results."""
+    """A result document for each app, many to a file, read again as prior results."""
     path = _folder(spark, "results")
-    rows = results(spark, sf).withColumn("app_id", F.expr("'group' || CAST(CAST(substring(app_id, 4) AS INT) % 50 AS STRING)"))
+    rows = results(spark, sf)
     detail = F.struct(F.col("sig").alias("method_signature"), F.col("category").alias("api_category"), F.col("severity").alias("severity_level"), F.col("status").alias("analysis_status"))
     docs = rows.groupBy("app_id").agg(F.count("*").alias("total_dangerous_apis"), F.collect_list(detail).alias("detailed_results"))
-    docs.select("app_id", F.to_json(F.struct("total_dangerous_apis", "detailed_results")).alias("value")).repartition("app_id").write.partitionBy("app_id").text(path)
-    found = readers.result_documents(spark, path).withColumn("app", F.regexp_replace("app_id", "^app_id=", ""))
+    docs.select(F.to_json(F.struct("app_id", "total_dangerous_apis", "detailed_results")).alias("value")).write.text(path)
+    found = readers.result_records(spark, path)
     status = F.transform("detailed_results", lambda r: r["analysis_status"])
     return found.select(
-        F.col("app").alias("app_id"), F.col("total_dangerous_apis").cast("long").alias("total"), F.size(F.array_distinct(F.transform("detailed_results", lambda r: r["api_category"]))).cast("long").alias("categories"),
+        "app_id", F.col("total_dangerous_apis").cast("long").alias("total"), F.size(F.array_distinct(F.transform("detailed_results", lambda r: r["api_category"]))).cast("long").alias("categories"),
         F.size(F.filter(status, lambda x: x == "success")).cast("long").alias("successful"),
     )
 
@@ -164,11 +171,11 @@ def flow_documents(spark, sf):
 
 @query(_M + " SELECT category, full_sig AS sig, 'does ' || name AS purpose, ret AS return_type, 'gives ' || ret AS return_description FROM m WHERE dangerous")
 def ground_truth_scan(spark, sf):
-    """Expected answers for the sensitive methods, from one JSON document."""
+    """Expected answers for the sensitive methods, from a JSON document for each category."""
     entry = F.struct(F.col("full_sig").alias("signature"), F.concat(F.lit("does "), "name").alias("purpose_behavior"), F.struct(F.col("ret").alias("type"), F.concat(F.lit("gives "), "ret").alias("description")).alias("return_values"))
     rows = _methods(spark, sf).where("dangerous").groupBy("category").agg(F.collect_list(entry).alias("v"))
-    whole = rows.agg(F.map_from_entries(F.collect_list(F.struct("category", "v"))).alias("framework_methods")).select(F.to_json(F.struct("framework_methods")).alias("value"))
-    return readers.ground_truth(spark, _written(whole, _folder(spark, "truth")))
+    whole = rows.select(F.col("category").alias("doc"), F.to_json(F.struct(F.create_map("category", "v").alias("framework_methods"))).alias("value"))
+    return readers.ground_truth(spark, _documents(whole, _folder(spark, "truth")))
 
 
 @query(
@@ -176,14 +183,15 @@ def ground_truth_scan(spark, sf):
     class || '$' || CAST(method_id AS VARCHAR) AS name, size % 3 = 0 AS exported, size % 5 <> 0 AS live FROM m) x WHERE live"""
 )
 def manifest_components(spark, sf):
-    """Components of text manifests with their filters; switched-off ones are left out."""
+    """Components of text manifests, one for each app, with their filters; switched-off ones are left out."""
     name = "class || '$' || CAST(method_id AS STRING)"
     kind = "CASE size % 4 WHEN 0 THEN 'activity' WHEN 1 THEN 'service' WHEN 2 THEN 'receiver' ELSE 'provider' END"
     filters = "CASE WHEN size % 3 = 0 THEN '<intent-filter><action android:name=\"a.MAIN\"/><action android:name=\"a.VIEW\"/></intent-filter>' ELSE '' END"
     line = f"'<' || {kind} || ' android:name=\"' || {name} || '\" android:exported=\"' || CAST(size % 3 = 0 AS STRING) || '\" android:enabled=\"' || CAST(size % 5 <> 0 AS STRING) || '\">' || {filters} || '</' || {kind} || '>' AS value"
-    rows = _methods(spark, sf).selectExpr("1 AS at", line)
-    frame = spark.createDataFrame([(0, '<manifest package="com.app"><application>'), (2, "</application></manifest>")], "at int, value string")
-    found = readers.manifest(spark, _written(frame.unionByName(rows), _folder(spark, "manifest")))
+    rows = _methods(spark, sf).selectExpr("class AS doc", "1 AS at", line)
+    ends = "explode(array(struct(0 AS at, '<manifest package=\"com.app\"><application>' AS value), struct(2 AS at, '</application></manifest>' AS value))) AS x"
+    frame = rows.select("doc").distinct().selectExpr("doc", ends).selectExpr("doc", "x.at", "x.value")
+    found = readers.manifest(spark, _documents(frame.unionByName(rows), _folder(spark, "manifest")))
     return found.select("kind", "name", "exported", "enabled", F.array_join("actions", "|").alias("actions"))
 
 
@@ -200,13 +208,13 @@ def layout_click_handlers(spark, sf):
     CASE WHEN size % 2 = 0 THEN 'act.' || category ELSE '' END AS actions FROM m"""
 )
 def component_model_scan(spark, sf):
-    """Component models as protobuf text."""
+    """Component models as protobuf text, one for each app."""
     kind = "CASE size % 4 WHEN 0 THEN 'ACTIVITY' WHEN 1 THEN 'SERVICE' WHEN 2 THEN 'RECEIVER' ELSE 'PROVIDER' END"
     action = "CASE WHEN size % 2 = 0 THEN '  filters {\\n    attributes {\\n      kind: ACTION\\n      value: \"act.' || category || '\"\\n    }\\n  }\\n' ELSE '' END"
     text = f"'components {{\\n  name: \"' || class || '$' || CAST(method_id AS STRING) || '\"\\n  kind: ' || {kind} || '\\n' || CASE WHEN size % 3 = 0 THEN '  exported: true\\n' ELSE '' END || {action} || '}}' AS value"
-    rows = _methods(spark, sf).selectExpr("1 AS at", text)
-    head = spark.createDataFrame([(0, 'name: "com.app"')], "at int, value string")
-    found = readers.component_models(spark, _written(head.unionByName(rows), _folder(spark, "models")))
+    rows = _methods(spark, sf).selectExpr("class AS doc", "1 AS at", text)
+    head = rows.select("doc").distinct().selectExpr("doc", "0 AS at", "'name: \"com.app\"' AS value")
+    found = readers.component_models(spark, _documents(head.unionByName(rows), _folder(spark, "models")))
     return found.select("package", "name", "kind", "exported", F.array_join("actions", "|").alias("actions"))
 
 

@@ -72,25 +72,6 @@ def condition_texts(spark, sf):
     )
 
 
-@query(
-    r"""WITH turns AS (SELECT conv_id, turn, role, text, LEAD(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
-    m AS (SELECT conv_id, turn, 'BRANCH_DIRECTION_START ' || CASE WHEN turn % 4 = 0 THEN 'true' ELSE 'FALSE' END || ' BRANCH_DIRECTION_END BOOLEAN_CONSTRAINT_START' || COALESCE(substr(answer, 1, 40), '') || 'BOOLEAN_CONSTRAINT_END TECHNICAL_CONSTRAINT_START ' ||
-      substr(text, 1, 20) || ' TECHNICAL_CONSTRAINT_END' AS response FROM turns WHERE role = 'user'),
-    p AS (SELECT conv_id, turn, upper(trim(regexp_extract(response, 'BRANCH_DIRECTION_START(.*?)BRANCH_DIRECTION_END', 1, 's'))) = 'TRUE' AS branch,
-      NULLIF(trim(regexp_extract(response, 'BOOLEAN_CONSTRAINT_START(.*?)BOOLEAN_CONSTRAINT_END', 1, 's'), chr(32) || chr(9) || chr(13) || chr(10)), '') AS f1, NULLIF(trim(regexp_extract(response, 'TECHNICAL_CONSTRAINT_START(.*?)TECHNICAL_CONSTRAINT_END', 1, 's'), chr(32) || chr(9) || chr(13) || chr(10)), '') AS f3 FROM m)
-    SELECT conv_id, turn, branch, COALESCE(f1, 'unknown_condition') AS format1, COALESCE(f1, 'unknown_condition') AS format2, COALESCE(f3, f1, 'unknown_condition') AS format3 FROM p"""
-)
-def structured_responses(spark, sf):
-    """The first 20 code points of prompts and 40 of answers, parsed by their markers, with cross-fill."""
-    answer = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = b.table(spark, sf, "conversations").withColumn("answer", answer).where("role = 'user'")
-    made = F.concat(
-        F.lit("BRANCH_DIRECTION_START "), F.when(F.col("turn") % 4 == 0, "true").otherwise("FALSE"), F.lit(" BRANCH_DIRECTION_END BOOLEAN_CONSTRAINT_START"), F.coalesce(F.substring("answer", 1, 40), F.lit("")),
-        F.lit("BOOLEAN_CONSTRAINT_END TECHNICAL_CONSTRAINT_START "), F.substring("text", 1, 20), F.lit(" TECHNICAL_CONSTRAINT_END"),
-    )
-    return rows.withColumn("s", t.structured_response(made)).select("conv_id", "turn", "s.branch", "s.format1", "s.format2", "s.format3")
-
-
 @query(
     r"""WITH turns AS (SELECT conv_id, turn, role, text, LEAD(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer FROM conversations),
     m AS (SELECT conv_id, turn, 'BRANCH_DIRECTION_START ' || CASE WHEN turn % 4 = 0 THEN 'true' ELSE 'FALSE' END || ' BRANCH_DIRECTION_END BOOLEAN_CONSTRAINT_START' || COALESCE(answer, '') || 'BOOLEAN_CONSTRAINT_END TECHNICAL_CONSTRAINT_START ' ||
@@ -100,7 +81,7 @@ def structured_responses(spark, sf):
     SELECT conv_id, turn, branch, COALESCE(f1, 'unknown_condition') AS format1, COALESCE(f1, 'unknown_condition') AS format2, COALESCE(f3, f1, 'unknown_condition') AS format3 FROM p"""
 )
 def structured_responses_whole(spark, sf):
-    """As structured_responses, from whole prompts and answers."""
+    """Whole prompts and answers, parsed by their markers, with cross-fill."""
     answer = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = b.table(spark, sf, "conversations").withColumn("answer", answer).where("role = 'user'")
     made = F.concat(

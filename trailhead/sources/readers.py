@@ -17,7 +17,12 @@ FIELD_LINE = r"^<(.+):\s*(.+)\s+([a-zA-Z_$][a-zA-Z_$0-9]*)\s*>\s*(.*?)(\s+->\s+(
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of text files, read whole so that line numbers exist."""
+    """(line) of text files, which Spark may split among tasks."""
+    return spark.read.text(path).select(F.trim("value").alias("line"))
+
+
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of text files, each read whole so that line numbers exist; for small files."""
     rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     return rows.withColumn("line", F.trim("line"))
 
@@ -27,11 +32,11 @@ def _params(text) -> F.Column:
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(category, severity, description, sig) of an API catalog; of a signature in several categories the last one counts."""
-    text = spark.read.text(path, wholetext=True)
+    """(category, severity, description, sig) of an API catalog in one or more documents; of a signature in several categories the last one counts."""
+    text = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
     kind = "struct<api_categories: map<string, struct<description: string, severity: string, apis: array<string>>>>"
-    entries = text.select(F.map_entries(F.from_json("value", kind)["api_categories"]).alias("e")).select(F.posexplode("e").alias("at", "e"))
-    rows = entries.select("at", F.col("e.key").alias("category"), "e.value.severity", "e.value.description", F.explode("e.value.apis").alias("sig"))
+    entries = text.select("file", F.map_entries(F.from_json("value", kind)["api_categories"]).alias("e")).select("file", F.posexplode("e").alias("at", "e"))
+    rows = entries.select(F.struct("file", "at").alias("at"), F.col("e.key").alias("category"), "e.value.severity", "e.value.description", F.explode("e.value.apis").alias("sig"))
     last = F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("at")))
     return rows.withColumn("rank", last).where("rank = 1").select("category", F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"), "description", "sig")
 
@@ -76,7 +81,7 @@ def permission_headers(spark: SparkSession, path: str) -> DataFrame:
     """(sig, permissions): callers below the "Permission:" line that they belong to."""
     header = F.when(F.col("line").startswith("Permission:"), F.trim(F.expr("substring(line, 12)")))
     order = Window.partitionBy("file").orderBy("line_no")
-    rows = _lines(spark, path).withColumn("permission", F.last(header, ignorenulls=True).over(order))
+    rows = _numbered_lines(spark, path).withColumn("permission", F.last(header, ignorenulls=True).over(order))
     found = rows.where("startswith(line, '<') AND permission IS NOT NULL").select(F.regexp_extract("line", r"^(<.*>)", 1).alias("sig"), "permission")
     return found.groupBy("sig").agg(F.sort_array(F.collect_set("permission")).alias("permissions"))
 
@@ -175,9 +180,9 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
     return _lines(spark, path).where("line <> '' AND NOT startswith(line, '#')").select(F.col("line").alias("name")).distinct()
 
 
-def call_graph_json(spark: SparkSession, path: str) -> DataFrame:
-    """(src, dst) of an adjacency document."""
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))  # one document or one a line
+def call_graph_json(spark: SparkSession, path: str, by_line: bool = False) -> DataFrame:
+    """(src, dst) of an adjacency document; by_line where each line is a document, so that files can be split."""
+    rows = spark.read.text(path) if by_line else spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n(?=\{)")).alias("value"))
     rows = rows.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("src", "callees"))
     return rows.select("src", F.explode("callees").alias("dst"))
 
@@ -195,6 +200,11 @@ def result_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("app_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
+def result_records(spark: SparkSession, path: str) -> DataFrame:
+    """Prior results with an app's document in each line and its app_id in the document: many apps to a file."""
+    return spark.read.schema(f"app_id string, {RESULT}").json(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(kind, name, exported, enabled, actions) of the components of text manifests."""
     filters = "array<struct<action: array<struct<`_android:name`: string>>>>"
