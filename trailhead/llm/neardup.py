@@ -54,6 +54,8 @@ _SLACK = 6.0
 FEW = 24
 #: Links of one node that a task may get before they are dealt over several.
 HUB = 1 << 16
+#: Hashes by which texts are sorted out before they are shuffled.
+MARKS = 1 << 19
 #: Shingles of a block of documents that one task compares with another block.
 BLOCK_ITEMS = 1 << 20
 #: Width of the first rank region, where an element of weight 1 has a quarter of a dart; each further one is twice as wide.
@@ -185,6 +187,12 @@ def _own_id(text_key):
     return F.lit(1 << 62) + F.abs(F.xxhash64(text_key) % (1 << 62))
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be in ids, by one of MARKS hashes, so that few texts of others are shuffled; the list of marks is bounded at any size."""
+    mark = F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("mark")
+    return rows.withColumn("mark", mark).join(F.broadcast(ids.select(mark).distinct()), "mark", "left_semi").drop("mark")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, several: DataFrame | None, sketch) -> DataFrame:
     """Verification sets of the nodes in ids (id, and the hash of its text_key), as sorted 32-bit hashes.
 
@@ -203,7 +211,7 @@ def _sets(docs: DataFrame, ids: DataFrame, several: DataFrame | None, sketch) ->
     if several is not None:
         others = others.unionByName(rows.join(several.select(F.col("doc_id").alias("id")), "id", "left_semi"))
     others = others.select(_own_id(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"]).join(ids.select("id"), "id", "left_semi")
-    named = rows.join(ids, "id").where(F.xxhash64(F.unhex(F.md5("text"))) == F.col("of")).select("id", "text").dropDuplicates(["id"])
+    named = _marked(rows, ids).join(ids, "id").where(F.xxhash64(F.unhex(F.md5("text"))) == F.col("of")).select("id", "text").dropDuplicates(["id"])
     return base.arrow_map(named.unionByName(others), run, "id long, items array<int>")
 
 
@@ -315,7 +323,7 @@ def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None
     several = made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(of).alias("low"), F.max(of).alias("high")).where("low < high")
     several = None if several.isEmpty() else base.materialise(several, "several")
     if several is None:
-        nodes = nodes.withColumn("id", F.coalesce("id", _own_id(F.col("text_key"))))
+        nodes = base.materialise(nodes.withColumn("id", F.coalesce("id", _own_id(F.col("text_key")))), "nodes")
     else:
         holder = nodes.where("id IS NOT NULL").groupBy("id").agg(F.min(of).alias("holder"))
         own = F.col("holder").isNull() | (F.col("holder") != of)
