@@ -9,6 +9,7 @@ A program is a set of relations, so rules are rows and not code:
     leaves  callee, method, stmt, base, to, deep    base.x at the callee's end holds as to.x after the call
                                                 (deep: only where x has a field)
     starts  method, stmt                        where methods begin
+    moves   method, stmt, base, at, by, most, revisit   base.#i moves by that many where i is at or after at
 
 A path edge (method, entry, stmt, base, path) says: if the method is entered with entry,
 base.path holds before stmt. In a round each new entry of a method is walked to its end by itself, over
@@ -26,6 +27,8 @@ taint is the same solver from the sinks. Sparse control flow (``sparse``) leads
 from one statement that concerns it to the next, past all others.
 
 Paths are fields joined by dots, at most MAX_FIELDS; a path stands for all that begin with it.
+A field #i or #i-j is a place of a list, or one of several, $k a key of a map, and #* and $* are
+any (``with_containers``). Rules read places that may meet; they clear a field that is just the same.
 
 A store into a field concerns all names of the object. They are searched on demand
 (``with_aliases``): backwards from each store that a fact passes, then forwards from where
@@ -57,7 +60,12 @@ SCHEMAS = {
     "enters": "method string, stmt long, callee string, base string, to string",
     "leaves": "callee string, method string, stmt long, base string, to string, deep boolean",
     "starts": "method string, stmt long",
+    "moves": "method string, stmt long, base string, at int, by int, most int, revisit boolean",
 }
+#: The upper bound of a place; an interval up to it is open.
+TOP = 2**31 - 1
+#: Places past it are opened, which ends walks that no revisit ends, such as recursion.
+MAX_PLACE = 16
 
 
 @dataclass(frozen=True)
@@ -68,6 +76,7 @@ class Program:
     enters: DataFrame | None = None
     leaves: DataFrame | None = None
     starts: DataFrame | None = None
+    moves: DataFrame | None = None
 
     def written(self) -> Program:
         """Every relation made once, not in every round."""
@@ -86,14 +95,15 @@ def converse(program: Program, ends: DataFrame | None = None) -> Program:
     """The program read backwards: it begins at EXIT, and ends where it began."""
     flows = program.flows.selectExpr("method", "stmt", "to AS base", "to_path AS path", "base AS to", "path AS to_path")
     edges = program.edges.selectExpr("method", "dst AS src", "src AS dst")
+    moves = None if program.moves is None else program.moves.withColumn("by", -F.col("by"))
     if program.enters is None:
-        return replace(program, edges=edges, flows=flows)
+        return replace(program, edges=edges, flows=flows, moves=moves)
     first = program.starts.selectExpr("method", "stmt AS src", f"{EXIT}L AS dst")
     back = edges.selectExpr("method", f"CASE WHEN src = {EXIT} THEN {EXIT - 1}L ELSE src END AS src", "dst").unionByName(first)
     starts = program.starts.selectExpr("method", f"{EXIT - 1}L AS stmt")
     enters = program.leaves.selectExpr("method", "stmt", "callee", "to AS base", "base AS to")
     leaves = program.enters.selectExpr("callee", "method", "stmt", "to AS base", "base AS to", "false AS deep")
-    return Program(back, flows, program.kills, enters, leaves, starts)
+    return Program(back, flows, program.kills, enters, leaves, starts, moves)
 
 
 def sparse(program: Program, uses: DataFrame) -> DataFrame:
@@ -108,6 +118,8 @@ def sparse(program: Program, uses: DataFrame) -> DataFrame:
     if program.enters is not None:
         concern += [program.enters.select("method", "stmt", "base")]
         made += [program.leaves.selectExpr("method", "to AS base"), program.enters.selectExpr("callee AS method", "to AS base"), program.leaves.selectExpr("callee AS method", "base")]
+    if program.moves is not None:
+        concern.append(program.moves.select("method", "stmt", "base"))
     stops, bases = concern[0], concern[0].select("method", "base")
     for c in concern[1:]:
         stops, bases = stops.unionByName(c), bases.unionByName(c.select("method", "base"))
@@ -142,26 +154,116 @@ def joined(first: str, second: str) -> str:
     return f"substring_index(concat_ws('.', nullif({first}, ''), nullif({second}, '')), '.', {MAX_FIELDS})"
 
 
-def walk(ways: dict, flows: dict, kills: dict, facts, exact: bool = False) -> set[tuple]:
+def _interval(field: str) -> tuple[int, int]:
+    low, _, high = field[1:].partition("-")
+    return (0, TOP) if low == "*" else (int(low), int(high or low))
+
+
+def _place(low: int, high: int) -> str:
+    return "#*" if high == TOP else f"#{low}" if low == high else f"#{low}-{high}"
+
+
+def _meet(field: str, wanted: str) -> bool:
+    """Whether a field may be the wanted one."""
+    if field == wanted:
+        return True
+    if field[:1] == wanted[:1] == "#":
+        (a, b), (c, d) = _interval(field), _interval(wanted)
+        return a <= d and c <= b
+    return field[:1] == wanted[:1] == "$" and "$*" in (field, wanted)
+
+
+def _read(path: str, wanted: str, exact: bool) -> str | None:
+    """What is left of path once wanted is read."""
+    if not wanted or path == wanted or path.startswith(f"{wanted}."):
+        return path[len(wanted) :].lstrip(".")
+    if not path:
+        return None if exact else ""
+    if "#" in wanted or "$" in wanted:
+        got, want = path.split("."), wanted.split(".")
+        if len(got) >= len(want) and all(map(_meet, got, want)):
+            return ".".join(got[len(want) :])
+    return None
+
+
+def _cleared(path: str, kill: str) -> bool:
+    """Whether kill clears path; a kill # or $ clears all places or keys."""
+    return not kill or f"{path}.".startswith(f"{kill}.") or kill in ("#", "$") and path[:1] == kill
+
+
+def moved(field: str, at: int | None, by: int) -> str | None:
+    """A place once values were put in or taken out at a place, or at one that isn't known; None if it is the one taken out.
+
+    Read backwards, what was put in was taken out.
+    """
+    low, high = _interval(field)
+    if high == TOP:
+        return field
+    if by < 0 and low == high == at:
+        return None
+    surely, maybe = (at, at) if at is not None else (TOP, 0)
+    first, last = (surely, maybe) if by > 0 else (maybe + (at is not None), surely + (at is not None))
+    return _place(max(low + by, 0) if low >= first else low, max(high + by, 0) if high >= last else high)
+
+
+def walk(ways: dict, flows: dict, kills: dict, facts, exact: bool = False, moves: dict | None = None) -> set[tuple]:
     """All facts (stmt, base, path) that some lead to along a method's ways, themselves included.
 
-    A path stands for all that begin with it; if exact, for itself, as the name of an object.
+    A path stands for all that begin with it; if exact, for itself, as the name of an object. A move
+    (at, by, most, revisit) opens a place that it moves past most, and with revisit one that comes from
+    a place which that statement has moved already: so loops end. Which facts do is known after a
+    first walk that only most ends; the second one opens theirs.
     """
-    seen, stack = set(facts), list(set(facts))
-    while stack:
-        stmt, base, path = stack.pop()
-        out = [] if any(not k or f"{path}.".startswith(f"{k}.") for k in kills.get((stmt, base), ())) else [(base, path)]
+
+    def after(fact, again):
+        """(base, path, whether it was moved) after the statement of a fact."""
+        stmt, base, path = fact
+        out = [] if any(_cleared(path, k) for k in kills.get((stmt, base), ())) else [(base, path, False)]
+        steps = moves.get((stmt, base)) if moves and out and path[:1] == "#" else None
+        if steps:
+            place, *fields = path.split(".")
+            for at, by, most, revisit in steps:
+                place, before = moved(place, at, by), place
+                if place is None:
+                    break
+                if place != before and (_interval(place)[1] > most or revisit and fact in again.get(stmt, ())):
+                    place = "#*"
+            out = [] if place is None else [(base, ".".join([place, *fields]), place != path.split(".")[0])]
         for wanted, to, to_path in flows.get((stmt, base), ()):
-            if not wanted or not path and not exact or path == wanted or path.startswith(f"{wanted}."):
-                fields = [x for x in (to_path, path[len(wanted) :].lstrip(".")) if x]
-                out.append((to, ".".join(".".join(fields).split(".")[:MAX_FIELDS])))
-        for to, to_path in out:
-            for dst in ways.get((stmt, to), ways.get((stmt, None), ())):
-                fact = (dst, to, to_path)
-                if fact not in seen:
-                    seen.add(fact)
-                    stack.append(fact)
-    return seen
+            left = _read(path, wanted, exact)
+            if left is not None:
+                out.append((to, ".".join(".".join(x for x in (to_path, left) if x).split(".")[:MAX_FIELDS]), False))
+        return out
+
+    def closed(start, again=None, links=None, shifted=None):
+        seen, stack = set(start), list(set(start))
+        while stack:
+            fact = stack.pop()
+            for base, path, moved_ in after(fact, again or {}):
+                for dst in ways.get((fact[0], base), ways.get((fact[0], None), ())):
+                    made = (dst, base, path)
+                    if links is not None:
+                        links.setdefault(fact, []).append(made)
+                        if moved_:
+                            shifted.setdefault(fact[0], set()).add(made)
+                    if made not in seen:
+                        seen.add(made)
+                        stack.append(made)
+        return seen
+
+    if not moves:
+        return closed(facts)
+    links, shifted, again = {}, {}, {}
+    plain = closed(facts, None, links, shifted)
+    for stmt, begin in shifted.items():
+        seen, stack = set(begin), list(begin)
+        while stack:
+            for made in links.get(stack.pop(), ()):
+                if made not in seen:
+                    seen.add(made)
+                    stack.append(made)
+        again[stmt] = seen
+    return closed(facts, again) if again else plain
 
 
 def _listed(df: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -176,7 +278,10 @@ def _rules(program: Program, ways: DataFrame | None = None) -> DataFrame:
     """The rules of each method as one row."""
     rules = _listed(_dense(program) if ways is None else ways, "ways", "base", "src", "dst")
     rules = rules.join(_listed(program.flows, "flows", "stmt", "base", "path", "to", "to_path"), "method", "full")
-    return written(rules.join(_listed(program.kills, "kills", "stmt", "base", "path"), "method", "full"), "rules")
+    rules = rules.join(_listed(program.kills, "kills", "stmt", "base", "path"), "method", "full")
+    if program.moves is not None:
+        rules = rules.join(_listed(program.moves, "moves", "stmt", "base", "at", "by", "most", "revisit"), "method", "full")
+    return written(rules, "rules")
 
 
 def _walked(rules: DataFrame, new: DataFrame, exact: bool = False) -> DataFrame:
@@ -187,15 +292,18 @@ def _walked(rules: DataFrame, new: DataFrame, exact: bool = False) -> DataFrame:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
-                ways, flows, kills = ({}, {}, {})
+                ways, flows, kills, moves = ({}, {}, {}, {})
                 for e in row.ways if row.ways is not None else ():
                     ways.setdefault((e["src"], e["base"]), []).append(e["dst"])
                 for f in row.flows if row.flows is not None else ():
                     flows.setdefault((f["stmt"], f["base"]), []).append((f["path"], f["to"], f["to_path"]))
                 for k in row.kills if row.kills is not None else ():
                     kills.setdefault((k["stmt"], k["base"]), []).append(k["path"])
+                held_moves = getattr(row, "moves", None)
+                for m in held_moves if held_moves is not None else ():
+                    moves.setdefault((m["stmt"], m["base"]), []).append((m["at"], m["by"], m["most"], m["revisit"]))
                 start = [(f["stmt"], f["base"], f["path"]) for f in row.facts]
-                out += [(row.method, row.entry, *fact) for fact in walk(ways, flows, kills, start, exact)]
+                out += [(row.method, row.entry, *fact) for fact in walk(ways, flows, kills, start, exact, moves)]
             yield pd.DataFrame(out, columns=FACT)
 
     return held.join(rules, "method", "left").mapInPandas(run, "method string, entry string, stmt long, base string, path string")
@@ -445,7 +553,38 @@ def with_models(program: Program, stmts: DataFrame, models: DataFrame, gaps: Dat
         given = free.select("method", "stmt", "lhs", F.explode(F.array_compact(F.concat("args", F.array("base")))).alias("base"))
         flows = flows.unionByName(given.selectExpr("method", "stmt", "base", "'' AS path", "lhs AS to", "'' AS to_path"))
     loop = inside.selectExpr("method", "1L AS src", f"explode(array(1L, {EXIT}L)) AS dst")
-    return Program(program.edges.unionByName(loop), flows, kills, enters, leaves, program.starts.unionByName(inside.selectExpr("method", "1L AS stmt"))).written()
+    return Program(program.edges.unionByName(loop), flows, kills, enters, leaves, program.starts.unionByName(inside.selectExpr("method", "1L AS stmt")), program.moves).written()
+
+
+def with_containers(program: Program, ops: DataFrame, widening: str = "revisit", smash: bool = False, most: int = MAX_PLACE) -> Program:
+    """The program with operations of lists and maps, whose facts know the place or the key of a value.
+
+    ops: (method, stmt, base, kind, op, at, value, lhs); kind is list or map, at a constant place
+    or key as text, null where it isn't known. op is new, clear, add (list: puts a value before the one
+    at a place), append (at: the place, if known), set (list, and a map's put), remove or get; lhs takes
+    what get and remove give. A known place or key that gets a value loses what it had. widening
+    says where a moved place is opened: shift (whenever it moves), revisit (where the same statement
+    has moved what it comes from) or none (past most only, as with the others). smash keeps no
+    places or keys: a value is anywhere in its container, until that is cleared. Other names of a
+    container see what is put in it (``with_aliases``), but their places don't move with it.
+    """
+    if widening not in ("revisit", "shift", "none"):
+        raise ValueError(f"no such widening: {widening}")
+    known = F.col("at").isNotNull() & ~F.lit(smash)
+    mark = F.when(F.col("kind") == "list", "#").otherwise("$")
+    key = F.when(F.col("kind") == "list", F.col("at").cast("string")).otherwise(F.replace(F.replace("at", F.lit("%"), F.lit("%25")), F.lit("."), F.lit("%2E")))
+    rows = written(ops.select("*", F.concat(mark, F.when(known, key).otherwise("*")).alias("field"), known.alias("known"), mark.alias("mark")), "containers")
+    put = rows.where("op IN ('add', 'append', 'set') AND value IS NOT NULL").selectExpr("method", "stmt", "value AS base", "'' AS path", "base AS to", "field AS to_path")
+    got = rows.where("op IN ('get', 'remove') AND lhs IS NOT NULL").selectExpr("method", "stmt", "base", "field AS path", "lhs AS to", "'' AS to_path")
+    lost = rows.where("op IN ('new', 'clear')").selectExpr("method", "stmt", "base", "mark AS path")
+    lost = lost.unionByName(rows.where("known AND (op = 'set' OR op = 'remove' AND kind = 'map')").selectExpr("method", "stmt", "base", "field AS path"))
+    lost = lost.unionByName(rows.where("lhs IS NOT NULL").selectExpr("method", "stmt", "lhs AS base", "'' AS path"))
+    shifts = rows.where("kind = 'list' AND op IN ('add', 'remove')" + (" AND false" if smash else ""))
+    far = -1 if widening == "shift" else most
+    moves = shifts.selectExpr("method", "stmt", "base", "CAST(at AS INT) AS at", "IF(op = 'add', 1, -1) AS by", f"{far} AS most", f"{widening == 'revisit'} AS revisit")
+    if program.moves is not None:
+        moves = moves.unionByName(program.moves)
+    return replace(program, flows=program.flows.unionByName(put).unionByName(got), kills=program.kills.unionByName(lost), moves=moves).written()
 
 
 def nearest_postdominators(edges: DataFrame) -> DataFrame:
