@@ -186,3 +186,35 @@ def test_conditions_decide_sinks_in_called_methods(spark):
         sinks = stmts.where("kind = 'sink'").select("method", "stmt", F.explode("args").alias("base")).unionByName(decided)
         hits[name] = t.reached(t.tabulated(prog, t.seeds(stmts.where("kind = 'source'").selectExpr("method", "stmt", "lhs AS base"))), sinks).select("stmt", "origin").distinct().count()
     assert hits == {name: n for name, (_, n) in programs.items()}
+
+
+def test_secondary_flows_gate_sinks(spark):
+    """Sinks o.write(x): what o comes from decides, also through a callee and past a callee's start."""
+    programs = {
+        "from_net": ([st(1, "assign", "o"), st(2, "source", "x"), st(3, "sink", base="o", args=["x"])], ["net"], [], 1),
+        "from_file": ([st(1, "assign", "o"), st(2, "source", "x"), st(3, "sink", base="o", args=["x"])], ["net"], [], 0),
+        "copied": ([st(1, "assign", "n"), st(2, "assign", "o", "n"), st(3, "source", "x"), st(4, "sink", base="o", args=["x"])], ["net"], [], 1),
+        "through_callee": ([st(1, "assign", "n"), st(2, "call", "o", callee="same", args=["n"]), st(3, "source", "x"), st(4, "sink", base="o", args=["x"])], ["net"], [], 1),
+        "wrong_and_right": ([st(1, "assign", "o"), st(2, "source", "x"), st(3, "sink", base="o", args=["x"])], ["net", "file"], ["net"], 0),
+        "made_anew": ([st(1, "assign", "o"), st(2, "assign", "o"), st(3, "source", "x"), st(4, "sink", base="o", args=["x"])], ["net"], [], 0),
+        "none_wanted": ([st(1, "source", "x"), st(2, "sink", base="o", args=["x"])], [], ["net"], 1),
+        "no_context": ([st(1, "source", "x"), st(2, "sink", base="o", args=["x"])], ["net"], [], 0),
+        "no_condition": ([st(1, "source", "x"), st(2, "sink", base="o", args=["x"])], None, None, 1),
+        "not_tainted": ([st(1, "assign", "o"), st(2, "source", "z"), st(3, "sink", base="o", args=["x"])], ["net"], [], 0),
+    }
+    from pyspark.sql import functions as F
+
+    stmts = [(n, *s) for n, (body, *_) in programs.items() for s in body] + [("same", *st(1, "return", rhs="a"))]
+    flow = [(n, a[0], z[0]) for n, (body, *_) in programs.items() for a, z in zip(body, body[1:], strict=False)]
+    stmts = spark.createDataFrame(stmts, taint.STATEMENT)
+    prog = t.compiled(stmts, spark.createDataFrame(flow, "method string, src long, dst long"), spark.createDataFrame([("same", ["a"])], "method string, names array<string>"))
+    sinks = stmts.where("kind = 'sink'")
+    at_sink = {n: body[-1][0] for n, (body, *_) in programs.items()}
+    conditions = spark.createDataFrame([(n, at_sink[n], w, u) for n, (_, w, u, _) in programs.items() if w is not None], "method string, stmt long, wanted array<string>, unwanted array<string>")
+    contexts = [(n, 1, programs[n][0][0][2], "file" if n == "from_file" else "net") for n in programs if programs[n][0][0][1] == "assign"]
+    contexts = spark.createDataFrame(contexts, "method string, stmt long, base string, name string")
+    sources = t.seeds(stmts.where("kind = 'source'").selectExpr("method", "stmt", "lhs AS base"))
+    ask = lambda conditions, contexts: {r.method for r in t.gated(prog, sources, sinks.select("method", "stmt", F.explode("args").alias("base")), sinks.select("method", "stmt", "base"), contexts, conditions).collect()}
+    assert ask(conditions, contexts) == {n for n, p in programs.items() if p[3]}
+    assert ask(conditions.limit(0), contexts) == set(programs) - {"not_tainted"}
+    assert ask(conditions, contexts.limit(0)) == {"none_wanted", "no_condition"}

@@ -453,6 +453,28 @@ def reached(solution: Solution, uses: DataFrame) -> DataFrame:
     return at.join(origins(solution), ["method", "entry"]).select("method", "stmt", "origin", "base", "path").distinct()
 
 
+def gated(program: Program, seeds_: DataFrame, sinks: DataFrame, objects: DataFrame, contexts: DataFrame, conditions: DataFrame, unbalanced: bool = False) -> DataFrame:
+    """reached() without the flows whose sink's condition on its object doesn't hold.
+
+    objects (method, stmt, base) are what conditional sinks are called on, contexts (method, stmt,
+    base, name) statements that make an object in a way that has a name, and conditions (method,
+    stmt, wanted, unwanted) say, as arrays of names, that the object must come from one of the wanted
+    contexts, if there are any, and from none of the unwanted. The secondary flows are found
+    backwards through calls, and only from sinks that a fact has reached. A sink without
+    a condition keeps its flows; an object without known contexts has none of the wanted.
+    """
+    at = ["method", "stmt"]
+    found = written(reached(tabulated(program, seeds_, unbalanced), sinks), "flows")
+    asked = objects.join(conditions, at, "left_semi").join(found, at, "left_semi")
+    second = tabulated(converse(program).written(), seeds(asked), unbalanced)
+    names = reached(second, contexts).join(contexts.distinct(), [*at, "base"]).groupBy("origin").agg(F.collect_set("name").alias("names"))
+    none = F.array().cast("array<string>")
+    rows = conditions.withColumn("origin", F.concat("method", F.lit(":"), F.col("stmt").cast("string"))).join(names, "origin", "left").withColumn("names", F.coalesce("names", none))
+    any_of = lambda c: F.coalesce(F.arrays_overlap(F.coalesce(c, none), "names"), F.lit(False))
+    broken = rows.where((F.size(F.coalesce("wanted", none)) > 0) & ~any_of("wanted") | any_of("unwanted"))
+    return found.join(broken, at, "left_anti")
+
+
 def seeds(at: DataFrame) -> DataFrame:
     """Facts (method, stmt, base) that begin after their statement; their origin is method:stmt."""
     origin = F.concat(F.lit("0|"), "method", F.lit(":"), F.col("stmt").cast("string"))
