@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailhead.operators import recursion
+
 # Patterns of a source/sink line: a method with, a method without a return type, a field.
 METHOD_LINE = r"^<(.+):\s*(.+)\s+(.+)\s*\((.*)\)>\s*(.*?)(\s+->\s+(.*))?$"
 NO_RETURN_LINE = r"^<(.+):\s*(.+)\s*\((.*)\)>\s*(.*?)?(\s+->\s+(.*))?$"
@@ -243,7 +245,7 @@ def component_models(spark: SparkSession, path: str) -> DataFrame:
     each = rows.select(package.alias("package"), F.explode(parts).alias("c"))
     return each.select(
         "package", F.regexp_extract("c", r'name: "([^"]+)"', 1).alias("name"), F.regexp_extract("c", r"\n\s*kind: (ACTIVITY|SERVICE|RECEIVER|PROVIDER)", 1).alias("kind"),
-        F.contains("c", F.lit("exported: true")).alias("exported"), F.regexp_extract_all("c", F.lit(r'kind: ACTION\s+value: "([^"]+)"'), 1).alias("actions"),
+        F.contains("c", F.lit("exported: true")).alias("exported"), F.regexp_extract_all(F.split("c", r"(?m)^\s*exit_points \{")[0], F.lit(r'kind: ACTION\s+value: "([^"]+)"'), 1).alias("actions"),
     )
 
 
@@ -281,3 +283,74 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def source_sink_conditions(spark: SparkSession, path: str) -> DataFrame:
+    """(category, sig, nr, signatures, class_names, excluded): the conditions of definitions; one that names nothing is left out.
+
+    A definition holds if any of its conditions does, and a condition if something of it is on the path.
+    """
+    named = lambda tag, name: f"{tag}: array<struct<_{name}: string>>"
+    condition = f"struct<{named('signatureOnPath', 'signature')}, {named('classNameOnPath', 'className')}, {named('excludeClassName', 'className')}>"
+    schema = f"_id string, method array<struct<_signature: string, additionalFlowCondition: array<{condition}>>>"
+    rows = spark.read.format("xml").option("rowTag", "category").schema(schema).load(path).select(F.col("_id").alias("category"), F.explode("method").alias("m"))
+    each = rows.select("category", F.col("m._signature").alias("sig"), F.posexplode("m.additionalFlowCondition").alias("nr", "c"))
+    values = lambda tag, name: F.coalesce(F.transform(F.col("c")[tag], lambda x: x[f"_{name}"]), F.array().cast("array<string>"))
+    made = each.select("category", "sig", "nr", values("signatureOnPath", "signature").alias("signatures"), values("classNameOnPath", "className").alias("class_names"), values("excludeClassName", "className").alias("excluded"))
+    return made.where((F.size("signatures") > 0) | (F.size("class_names") > 0))
+
+
+def layout_elements(spark: SparkSession, path: str, layout=None) -> DataFrame:
+    """(layout, kind, name, id, method) of text layouts: kind is view, fragment (name is its class) or include (name is the layout).
+
+    A layout is called by its file unless the column layout says otherwise; comments are skipped.
+    """
+    layout = F.regexp_extract(F.input_file_name(), r"([\w-]+)\.xml$", 1) if layout is None else layout
+    text = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
+    tags = spark.read.text(path, wholetext=True).select(layout.alias("layout"), F.explode(F.regexp_extract_all(text, F.lit(r"<([\w.]+(?:\s+[\w:]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*/?>"), 1)).alias("tag"))
+    attribute = lambda name: F.nullif(F.regexp_extract("tag", rf"\s{name}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit(""))
+    tag = F.regexp_extract("tag", r"^([\w.]+)", 1)
+    kind = F.when(tag == "include", "include").when(tag == "fragment", "fragment").otherwise("view")
+    of = F.coalesce(F.when(tag == "include", F.regexp_replace(attribute("layout"), "^@layout/", "")).when(tag == "fragment", F.coalesce(attribute("android:name"), attribute("class"))), tag)
+    return tags.select("layout", kind.alias("kind"), of.alias("name"), F.regexp_replace(attribute("android:id"), r"^@\+?(?:android:)?id/", "").alias("id"), attribute("android:onClick").alias("method"))
+
+
+def resolved_layouts(elements: DataFrame) -> DataFrame:
+    """(layout, owner, kind, name, id, method): the elements of a layout and of all that it includes, which may include each other; owner has them."""
+    includes = elements.where("kind = 'include'").select(F.col("layout").alias("src"), F.col("name").alias("dst"))
+    held = elements.select("layout").distinct().select("layout", F.col("layout").alias("owner"))
+    below = recursion.closure(includes).where("src <> dst").select(F.col("src").alias("layout"), F.col("dst").alias("owner"))
+    return held.unionByName(below).join(elements.where("kind <> 'include'").withColumnRenamed("layout", "owner"), "owner").select("layout", "owner", "kind", "name", "id", "method")
+
+
+def manifest_facts(spark: SparkSession, path: str) -> DataFrame:
+    """(package, application, min_sdk, target_sdk, permissions) of text manifests; the application's class with its package, permissions sorted."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?s)<!--.*?-->", "").alias("value"))
+    inside = lambda tag, name: F.nullif(F.regexp_extract("value", rf"(?s)<{tag}\b[^>]*?\s{name}\s*=\s*\"([^\"]*)\"", 1), F.lit(""))
+    package, application = inside("manifest", "package"), inside("application", "android:name")
+    full = F.when(application.startswith("."), F.concat(package, application)).when(~F.contains(application, F.lit(".")), F.concat_ws(".", package, application)).otherwise(application)
+    uses = F.array_sort(F.array_distinct(F.regexp_extract_all("value", F.lit(r"(?s)<uses-permission(?:-sdk-23)?\b[^>]*?android:name\s*=\s*\"([^\"]*)\""), 1)))
+    return text.select(package.alias("package"), full.alias("application"), inside("uses-sdk", "android:minSdkVersion").cast("int").alias("min_sdk"), inside("uses-sdk", "android:targetSdkVersion").cast("int").alias("target_sdk"), uses.alias("permissions"))
+
+
+def component_exits(spark: SparkSession, path: str) -> DataFrame:
+    """(package, name, method, stmt, kind, action, class) of the exit points of component models in protobuf text: a row for each intent."""
+    rows = spark.read.text(path, wholetext=True)
+    after = lambda text, mark: F.slice(F.split(text, mark), 2, 1 << 30)
+    each = rows.select(F.regexp_extract("value", r'(?m)^name: "([^"]+)"', 1).alias("package"), F.explode(after(F.col("value"), r"(?m)^components \{")).alias("c"))
+    exits = each.select("package", F.regexp_extract("c", r'name: "([^"]+)"', 1).alias("name"), F.explode(after(F.col("c"), r"(?m)^\s*exit_points \{")).alias("e"))
+    head = F.split("e", r"(?m)^\s*intents \{")[0]
+    found = exits.select(
+        "package", "name", F.regexp_extract("e", r'method: "([^"]*)"', 1).alias("method"), F.regexp_extract("e", r"\bid: (\d+)", 1).cast("long").alias("stmt"),
+        F.regexp_extract(head, r"\bkind: (ACTIVITY|SERVICE|RECEIVER|PROVIDER)", 1).alias("kind"), F.explode(after(F.col("e"), r"(?m)^\s*intents \{")).alias("i"),
+    )
+    value = lambda kind: F.nullif(F.regexp_extract("i", rf'kind: {kind}\s+value: "([^"]*)"', 1), F.lit(""))
+    return found.select("package", "name", "method", "stmt", "kind", value("ACTION").alias("action"), F.replace(value("CLASS"), F.lit("/"), F.lit(".")).alias("class"))
+
+
+def component_links(exits: DataFrame, models: DataFrame) -> DataFrame:
+    """(package, name, stmt, target, explicit): components of the same app that an exit may start: the class that it names, else those of its kind with a filter for its action."""
+    named = exits.where("class IS NOT NULL").join(models.select("package", F.col("name").alias("class")).distinct(), ["package", "class"]).select("package", "name", "stmt", F.col("class").alias("target"), F.lit(True).alias("explicit"))
+    filters = models.select("package", "kind", F.explode(F.array_distinct("actions")).alias("action"), F.col("name").alias("target"))
+    open_ = exits.where("class IS NULL AND action IS NOT NULL").join(filters, ["package", "kind", "action"]).select("package", "name", "stmt", "target", F.lit(False).alias("explicit"))
+    return named.unionByName(open_).distinct()
