@@ -56,3 +56,25 @@ def test_conditions_that_name_nothing(spark, tmp_path):
     )
     rows = [(r.category, r.sig, r.nr, r.signatures, r.class_names, r.excluded) for r in readers.source_sink_conditions(spark, path).collect()]
     assert sorted(rows) == [("NETWORK", "<A: void b()>", 0, ["s"], [], []), ("NETWORK", "<A: void b()>", 2, [], ["c"], ["x"])]
+
+
+def test_library_methods_run_what_they_are_given(spark):
+    from trailhead.operators import frontend
+
+    methods = spark.createDataFrame([("Task", "void run()", "Task.run"), ("Base", "void handleMessage(android.os.Message)", "Base.handle")], "class string, sub_sig string, sig string")
+    edges = spark.createDataFrame([("Sub", "Base", False)], "sub string, sup string, is_interface boolean")
+    post, send = "<android.os.Handler: boolean post(java.lang.Runnable)>", "<android.os.Handler: boolean sendMessage(android.os.Message)>"
+    calls = spark.createDataFrame(
+        [(1, post, ["Base", "Task"]), (2, send, ["Sub", "Message"]), (3, post, ["Base"]), (4, post, ["Task", None]), (5, "<a.B: void c()>", ["Task", "Task"]), (6, post, None)], "call long, callee string, classes array<string>"
+    )
+    assert {(r.call, r.sub_sig) for r in frontend.patched_calls(calls, methods, edges).collect()} == {(1, "void run()"), (2, "void handleMessage(android.os.Message)")}
+
+
+def test_synthetic_methods_in_order_and_in_any(spark):
+    from trailhead.operators import frontend
+
+    entries = spark.createDataFrame([("A", "Activity", "A.a", 4), ("A", "Activity", "A.b", 0), ("A", "Activity", "A.b", 0)], "class string, component string, method string, step int")
+    flow = lambda sequential: sorted((r.src, r.dst) for r in frontend.dummy_flow(entries, sequential).collect())
+    assert flow(True) == [(0, 1), (1, 5), (5, -1)]
+    assert flow(False) == [(0, -1), (0, 1), (0, 5), (1, 0), (5, 0)]
+    assert frontend.dummy_flow(entries.limit(0)).isEmpty()

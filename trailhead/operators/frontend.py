@@ -15,7 +15,31 @@ LIFECYCLES = {
     "BroadcastReceiver": ("onReceive",),
     "ContentProvider": ("onCreate", "insert", "query", "update", "delete", "getType"),
     "Fragment": ("onAttach", "onCreate", "onCreateView", "onViewCreated", "onStart", "onResume", "onPause", "onStop", "onDestroyView", "onDestroy", "onDetach"),
+    "Application": ("onCreate", "onTerminate"),
+    "ServiceConnection": ("onServiceConnected", "onServiceDisconnected"),
+    "GCMBaseIntentService": ("onDeletedMessages", "onError", "onMessage", "onRecoverableError", "onRegistered", "onUnregistered"),
+    "GcmListenerService": ("onDeletedMessages", "onMessageReceived", "onMessageSent", "onSendError"),
+    "HostApduService": ("processCommandApdu", "onDeactivated"),
+    "ActivityLifecycleCallbacks": ("onActivityCreated", "onActivityStarted", "onActivityResumed", "onActivityPaused", "onActivityStopped", "onActivitySaveInstanceState", "onActivityDestroyed"),
+    "ComponentCallbacks": ("onLowMemory", "onConfigurationChanged"),
+    "ComponentCallbacks2": ("onTrimMemory",),
 }
+# Library methods that run code given to them: which of receiver (0) and arguments (1, ...), and what is called on it.
+PATCHES = (
+    ("<java.lang.Thread: void start()>", 0, "void run()"),
+    ("<java.lang.Thread: void <init>(java.lang.Runnable)>", 1, "void run()"),
+    ("<java.lang.Thread: void <init>(java.lang.Runnable,java.lang.String)>", 1, "void run()"),
+    ("<android.os.Handler: boolean post(java.lang.Runnable)>", 1, "void run()"),
+    ("<android.os.Handler: boolean postAtTime(java.lang.Runnable,long)>", 1, "void run()"),
+    ("<android.os.Handler: boolean postDelayed(java.lang.Runnable,long)>", 1, "void run()"),
+    ("<android.os.Handler: boolean postAtFrontOfQueue(java.lang.Runnable)>", 1, "void run()"),
+    ("<android.os.Handler: void dispatchMessage(android.os.Message)>", 0, "void handleMessage(android.os.Message)"),
+    ("<android.os.Handler: boolean sendMessage(android.os.Message)>", 0, "void handleMessage(android.os.Message)"),
+    ("<java.util.Timer: void schedule(java.util.TimerTask,long)>", 1, "void run()"),
+    ("<java.util.Timer: void schedule(java.util.TimerTask,java.util.Date)>", 1, "void run()"),
+    ("<java.util.Timer: void schedule(java.util.TimerTask,long,long)>", 1, "void run()"),
+    ("<java.util.Timer: void scheduleAtFixedRate(java.util.TimerTask,long,long)>", 1, "void run()"),
+)
 
 
 def entry_points(components: DataFrame, methods: DataFrame) -> DataFrame:
@@ -28,13 +52,40 @@ def entry_points(components: DataFrame, methods: DataFrame) -> DataFrame:
     return components.join(template, "component").join(methods.select("class", "name", F.col("sig").alias("method")), ["class", "name"]).select("class", "component", "method", "step")
 
 
-def dummy_edges(entries: DataFrame, sequential: bool = True) -> DataFrame:
+def dummy_edges(entries: DataFrame) -> DataFrame:
     """(src, dst): a synthetic main calls one method for each component, which calls the lifecycle methods."""
     main = entries.select(F.lit("dummyMain").alias("src"), F.concat(F.lit("dummyMain_"), "class").alias("dst")).distinct()
     inner = entries.select(F.concat(F.lit("dummyMain_"), "class").alias("src"), F.col("method").alias("dst"))
     return main.unionByName(inner)
 
 
+def dummy_flow(entries: DataFrame, sequential: bool = True) -> DataFrame:
+    """(method, src, dst): control flow in the synthetic method of each component, from 0 over calls step + 1 to -1.
+
+    sequential runs the lifecycle methods once, in order; otherwise any of them may run next, or none, again and again.
+    """
+    calls = entries.select(F.concat(F.lit("dummyMain_"), "class").alias("method"), (F.col("step") + 1).cast("long").alias("node")).distinct()
+    zero, end = F.lit(0).cast("long"), F.lit(-1).cast("long")
+    if not sequential:
+        nothing = calls.select("method", zero.alias("src"), end.alias("dst")).distinct()
+        return calls.select("method", zero.alias("src"), F.col("node").alias("dst")).unionByName(calls.select("method", F.col("node").alias("src"), zero.alias("dst"))).unionByName(nothing)
+    order = Window.partitionBy("method").orderBy("node")
+    chained = calls.select("method", F.col("node").alias("src"), F.coalesce(F.lead("node").over(order), end).alias("dst"))
+    return chained.unionByName(calls.groupBy("method").agg(F.min("node").alias("dst")).select("method", zero.alias("src"), "dst"))
+
+
+def patched_calls(calls: DataFrame, methods: DataFrame, edges: DataFrame, patches: DataFrame | None = None) -> DataFrame:
+    """(call, sub_sig, target): what library methods without a body run of the objects given to them.
+
+    calls are (call, callee, classes), the receiver's class first, then those of the arguments; null classes and
+    calls with fewer have none. patches (callee, position, sub_sig) are PATCHES unless given, a few rows that the planner sends to every task.
+    """
+    if patches is None:
+        patches = calls.sparkSession.createDataFrame(PATCHES, "callee string, position int, sub_sig string")
+    given = calls.join(patches, "callee").select("call", F.get("classes", F.col("position")).alias("class"), "sub_sig").where("class IS NOT NULL")
+    return hierarchy.dispatch(given, methods, edges)
+
+
 def registered_callbacks(invokes: DataFrame, interfaces: DataFrame, methods: DataFrame, edges: DataFrame) -> DataFrame:
     """(component, method) of callbacks: an invoke (component, arg_class) passes an object whose class
     implements a listed interface (name, sub_sig), and the class or one above it has the method."""

@@ -207,3 +207,50 @@ def concatenation_steps(spark, sf):
     recipe = "element_at(array('', '\\u0001x=', 'id \\u0001\\u0001;', '\\u0002\\u0001\\u0002'), CAST(event_id % 4 AS INT) + 1)"
     calls = b.table(spark, sf, "events").selectExpr("event_id AS call", f"{recipe} AS recipe", "array('a' || CAST(event_id AS STRING), 'b') AS args", "array('k0', 'k1') AS constants")
     return frontend.concatenations(calls)
+
+
+# -- further kinds of components, the order of their methods, and library methods that run what they are given
+
+_MORE = "CASE o_orderkey % 4 WHEN 0 THEN 'Application' WHEN 1 THEN 'ServiceConnection' WHEN 2 THEN 'HostApduService' ELSE 'ComponentCallbacks' END"
+_MORE_NAME = "CASE o_custkey % 7 WHEN 0 THEN 'onCreate' WHEN 1 THEN 'onTerminate' WHEN 2 THEN 'onServiceDisconnected' WHEN 3 THEN 'processCommandApdu' WHEN 4 THEN 'onDeactivated' WHEN 5 THEN 'onLowMemory' ELSE 'helper' END"
+
+
+@query(
+    f"""WITH m AS (SELECT 'o' || CAST(o_orderkey % 500 AS VARCHAR) AS class, {_MORE_NAME} AS name, {_MORE} AS component FROM orders), steps(component, name, step) AS (VALUES ('Application', 'onCreate', 0), ('Application', 'onTerminate', 1), ('ServiceConnection', 'onServiceDisconnected', 1),
+    ('HostApduService', 'processCommandApdu', 0), ('HostApduService', 'onDeactivated', 1), ('ComponentCallbacks', 'onLowMemory', 0)) SELECT DISTINCT class, component, class || '.' || name AS method, step FROM m JOIN steps USING (component, name)"""
+)
+def further_entry_points(spark, sf):
+    """Lifecycle methods of applications, connections and services of cards, and callbacks of all components."""
+    rows = b.table(spark, sf, "orders").selectExpr("'o' || CAST(o_orderkey % 500 AS STRING) AS class", f"{_MORE_NAME} AS name", f"{_MORE} AS component")
+    methods = rows.select("class", "name").distinct().withColumn("sig", F.concat_ws(".", "class", "name"))
+    return frontend.entry_points(rows.select("class", "component").distinct(), methods)
+
+
+@query(
+    f"""WITH {_ENTRIES}, n AS (SELECT DISTINCT 'dummyMain_' || class AS method, CAST(step + 1 AS BIGINT) AS node FROM entries)
+    SELECT method, true AS sequential, CAST(0 AS BIGINT) AS src, MIN(node) AS dst FROM n GROUP BY method UNION ALL SELECT method, true, node, COALESCE(LEAD(node) OVER (PARTITION BY method ORDER BY node), -1) FROM n
+    UNION ALL SELECT method, false, 0, node FROM n UNION ALL SELECT method, false, node, 0 FROM n UNION ALL SELECT DISTINCT method, false, 0, -1 FROM n"""
+)
+def dummy_control_flow(spark, sf):
+    """Control flow of the synthetic methods: lifecycle methods in their order, and in any."""
+    entries = _entries(spark, sf)
+    flow = lambda sequential: frontend.dummy_flow(entries, sequential).withColumn("sequential", F.lit(sequential))
+    return flow(True).unionByName(flow(False))
+
+
+_RUNS = "CASE event_id % 4 WHEN 0 THEN '<java.lang.Thread: void start()>' WHEN 1 THEN '<android.os.Handler: boolean post(java.lang.Runnable)>' WHEN 2 THEN '<android.os.Handler: boolean sendMessage(android.os.Message)>' ELSE '<a.B: void other()>' END"
+_GIVEN = _CALL["class"].replace("event_id", "(event_id + 1)")
+_SUB = "CASE sub_sig WHEN 'm0' THEN 'void run()' WHEN 'm1' THEN 'void handleMessage(android.os.Message)' ELSE sub_sig END"
+
+
+@query(
+    f"""WITH RECURSIVE {_NAMED}, calls AS (SELECT event_id AS call, {_RUNS} AS callee, {_CALL["class"]} AS receiver, {_GIVEN} AS given FROM events WHERE event_type = 'purchase'),
+    patched AS (SELECT call, CASE event_id_kind WHEN 1 THEN given ELSE receiver END AS class, CASE event_id_kind WHEN 2 THEN 'void handleMessage(android.os.Message)' ELSE 'void run()' END AS sub_sig FROM (SELECT *, CASE callee WHEN '<java.lang.Thread: void start()>' THEN 0 WHEN '<android.os.Handler: boolean post(java.lang.Runnable)>' THEN 1 WHEN '<android.os.Handler: boolean sendMessage(android.os.Message)>' THEN 2 END AS event_id_kind FROM calls) x WHERE event_id_kind IS NOT NULL),
+    named AS (SELECT class, {_SUB} AS sub_sig, * EXCLUDE (class, sub_sig) FROM cm),
+    best AS (SELECT o.sub AS actual, m.sub_sig, arg_min(o.sup, o.depth) AS target FROM own o JOIN named m ON m.class = o.sup GROUP BY o.sub, m.sub_sig)
+    SELECT DISTINCT c.call, c.sub_sig, t.target FROM patched c JOIN own o ON o.sup = c.class JOIN best t ON t.actual = o.sub AND t.sub_sig = c.sub_sig"""
+)
+def patched_library_calls(spark, sf):
+    """What threads, handlers and timers run of the objects that they are given."""
+    calls = b.table(spark, sf, "events").where("event_type = 'purchase'").selectExpr("event_id AS call", f"{_RUNS} AS callee", f"array({_CALL['class']}, {_GIVEN}) AS classes")
+    return frontend.patched_calls(calls, class_methods(spark, sf).withColumn("sub_sig", F.expr(_SUB)), class_edges(spark, sf))
