@@ -78,3 +78,13 @@ def test_synthetic_methods_in_order_and_in_any(spark):
     assert flow(True) == [(0, 1), (1, 5), (5, -1)]
     assert flow(False) == [(0, -1), (0, 1), (0, 5), (1, 0), (5, 0)]
     assert frontend.dummy_flow(entries.limit(0)).isEmpty()
+
+
+def test_constraints_of_summaries(spark, tmp_path):
+    _file(
+        tmp_path, "a.List.xml",
+        '<summary><methods><method id="void add(int,E)"><constraints><index sourceSinkType="Parameter" ParameterIndex="0"/></constraints><flows/></method><method id="void add(E)"><constraints><index sourceSinkType="Implicit" ImplicitLocation="Next"/></constraints></method>'
+        '<method id="E get(K)"><constraints><key sourceSinkType="Parameter" ParameterIndex="1"/></constraints></method><method id="int size()"><flows/></method></methods></summary>',
+    )
+    rows = {(r["class"], r.method, r.kind, r.source_sink_type, r.param, r.implicit_location) for r in readers.summary_constraints(spark, str(tmp_path)).collect()}
+    assert rows == {("a.List", "void add(int,E)", "index", "Parameter", 0, None), ("a.List", "void add(E)", "index", "Implicit", None, "Next"), ("a.List", "E get(K)", "key", "Parameter", 1, None)}

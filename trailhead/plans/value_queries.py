@@ -200,6 +200,27 @@ def summary_documents(spark, sf):
     return read.select("class", "method", F.col("from.kind").alias("from_kind"), F.col("from.param").alias("from_param"), F.array_join("from.fields", ".").alias("from_fields"), F.col("to.kind").alias("to_kind"), F.col("to.gap").alias("gap"), "is_alias")
 
 
+@query(
+    """SELECT 'clear' AS kind, 'k' || CAST(o_custkey % 50 AS VARCHAR) AS class, 'm' || CAST(o_orderkey AS VARCHAR) AS name, 'Parameter' || CAST(o_orderkey % 3 AS VARCHAR) || '.f' AS what FROM orders WHERE o_orderkey % 5 < 2
+    UNION ALL SELECT 'flow', 'k' || CAST(o_custkey % 50 AS VARCHAR), 'm' || CAST(o_orderkey AS VARCHAR), 'Field.g' FROM orders WHERE o_orderkey % 5 IN (1, 2)
+    UNION ALL SELECT DISTINCT CASE WHEN o_orderkey % 4 = 0 THEN 'superclass' ELSE 'interface' END, 'k' || CAST(o_custkey % 50 AS VARCHAR), '', CASE WHEN o_orderkey % 4 = 0 THEN 'K' ELSE 'I' || CAST(o_orderkey % 4 AS VARCHAR) END FROM orders"""
+)
+def summary_clears_and_hierarchy(spark, sf):
+    """What library methods empty, their flows and the classes above theirs, written as XML and read back."""
+    orders = b.table(spark, sf, "orders").selectExpr("'k' || CAST(o_custkey % 50 AS STRING) AS class", "'m' || CAST(o_orderkey AS STRING) AS method", "o_orderkey AS k")
+    clears = orders.where("k % 5 < 2").selectExpr("class", "method", "named_struct('kind', 'Parameter', 'param', CAST(k % 3 AS INT), 'fields', array('f')) AS clear")
+    end = "named_struct('kind', '{}', 'param', CAST(NULL AS INT), 'fields', array('g')) AS {}"
+    flows = orders.where("k % 5 IN (1, 2)").selectExpr("class", "method", end.format("Field", "from"), end.format("Return", "to"), "false AS is_alias")
+    edges = orders.selectExpr("class AS sub", "CASE WHEN k % 4 = 0 THEN 'K' ELSE 'I' || CAST(k % 4 AS STRING) END AS sup", "k % 4 <> 0 AS is_interface").distinct()
+    path = _folder(spark, "clears")
+    writers.summary_xml(flows, path, clears, edges)
+    path, what = f"{path}/*", lambda c: F.concat(c["kind"], F.coalesce(c["param"].cast("string"), F.lit("")), F.lit("."), F.array_join(c["fields"], "."))
+    cleared = readers.summary_clears(spark, path).select(F.lit("clear").alias("kind"), "class", F.col("method").alias("name"), what(F.col("clear")).alias("what"))
+    flowing = readers.summary_flows(spark, path).select(F.lit("flow").alias("kind"), "class", F.col("method").alias("name"), what(F.col("from")).alias("what"))
+    above = readers.summary_hierarchy(spark, path).select(F.when(F.col("is_interface"), "interface").otherwise("superclass").alias("kind"), F.col("sub").alias("class"), F.lit("").alias("name"), F.col("sup").alias("what"))
+    return cleared.unionByName(flowing).unionByName(above)
+
+
 @query("WITH p AS (SELECT n_nationkey, n_regionkey % 3 AS prio FROM nation UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_nationkey % 4 = 0) SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS class, CAST(MIN(prio) AS INT) AS provider FROM p GROUP BY n_nationkey")
 def prioritised_summaries(spark, sf):
     """Each method's summary from the first provider that knows it."""

@@ -150,6 +150,17 @@ def summary_clears(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("class", "method", _endpoint(F.col("c")).alias("clear"))
 
 
+def summary_constraints(spark: SparkSession, path: str) -> DataFrame:
+    """(class, method, kind, source_sink_type, param, implicit_location): which argument or place names the index or key that a method's flows are bound to."""
+    place = "array<struct<_sourceSinkType: string, _ParameterIndex: int, _ImplicitLocation: string>>"
+    rows = spark.read.format("xml").option("rowTag", "method").schema(f"_id string, constraints struct<index: {place}, key: {place}>").load(path).select(_class_of_file().alias("class"), F.col("_id").alias("method"), "constraints")
+    each = None
+    for kind in ("index", "key"):
+        made = rows.select("class", "method", F.lit(kind).alias("kind"), F.explode(F.col("constraints")[kind]).alias("c"))
+        each = made if each is None else each.unionByName(made)
+    return each.select("class", "method", "kind", F.col("c._sourceSinkType").alias("source_sink_type"), F.col("c._ParameterIndex").alias("param"), F.col("c._ImplicitLocation").alias("implicit_location"))
+
+
 def summary_hierarchy(spark: SparkSession, path: str) -> DataFrame:
     """(sub, sup, is_interface)."""
     named = "struct<_name: string>"

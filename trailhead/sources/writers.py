@@ -82,17 +82,29 @@ def flow_xml(flows: DataFrame, path: str) -> None:
     rows.select(end("sink").alias("Sink"), F.struct(F.col("sources").alias("Source")).alias("Sources")).write.format("xml").option("rowTag", "Result").option("rootTag", "DataFlowResults").mode("overwrite").save(path)
 
 
-def summary_xml(flows: DataFrame, path: str) -> None:
-    """Summary flows (class, method, from, to, is_alias) as XML, a folder for each class."""
-    def end(c):
-        has = flows.schema[c].dataType.fieldNames()
+def summary_xml(flows: DataFrame, path: str, clears: DataFrame | None = None, edges: DataFrame | None = None) -> None:
+    """Summary flows (class, method, from, to, is_alias) as XML, a folder for each class.
+
+    clears (class, method, clear) are what methods empty, with or without flows; edges (sub, sup,
+    is_interface) become a document of the class's hierarchy, with the least of several superclasses.
+    """
+    def end(df, c):
+        has = df.schema[c].dataType.fieldNames()
         path_ = F.concat(F.lit("["), F.array_join(F.transform(F.col(c)["fields"], lambda x: F.concat(F.lit("x: y "), x)), ", "), F.lit("]"))
         more = [F.col(c)[name].alias(as_) for name, as_ in (("gap", "_gap"), ("base_type", "_BaseType"), ("match_strict", "_matchStrict")) if name in has]
         return F.struct(F.col(c)["kind"].alias("_sourceSinkType"), F.col(c)["param"].alias("_ParameterIndex"), path_.alias("_AccessPath"), *more)
 
-    flow = F.struct(F.col("is_alias").alias("_isAlias"), end("from").alias("from"), end("to").alias("to"))
-    rows = flows.groupBy("class", "method").agg(F.collect_list(flow).alias("flow"))
-    rows.select("class", F.col("method").alias("_id"), F.struct("flow").alias("flows")).write.partitionBy("class").format("xml").option("rowTag", "method").option("rootTag", "methods").mode("overwrite").save(path)
+    flow = F.struct(F.col("is_alias").alias("_isAlias"), end(flows, "from").alias("from"), end(flows, "to").alias("to"))
+    rows = flows.groupBy("class", "method").agg(F.struct(F.collect_list(flow).alias("flow")).alias("flows"))
+    if clears is not None:
+        rows = rows.join(clears.groupBy("class", "method").agg(F.struct(F.collect_list(end(clears, "clear")).alias("clear")).alias("clears")), ["class", "method"], "full")
+    rows = rows.withColumnRenamed("method", "_id")
+    rows.write.partitionBy("class").format("xml").option("rowTag", "method").option("rootTag", "methods").mode("overwrite").save(path)
+    if edges is not None:
+        above = F.min(F.when(~F.col("is_interface"), F.col("sup"))).alias("_superClass")
+        named = F.array_sort(F.collect_set(F.when(F.col("is_interface"), F.col("sup"))))
+        made = edges.groupBy(F.col("sub").alias("class")).agg(above, F.transform(named, lambda x: F.struct(x.alias("_name"))).alias("interface"))
+        made.write.partitionBy("class").format("xml").option("rowTag", "hierarchy").option("rootTag", "summary").mode("append").save(path)
 
 
 def same_results(a: DataFrame, b: DataFrame) -> bool:
