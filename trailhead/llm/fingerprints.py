@@ -77,9 +77,9 @@ class Signatures:
     """Sketches of banded MinHash signatures, for ``neardup``: a document is the set of its shingles."""
 
     @staticmethod
-    def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def sketches(laid: shingles.Laid) -> tuple[np.ndarray, np.ndarray]:
         """Band keys and one bit per coordinate of each text."""
-        hashes, _, sizes = shingles.counted(texts)
+        hashes, _, sizes = shingles.counted_of(laid)
         found = np.stack([np.zeros(N, np.uint32) if (made := signature(x)) is None else made for x in np.split(hashes, np.cumsum(sizes)[:-1])])
         bits = ((found * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
         return neardup.fold(found.astype(np.uint64), neardup.BANDS), np.packbits(bits, axis=1)

@@ -94,7 +94,9 @@ def darts_of(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: in
     n = len(sizes)
     best = np.zeros(n * k, np.uint64)
     filled = np.zeros(n * k, bool)
+    least = np.full(n * k, ~np.uint64(0))
     weights = weights.astype(np.float64)
+    whole = len(elements) > 0 and weights.min() >= 1  # all darts of the first weight region count
     owner = np.repeat(np.arange(n), sizes)
     highest = int(math.log2(weights.max() + 1 - 1e-12)) if len(elements) else -1
     level = 0
@@ -108,23 +110,25 @@ def darts_of(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: in
             if not len(mine):
                 break
             seed = shingles.mix(mine + np.uint64((level * 64 + band + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            count = np.searchsorted(_cdf(k * width * 2.0**band), _unit(seed), "right")
-            hit = np.flatnonzero(count)
-            many = count[hit]
+            cdf = _cdf(k * width * 2.0**band)
+            hit = np.flatnonzero(seed >= np.uint64(math.ceil(cdf[0] * 2.0**53) << 11))  # those with darts at all
+            many = np.searchsorted(cdf, _unit(seed[hit]), "right")
             at = np.repeat(hit, many)
             index = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
             dart = shingles.mix(seed[at] ^ (index.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-            slot = whose[at] * k + (dart % np.uint64(k)).astype(np.int64)
-            open_ = ~filled[slot]  # ranks of earlier regions are lower
-            if highest:  # darts above the element's weight are dropped
-                open_ &= low + 2.0**band * _unit(shingles.mix(dart + np.uint64(1))) < top[at]
+            slot = whose[at] * k + (dart & np.uint64(k - 1) if k & k - 1 == 0 else dart % np.uint64(k)).astype(np.int64)
+            open_ = np.flatnonzero(~filled[slot])  # ranks of earlier regions are lower
             dart, slot = dart[open_], slot[open_]
+            if highest and (band or not whole):  # darts above the element's weight are dropped
+                below = low + 2.0**band * _unit(shingles.mix(dart + np.uint64(1))) < top[at[open_]]
+                dart, slot = dart[below], slot[below]
             found_s.append(slot)
             found_d.append(dart)
             found_r.append(shingles.mix(dart + np.uint64(2)))  # the place within the region
         slot, rank, dart = map(np.concatenate, (found_s, found_r, found_d))
-        order = np.argsort(~rank)  # of the darts of a coordinate the one of least rank is written last
-        best[slot[order]] = dart[order]
+        np.minimum.at(least, slot, rank)
+        kept = rank == least[slot]  # of the darts of a coordinate the one of least rank
+        best[slot[kept]] = dart[kept]
         filled[slot] = True
         level += 1
         left = ~filled.reshape(n, k).all(1) & (sizes > 0)
@@ -145,9 +149,9 @@ class Darts:
     """Sketches of the near-dedup operator: shingles are weighted by how often they occur."""
 
     @staticmethod
-    def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def sketches(laid: shingles.Laid) -> tuple[np.ndarray, np.ndarray]:
         """Band keys and one bit per coordinate of each text."""
-        found = darts_of(*shingles.counted(texts))
+        found = darts_of(*shingles.counted_of(laid))
         return fold(found, BANDS), np.packbits((shingles.mix(found + np.uint64(3)) >> np.uint64(63)).astype(np.uint8), axis=1)
 
     @staticmethod
@@ -162,8 +166,8 @@ class Darts:
 def _sketched(docs: DataFrame, sketch, measure: Callable | None = None, carry: str | None = None) -> DataFrame:
     """A row for each document: the key of its text, its band keys and its bits as two longs.
 
-    measure makes, once for each task, a function from texts to numbers, the column measure;
-    carry is a column of docs that comes along as a string.
+    measure makes, once for each task, a function from laid-out texts to a number for each, the
+    column measure; carry is a column of docs that comes along as a string.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("measure", pa.int64()), ("carry", pa.string())])
 
@@ -173,9 +177,10 @@ def _sketched(docs: DataFrame, sketch, measure: Callable | None = None, carry: s
             if not batch.num_rows:
                 continue
             texts = batch.column(1).to_pylist()
-            keys, bits = sketch.sketches(texts)
+            found = [(*sketch.sketches(laid), of(laid) if of else np.zeros(0, np.int64)) for laid in shingles.laid_out(texts)]
+            keys, bits, measured = map(np.concatenate, zip(*found, strict=True))
             made = [hashlib.md5(t.encode("utf-8", "replace"), usedforsecurity=False).digest() for t in texts]
-            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": base.lists_of(keys.view(np.int64).ravel(), BANDS, len(texts)), "bits": base.lists_of(bits.view(np.int64).ravel(), 2, len(texts)), "measure": of(texts) if of else [None] * len(texts), "carry": batch.column(2)}, schema)
+            yield base.batch_of({"doc_id": batch.column(0), "text_key": made, "keys": base.lists_of(keys.view(np.int64).ravel(), BANDS, len(texts)), "bits": base.lists_of(bits.view(np.int64).ravel(), 2, len(texts)), "measure": measured if of else [None] * len(texts), "carry": batch.column(2)}, schema)
 
     extra = (F.lit(None) if carry is None else F.col(carry)).cast("string").alias("carry")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_or_empty().alias("text"), extra)
@@ -194,17 +199,17 @@ def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, several: DataFrame | None, sketch) -> DataFrame:
-    """Verification sets of the nodes in ids (id, and the hash of its text_key), as sorted 32-bit hashes.
+    """Verification sets of the nodes in ids (id, and the hash of its text_key), as the bytes of sorted 32-bit hashes.
 
     A node has a doc_id or the id of its text, which is looked up among rows without doc_id
     and those of several, the doc_ids that more than one text has.
     """
-    schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                yield base.batch_of({"id": batch.column(0), "items": sketch.sets(batch.column(1).to_pylist())}, schema)
+                yield base.batch_of({"id": batch.column(0), "items": [x.tobytes() for x in sketch.sets(batch.column(1).to_pylist())]}, schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), base.text_or_empty().alias("text"))
     others = rows.where("id IS NULL")
@@ -212,17 +217,31 @@ def _sets(docs: DataFrame, ids: DataFrame, several: DataFrame | None, sketch) ->
         others = others.unionByName(rows.join(several.select(F.col("doc_id").alias("id")), "id", "left_semi"))
     others = others.select(_own_id(F.unhex(F.md5("text"))).alias("id"), "text").dropDuplicates(["id"]).join(ids.select("id"), "id", "left_semi")
     named = _marked(rows, ids).join(ids, "id").where(F.xxhash64(F.unhex(F.md5("text"))) == F.col("of")).select("id", "text").dropDuplicates(["id"])
-    return base.arrow_map(named.unionByName(others), run, "id long, items array<int>")
+    return base.arrow_map(named.unionByName(others), run, "id long, items binary")
+
+
+def _similar(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
+    """Whether the sets in the same place of two columns of sets are similar enough."""
+    sizes, marked = [], []
+    for column in (x, y):
+        items = [np.frombuffer(b, np.uint32) for b in column.to_pylist()]
+        sizes.append(np.fromiter(map(len, items), np.int64, len(items)))
+        marked.append(np.repeat(np.arange(len(items), dtype=np.uint64) << np.uint64(32), sizes[-1]) | np.concatenate([np.zeros(0, np.uint32), *items]))
+    row = np.sort(np.concatenate(marked))  # an item of both sets is there twice
+    both = np.bincount((row[1:][row[1:] == row[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(sizes[0]))
+    return both >= np.ceil(threshold * (sizes[0] + sizes[1] - both) - 1e-9)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - both
-    enough = both >= F.ceil(F.lit(threshold) * either - 1e-9)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b").distinct()
+
+    def run(batches):
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array(_similar(batch.column("x"), batch.column("y"), threshold)))
+
+    return base.arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -268,7 +287,7 @@ def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, total: int,
     that of the least band.
     """
     rows = members.join(nodes.select("id", "keys", "bits"), "id").join(sets, "id")
-    sizes = members.join(sets.select("id", F.size("items").alias("size")), "id")
+    sizes = members.join(sets.select("id", (F.length("items") / 4).cast("long").alias("size")), "id")
     share = sizes.groupBy("key").agg(F.ceil(F.sum(F.col("size") + 1) / BLOCK_ITEMS).cast("int").alias("blocks"), F.count("*").alias("n"))
     dealt = base.spread_join(rows, share, "key", "id", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -280,8 +299,9 @@ def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, total: int,
         ids, classes_, block = (table.column(n).to_numpy() for n in ("id", "c", "block"))
         bits, keys = (np.stack(table.column(n).to_numpy()).astype(np.int64) for n in ("bits", "keys"))
         earlier = keys[:, : int(np.argmax(keys[0] == table.column("key")[0].as_py()))]
-        sizes = np.fromiter(map(len, table.column("items").to_pylist()), np.int64, len(ids))
-        flat = table.column("items").combine_chunks().flatten().to_numpy()
+        items = table.column("items").to_pylist()
+        sizes = np.fromiter(map(len, items), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(items), np.uint32)
         words, local = np.unique(flat, return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         across = table.column("x")[0].as_py() != table.column("y")[0].as_py()

@@ -23,7 +23,9 @@ Repeated rows are packed each. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhead.llm import base, neardup
+from trailhead.llm import base, neardup, shingles
 
 LENGTH = 4096
 #: Tokens of a block of documents that are packed together, and documents where bitmaps are kept.
@@ -99,6 +101,119 @@ def tokenizer(ranks: dict[bytes, int], pattern: str):
     return made.encode_ordinary
 
 
+#: A pattern whose matches never go on from a character to white space, so that tokens can be counted word by word.
+BY_WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space of the pattern beyond ASCII, in UTF-8, and beginnings by which a group without any is told.
+_WIDE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_BEGINS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_BLANK, _END = 0x20, 0x0A
+
+
+class Counts:
+    """Numbers of tokens of laid-out texts, for which each different word is encoded about once.
+
+    A word is a run of characters other than ASCII white space. Of the white space before it
+    all but the last character are one match of BY_WORD; the last is a match of its own, or, if
+    it is a blank, belongs to the word's first match. So a word's tokens follow from the word
+    and from whether a blank is before it. Numbers are kept by a 64-bit hash of both in a table
+    of fixed size, where a later word takes the slot of an earlier one: the hash's first bits
+    are the slot, the others are kept above the number, which is never 0. A word is taken for
+    another with a chance of 5.4e-20. Words of more than LONGEST bytes are encoded each
+    time, as are whole texts with other white space at an end of a word.
+    """
+
+    SLOTS, LONGEST = 22, 256
+    _SALT = np.uint64(0xA0761D6478BD642F)
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.encode, self.by_word = tokenizer(ranks, pattern), pattern == BY_WORD
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes[list(ranks.values())] = [len(token) for token in ranks]
+        self.rest, self.number = np.uint64(self.SLOTS), np.uint64((1 << self.SLOTS) - 1)  # a shift, a mask
+        self.table = np.zeros(1 << self.SLOTS, np.uint64)
+        self.gaps: dict[bytes, int] = {}
+
+    def __call__(self, laid: shingles.Laid) -> np.ndarray:
+        """The number of tokens of each text."""
+        if not self.by_word:
+            return np.array([self._whole(laid, i) for i in range(len(laid.begins))], np.int64)
+        data, starts, ends, owner = laid.data, laid.starts, laid.ends, laid.owner
+        n, first = len(laid.begins), np.ones(len(starts), bool)
+        first[1:] = owner[1:] != owner[:-1]
+        before = np.concatenate([[0], ends[:-1]])[: len(starts)]  # where the white space before a word begins
+        before[first] = laid.begins[owner[first]]
+        gap = starts - before
+        blank = (gap > 0) & (np.frombuffer(data, np.uint8)[starts - 1] == _BLANK)
+        found = np.bincount(owner, self._of_words(laid, blank) + ((gap > 0) & ~blank), n).astype(np.int64)
+        for i in np.flatnonzero(gap > 1).tolist():
+            found[owner[i]] += self._of_gap(data[before[i] : starts[i] - 1])
+        last = laid.begins.copy()
+        last[owner] = ends  # of a text's words the last one's
+        stop = laid.begins + laid.lengths
+        for i in np.flatnonzero(last < stop).tolist():
+            found[i] += self._of_gap(data[last[i] : stop[i]])
+        for i in self._odd(laid):
+            found[i] = self._whole(laid, i)
+        return found
+
+    def _whole(self, laid: shingles.Laid, i: int) -> int:
+        return len(self.encode(laid.data[laid.begins[i] : laid.begins[i] + laid.lengths[i]].decode()))
+
+    def _of_gap(self, gap: bytes) -> int:
+        if gap not in self.gaps:
+            if len(self.gaps) == 1 << 12:
+                self.gaps.clear()
+            self.gaps[gap] = len(self.encode(gap.decode()))
+        return self.gaps[gap]
+
+    def _odd(self, laid: shingles.Laid) -> list[int]:
+        """Texts with white space beyond ASCII at an end of a word."""
+        data = laid.data
+        if not any(x[:1] in data and x in data for x in _WIDE_BEGINS):
+            return []
+        edges = [m.start() for m in _WIDE.finditer(data) if not data[max(m.start() - 1, 0) : m.start()].strip() or not data[m.end() : m.end() + 1].strip()]
+        return np.unique(np.searchsorted(laid.begins, edges, "right") - 1).tolist()
+
+    def _of_words(self, laid: shingles.Laid, blank: np.ndarray) -> np.ndarray:
+        """The number of tokens of each word, with the blank before it."""
+        keys = laid.hashes ^ np.where(blank, self._SALT, np.uint64(0))
+        slots = (keys >> np.uint64(64 - self.SLOTS)).view(np.int64)
+        kept = self.table[slots] ^ (keys << self.rest)
+        found = (kept & self.number).view(np.int64)
+        missing = np.flatnonzero(kept - np.uint64(1) >= self.number)  # another word's, or none
+        long = laid.ends[missing] - laid.starts[missing] > self.LONGEST
+        for i in missing[long].tolist():
+            found[i] = len(self.encode((" " if blank[i] else "") + laid.data[laid.starts[i] : laid.ends[i]].decode()))
+        missing = missing[~long]
+        if not len(missing):
+            return found
+        new, at, of = np.unique(keys[missing], return_index=True, return_inverse=True)
+        at = missing[at]
+        # all in a row, a blank or a line's end before each: where tokens end says whose they are
+        sizes = laid.ends[at] - laid.starts[at] + 1
+        stops = np.cumsum(sizes)
+        row = np.frombuffer(laid.data, np.uint8)[np.arange(stops[-1]) + np.repeat(laid.starts[at] - 1 - (stops - sizes), sizes)]
+        row[stops - sizes] = np.where(blank[at], _BLANK, _END)
+        tokens = np.cumsum(self.bytes[self.encode(row.tobytes().decode())])
+        number = np.maximum(np.diff(np.searchsorted(tokens, stops, "right"), prepend=0) - ~blank[at], 0)  # less than 1 only in odd texts
+        found[missing] = number[of]
+        slots = slots[at]
+        stays = np.append(slots[1:] != slots[:-1], True)
+        self.table[slots[stays]] = (new << self.rest | number.astype(np.uint64))[stays]
+        return found
+
+
+#: The counts that this worker keeps from task to task, by vocabulary.
+_counts: dict[str, Counts] = {}
+
+
+def _counts_of(name: str, sent) -> Counts:
+    if name not in _counts:
+        _counts.clear()
+        _counts[name] = Counts(*sent.value)
+    return _counts[name]
+
+
 def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, size: int = LENGTH) -> DataFrame:
     """Packed sequences of ids, each document closed by end_id.
 
@@ -393,14 +508,11 @@ def pack_classes_apart(docs: DataFrame, ranks: dict[bytes, int], pattern: str, s
     """
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pattern))
 
-    def measure():
-        encode = tokenizer(*sent.value)
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
 
-        def lengths(texts):
-            each = {t: len(encode(t)) + 1 for t in set(texts)}
-            return [each[t] for t in texts]
-
-        return lengths
+    def measure():
+        counts = _counts_of(name, sent)
+        return lambda laid: counts(laid) + 1
 
     rows = neardup.measured_classes(docs, measure, source if source in docs.columns else None)
     rows = rows.select("doc_id", "at", F.col("measure").alias("length"), F.col("carry").alias("source"), F.col("class_id").alias("cluster"))

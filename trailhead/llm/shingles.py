@@ -7,6 +7,9 @@ no shingle.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
 import numpy as np
 
 WORDS = 5
@@ -23,11 +26,13 @@ _inverse = {f: np.ones(1, np.uint64) for f in FACTORS}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    made = x >> np.uint64(30)
+    made ^= x
+    made *= np.uint64(0xBF58476D1CE4E5B9)
+    made ^= made >> np.uint64(27)
+    made *= np.uint64(0x94D049BB133111EB)
+    made ^= made >> np.uint64(31)
+    return made
 
 
 def _grow(size: int, factor: int) -> None:
@@ -47,8 +52,11 @@ def _of_piece(raw: np.ndarray, factor: int) -> tuple[np.ndarray, np.ndarray, np.
     if not len(starts):
         return starts, ends, np.zeros(0, np.uint64)
     _grow(raw.size + 1, factor)
+    terms = raw.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= _powers[factor][: raw.size]
     sums = np.zeros(raw.size + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers[factor][: raw.size], out=sums[1:])
+    np.cumsum(terms, out=sums[1:])
     return starts, ends, mix((sums[ends] - sums[starts]) * _inverse[factor][starts])
 
 
@@ -89,31 +97,55 @@ def shingles(text: str, length: int = WORDS) -> np.ndarray:
     return np.unique(runs(hashes, min(length, len(hashes)) or 1))
 
 
-def counted(texts: list[str], length: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of all texts: their hashes, how often each occurs in its text, and the number of distinct ones of each text.
+class Laid(NamedTuple):
+    """Texts laid out in a row, a blank between them, and the words of all of them."""
 
-    The texts are laid out in a row and hashed at once, in groups of about a piece. Of a hash
-    the first 44 bits are kept, the others are 0.
-    """
-    found, at = [], 0
+    data: bytes
+    begins: np.ndarray  # of each text
+    lengths: np.ndarray  # of each text, in bytes
+    starts: np.ndarray  # of each word
+    ends: np.ndarray
+    hashes: np.ndarray
+    owner: np.ndarray  # the number of its text
+
+
+def laid_out(texts: list[str]) -> Iterator[Laid]:
+    """The texts in groups of about a piece, laid out."""
+    at = 0
     datas = [t.encode("utf-8", "replace") for t in texts]
     while at < len(datas):
         end, size = at, 0
         while end < len(datas) and (end == at or size + len(datas[end]) < _PIECE):
             size += len(datas[end]) + 1
             end += 1
-        found.append(_counted(datas[at:end], length))
+        lengths = np.fromiter(map(len, datas[at:end]), np.int64, end - at)
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        data = b" ".join(datas[at:end])
+        starts, ends, hashes = words(data)
+        yield Laid(data, begins, lengths, starts, ends, hashes, np.searchsorted(begins, starts, "right") - 1)
         at = end
+
+
+def counted(texts: list[str], length: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of all texts: their hashes, how often each occurs in its text, and the number of distinct ones of each text.
+
+    The texts are hashed in groups of about a piece. Of a hash the first 44 bits are kept, the
+    others are 0.
+    """
+    return joined(counted_of(laid, length) for laid in laid_out(texts))
+
+
+def joined(found: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``counted_of`` gives for several groups, as for one."""
+    found = list(found)
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
-def _counted(datas: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(datas)
-    begins = np.cumsum([0, *(len(d) + 1 for d in datas[:-1])])
-    starts, _, hashes = words(b" ".join(datas))
-    text = np.searchsorted(begins, starts, "right") - 1
+def counted_of(laid: Laid, length: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``counted`` of the texts of one group."""
+    n, hashes, text = len(laid.begins), laid.hashes, laid.owner
     count = np.bincount(text, minlength=n)
     grams = runs(hashes, length)
     inside = text[: len(grams)] == text[length - 1 :] if len(grams) else np.zeros(0, bool)
