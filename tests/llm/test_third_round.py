@@ -325,6 +325,68 @@ def test_texts_of_one_document_are_one_class(spark):
         assert sorted(map(tuple, neardup.one_of_each(docs).collect())) == [(3, same), (11, lone)]
 
 
+def brute_components(links):
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {x: find(x) for x in parent}
+
+
+def test_components_of_any_links_in_any_deal(spark, monkeypatch):
+    from trailhead.llm import neardup
+
+    rng = random.Random(14)
+    order = rng.sample(range(-500, 500), 600)
+    chain = list(zip(order, order[1:300], strict=False))  # 300 nodes in a row, in no order of ids
+    hub = [(order[300], x) for x in order[301:500]]
+    loose = [tuple(rng.sample(order[500:], 2)) for _ in range(60)]
+    links = [*chain, *hub, *loose, *loose[:5]]
+    rng.shuffle(links)
+    wanted = brute_components(links)
+    u, v = neardup.rooted(*np.array([(max(x), min(x)) for x in links]).T)
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == {x: r for x, r in wanted.items() if x != r}
+    assert [len(x) for x in neardup.rooted(np.zeros(0, np.int64), np.zeros(0, np.int64))] == [0, 0]
+    for piece, parts in ((1 << 20, 1), (1 << 20, 7), (5, 3)):
+        monkeypatch.setattr(neardup, "PIECE", piece)
+        found = neardup.components(spark.createDataFrame([*links, (9999, 9999)], "a long, b long").repartition(parts)).collect()
+        assert len(found) == len(wanted) and dict(map(tuple, found)) == wanted
+
+
+def test_many_partitions_take_few_tasks(spark):
+    from trailhead.llm import neardup
+
+    rng = random.Random(15)
+    words = fixtures.prose(rng, 150).split()
+    rows = [(i, " ".join([f"new{i}x{w}" if rng.random() < 0.02 else w for w in words])) for i in range(60)]
+    rows += [(100 + i, fixtures.prose(rng, 40)) for i in range(20)] + [(200 + i, rows[0][1]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)], "a long, b long")
+    sc, parts, took = spark.sparkContext, 20, {}
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": str(parts)}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        for name, run in (("components", lambda: neardup.components(links)), ("classes", lambda: neardup.classes(docs))):
+            sc.setJobGroup(name, "tasks are counted")
+            run().collect()
+            tracker = sc.statusTracker()
+            stages = {stage for job in tracker.getJobIdsForGroup(name) for stage in tracker.getJobInfo(job).stageIds}
+            took[name] = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert took["components"] < 15 * parts and took["classes"] < 50 * parts, took
+
+
 def test_pieces_of_one_cluster_are_packed_in_linear_time(spark):
     import time
 

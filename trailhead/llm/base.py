@@ -53,20 +53,24 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, total: int, least: int = SHARE, how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, by: str, total: int, least: int = SHARE, how: str = "inner", held: str | None = None) -> DataFrame:
     """big joined with small, which has one row a key with n, the number of rows of big that have it.
 
     A key of very many rows is dealt over tasks by the column by. Of total rows in big no more
     than 65,536 keys can have more than a share of total / 65,536, so the list of these is
-    small at any size and is broadcast; the other keys are joined as usual.
+    small at any size and is broadcast; the other keys are joined as usual. Where big has n itself
+    in its column held, nothing is broadcast.
     """
     share = max(least, total >> 16)
     if total <= share:
         return big.join(small.drop("n"), key, how)
     salt, parts = fresh(big, "salt"), fresh(big, "parts")
     many = F.greatest(F.ceil(F.col("n") / share), F.lit(1)).cast("int")
-    full = small.where(F.col("n") > share).select(key, many.alias(parts))
-    tagged = big.join(F.broadcast(full), key, "left").withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    if held:
+        tagged = big.withColumn(parts, F.greatest(F.ceil(F.col(held) / share), F.lit(1)).cast("int"))
+    else:
+        tagged = big.join(F.broadcast(small.where(F.col("n") > share).select(key, many.alias(parts))), key, "left")
+    tagged = tagged.withColumn(salt, F.pmod(F.xxhash64(by), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
     dealt = small.withColumn(salt, F.explode(F.sequence(F.lit(0), many - 1))).drop("n")
     return tagged.join(dealt, [key, salt], how).drop(salt)
 

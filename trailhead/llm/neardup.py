@@ -52,8 +52,8 @@ THRESHOLD = 0.8
 _SLACK = 6.0
 #: Up to so many members a bucket's pairs are joined; fuller ones are compared within tasks.
 FEW = 24
-#: Links of one node that a task may get before they are dealt over several.
-HUB = 1 << 16
+#: Links that a task joins at once, at least.
+PIECE = 1 << 20
 #: Hashes by which texts are sorted out before they are shuffled.
 MARKS = 1 << 19
 #: Shingles of a block of documents that one task compares with another block.
@@ -233,7 +233,7 @@ def _similar(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough."""
+    """Those pairs (a, b) whose sets are similar enough; pairs are distinct."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
 
@@ -241,36 +241,74 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             yield batch.select(["a", "b"]).filter(pa.array(_similar(batch.column("x"), batch.column("y"), threshold)))
 
-    return base.arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long").distinct()
+    return base.arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, class_id) of every node of links (a, b); the class is named by its least id.
+def rooted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between u and v, each node that isn't the least of its component, and that least one."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    root, before = np.arange(len(nodes)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        np.minimum.at(root, before[x], before[y])
+        np.minimum.at(root, before[y], before[x])
+        while (root[root] != root).any():
+            root = root[root]
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
 
-    Large-star and small-star steps alternate until no edge changes (Kiveris et al.,
-    2014). The least neighbour comes from an aggregation, which combines before it
-    shuffles, and a node with very many links is dealt over tasks when it is joined back.
+def _forest(links: DataFrame) -> DataFrame:
+    """Links (u, v) to lesser nodes, replaced by fewer and longer ones; own marks one of each u, the others are between the v that a u had.
+
+    Each task first joins the links that it has read, which leaves one for each u, so that no u
+    has more of them than there are such tasks, or pieces of PIECE links; then they are grouped by u.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    seen, total = None, edges.count()
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        held, n = [pa.RecordBatch.from_pylist([], schema)], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= PIECE:
+                yield joined(held)
+                held, n = held[:1], 0
+        yield joined(held)
+
+    def joined(held):
+        u, v = (np.concatenate([batch.column(i).to_numpy() for batch in held]) for i in (0, 1))
+        return base.batch_of(dict(zip("uv", rooted(u, v), strict=True)), schema)
+
+    lesser = base.arrow_map(links, run, "u long, v long").groupBy("u").agg(F.min("v").alias("least"), F.collect_set("v").alias("all"))
+    own = F.col("x") == F.col("v")
+    made = lesser.select("u", F.col("least").alias("v"), F.explode("all").alias("x")).select(F.when(own, F.col("u")).otherwise(F.col("x")).alias("u"), "v", own.alias("own"))
+    return base.materialise(made, "forest")
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """(id, class_id) of each node of links (a, b), a < b, but the least of its class, which names the class.
+
+    Links are joined (``_forest``), and each (u, v) to a node that has a lesser one in turn moves on
+    to that, until nothing is left to move (compare the small-star and large-star steps of Kiveris et
+    al., 2014). The join is between two plain tables, so Spark splits a v of very many links.
+    """
+    edges = _forest(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = base.spread_join(both, least, "u", "v", 2 * total, HUB).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = base.spread_join(large, least, "u", "v", 2 * total, HUB)
-        edges = (
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct().checkpoint()
-        )
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        total = state[0]
-        if state == seen:
-            break
-        seen = state
-    found = edges.groupBy("u").agg(F.min("v").alias("class_id")).withColumnRenamed("u", "id")
-    return found.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("class_id")).distinct())
+        onward = edges.where("own").select(F.col("u").alias("v"), F.col("v").alias("w"))
+        moved = edges.join(onward, "v", "left")
+        if moved.where("w IS NOT NULL OR NOT own").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("class_id"))
+        longer = _forest(moved.select("u", F.coalesce("w", "v").alias("v")))
+        base.release(edges)
+        edges = longer
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, class_id) of every node of links (a, b); the class is named by its least id."""
+    found = _stars(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return found.unionByName(found.select(F.col("class_id").alias("id"), "class_id").distinct())
 
 
 def most_bits(threshold: float) -> int:
@@ -280,16 +318,16 @@ def most_bits(threshold: float) -> int:
 
 
 def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, total: int, threshold: float) -> DataFrame:
-    """Links (a, b) between different classes among members (id, key, c) of full buckets.
+    """Links (a, b) between different classes among members (id, key, m, c, bits) of full buckets; m is the number of members.
 
     A bucket is dealt into blocks of about BLOCK_ITEMS shingles, each pair of blocks is one
     task's work, and only links leave it. Of the buckets that a pair shares it is compared in
     that of the least band.
     """
-    rows = members.join(nodes.select("id", "keys", "bits"), "id").join(sets, "id")
-    sizes = members.join(sets.select("id", (F.length("items") / 4).cast("long").alias("size")), "id")
+    rows = members.join(nodes.select("id", "keys"), "id").join(sets, "id")
+    sizes = members.select("id", "key").join(sets.select("id", (F.length("items") / 4).cast("long").alias("size")), "id")
     share = sizes.groupBy("key").agg(F.ceil(F.sum(F.col("size") + 1) / BLOCK_ITEMS).cast("int").alias("blocks"), F.count("*").alias("n"))
-    dealt = base.spread_join(rows, share, "key", "id", total).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = base.spread_join(rows, share, "key", "id", total, held="m").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     most = most_bits(threshold)
@@ -329,7 +367,7 @@ def _compared(members: DataFrame, nodes: DataFrame, sets: DataFrame, total: int,
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=schema)
 
-    return dealt.select("key", "x", "y", "id", "c", "bits", "keys", "block", "items").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long").where("a <> b").distinct()
+    return dealt.select("key", "x", "y", "id", "c", "bits", "keys", "block", "items").groupBy("key", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None = None, carry: str | None = None) -> tuple[DataFrame, DataFrame, int]:
@@ -354,31 +392,33 @@ def _classed(docs: DataFrame, sketch, threshold: float, measure: Callable | None
         given = base.materialise(of_row.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "given")
     rows, total = nodes.select("id", F.explode("keys").alias("key")), n_rows * BANDS
     full = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = base.materialise(base.spread_join(rows, full.withColumn("n", F.col("m")), "key", "id", total), "buckets")
-
-    weight = shared.groupBy("id").agg(F.sum("m").alias("w"))
-    central = shared.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("centre"), F.count("*").alias("n"))
-    spokes = base.spread_join(shared, central, "key", "id", total).where("id <> centre")
-    spokes = base.materialise(spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "spokes")
-    wanted = nodes.select("id", of.alias("of")).join(shared.select("id").distinct(), "id", "left_semi")
-    sets = base.materialise(_sets(docs, wanted, several, sketch), "sets")
+    shared = base.spread_join(rows, full.withColumn("n", F.col("m")), "key", "id", total)
+    # a row for each node that shares a bucket: its buckets, how full they are, and what else is asked about it
+    shared = shared.groupBy("id").agg(F.sum("m").alias("w"), F.collect_list(F.struct("key", "m")).alias("buckets"))
+    shared = base.materialise(shared.join(nodes.select("id", of.alias("of"), "bits"), "id"), "buckets")
+
+    members = shared.select("id", "w", F.inline("buckets"))
+    central = members.groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("centre"), F.count("*").alias("n"))
+    spokes = base.spread_join(members, central, "key", "id", total, held="m").where("id <> centre")
+    spokes = spokes.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+    sets = base.materialise(_sets(docs, shared.select("id", "of"), several, sketch), "sets")
     links = base.materialise(_verified(spokes, sets, threshold), "links")
     if several is not None:
         links = links.unionByName(given).distinct()
-    first = components(links)
+    first = _stars(links)
 
-    placed = shared.join(first, "id", "left").select("id", "key", F.coalesce("class_id", "id").alias("c"))
-    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("m")).where("low < high").select("key", "m", F.col("m").alias("n"))
-    rest = base.materialise(base.spread_join(placed, open_, "key", "id", total), "rest")
-    few = rest.where(F.col("m") <= FEW).join(nodes.select("id", "bits"), "id")
+    placed = shared.join(first, "id", "left").select("id", "bits", F.coalesce("class_id", "id").alias("c"), F.inline("buckets"))
+    open_ = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
+    rest = base.materialise(base.spread_join(placed, open_, "key", "id", total, held="m"), "rest")
+    few = rest.where(F.col("m") <= FEW)
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND x.c <> y.c AND bit_count(x.bits[0] ^ y.bits[0]) + bit_count(x.bits[1] ^ y.bits[1]) <= {most_bits(threshold)}"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(spokes, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     links = links.unionByName(base.materialise(_verified(pairs, sets, threshold), "links"))
-    many = rest.where(F.col("m") > FEW).select("id", "key", "c")
+    many = rest.where(F.col("m") > FEW)
     if not many.isEmpty():
         links = links.unionByName(base.materialise(_compared(many, nodes, sets, total, threshold), "links"))
-    base.release(shared, spokes, sets, rest)
-    found = components(links)
+    base.release(shared, sets, rest, first)
+    found = _stars(links)
 
     ends = links.distinct().select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_edges"))
     named = (
