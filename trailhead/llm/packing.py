@@ -260,7 +260,7 @@ def pack(docs: DataFrame, ranks: dict[bytes, int], pattern: str, end_id: int, si
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 block.append((doc, np.array([*encode(text), end_id], np.uint16)))
                 held += len(block[-1][1])
-                if held >= BLOCK_TOKENS:
+                if held >= BLOCK_TOKENS or len(block) == BLOCK_ROWS:
                     yield from packed(block)
                     block, held = [], 0
         if block:
@@ -282,6 +282,12 @@ def matrices(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, positions, np.array(ends, np.int64)
 
 
+#: A matrix is a row of 2 MB, so a page is closed after each and a row group after eight, not at the first check of Parquet's writer after 100
+#: rows: what a task's writer holds, and a reader of whole row groups, doesn't grow with the task.
+_FEW_ROWS = {
+    "parquet.block.row.count.limit": "8", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+    "parquet.enable.dictionary#ids": "false", "parquet.enable.dictionary#positions": "false",
+}
 _MATRIX = "matrix_id long, n_rows int, size int, ids binary, positions binary, cu_seqlens array<int>, rows array<int>, doc_ids array<long>, doc_starts array<long>, pack_ids array<long>"
 
 
@@ -314,7 +320,7 @@ def write_matrices(packed: DataFrame, size: int = LENGTH, rows: int = MATRIX_ROW
                 made += 1
 
     rows_ = packed.select("pack_id", "doc_ids", "doc_starts", "cu_seqlens", "ids", "positions")
-    return base.materialise(base.arrow_map(rows_, run, _MATRIX), "matrices", compression="zstd")
+    return base.materialise(base.arrow_map(rows_, run, _MATRIX), "matrices", compression="zstd", **_FEW_ROWS)
 
 
 def read_matrices(stored: DataFrame) -> DataFrame:
