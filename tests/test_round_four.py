@@ -3,6 +3,9 @@
 import duckdb
 
 import trailhead.plans.catalog as catalog
+from tests.test_taint import st
+from trailhead.operators import taint
+from trailhead.operators import tabulation as t
 
 EVENTS = "CREATE TABLE events(event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)"
 
@@ -30,3 +33,15 @@ def test_a_put_under_an_unknown_key_is_as_in_the_sql(spark, tmp_path):
     source, put, clean, unknown, get, sink = ("signup", 0), ("purchase", 0), ("signup", 3), ("purchase", 7), ("signup", 8), ("signup", 5)
     events = [EVENTS, *body(1, source, put, clean, get, sink), *body(2, source, put, clean, unknown, get, sink)]
     assert against_sql(spark, tmp_path, "taint_maps_in_loops", events=events) == [(100, 5, 1)]
+
+
+def test_what_comes_back_alike_has_one_entry_for_all_sources(spark):
+    """Five sources of a callee hold under one name at its end, so its caller is walked once and not five times."""
+    rows = [("leaf", *st(n, "source", "x")) for n in range(1, 6)] + [("leaf", *st(6, "return", rhs="x")), ("main", *st(11, "call", "y", callee="leaf")), ("main", *st(12, "sink", args=["y"]))]
+    rows = spark.createDataFrame(rows, taint.STATEMENT)
+    flow = spark.createDataFrame([("leaf", n, 6) for n in range(1, 6)] + [("main", 11, 12)], "method string, src long, dst long")
+    prog = t.compiled(rows, flow, spark.createDataFrame([("leaf", [])], "method string, names array<string>"))
+    solution = t.tabulated(prog, t.seeds(rows.where("kind = 'source'").selectExpr("method", "stmt", "lhs AS base")), unbalanced=True)
+    found = t.reached(solution, rows.where("kind = 'sink'").selectExpr("method", "stmt", "'y' AS base"))
+    assert sorted(r.origin for r in found.collect()) == [f"leaf:{n}" for n in range(1, 6)]
+    assert solution.facts.where("method = 'main'").select("entry").distinct().count() == 1
