@@ -45,3 +45,15 @@ def test_what_comes_back_alike_has_one_entry_for_all_sources(spark):
     found = t.reached(solution, rows.where("kind = 'sink'").selectExpr("method", "stmt", "'y' AS base"))
     assert sorted(r.origin for r in found.collect()) == [f"leaf:{n}" for n in range(1, 6)]
     assert solution.facts.where("method = 'main'").select("entry").distinct().count() == 1
+
+
+def test_sparse_ways_are_made_in_one_pass(spark, monkeypatch):
+    """Sixty statements that don't concern the name are passed at once, not in rounds that each write all ways anew."""
+    labels, written = [], t.written
+    monkeypatch.setattr(t, "written", lambda df, label: labels.append(label) or written(df, label))
+    rows = spark.createDataFrame([("m", *st(0, "source", "x")), *(("m", *st(n, "nop")) for n in range(1, 60)), ("m", *st(60, "sink", args=["x"]))], taint.STATEMENT)
+    prog = t.compiled(rows, spark.createDataFrame([("m", n, n + 1) for n in range(60)], "method string, src long, dst long"), spark.createDataFrame([], "method string, names array<string>"))
+    labels.clear()
+    ways = t.sparse(prog, rows.where("kind = 'sink'").selectExpr("method", "stmt", "'x' AS base"))
+    assert {(r.src, r.dst) for r in ways.where("base = 'x'").collect()} == {(n, 60) for n in range(60)} | {(60, t.EXIT)}
+    assert labels.count("ways") == 1
