@@ -4,7 +4,7 @@ import duckdb
 
 import trailhead.plans.catalog as catalog
 from tests.test_taint import st
-from trailhead.operators import taint
+from trailhead.operators import hierarchy, taint
 from trailhead.operators import tabulation as t
 
 EVENTS = "CREATE TABLE events(event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)"
@@ -57,3 +57,19 @@ def test_sparse_ways_are_made_in_one_pass(spark, monkeypatch):
     ways = t.sparse(prog, rows.where("kind = 'sink'").selectExpr("method", "stmt", "'x' AS base"))
     assert {(r.src, r.dst) for r in ways.where("base = 'x'").collect()} == {(n, 60) for n in range(60)} | {(60, t.EXIT)}
     assert labels.count("ways") == 1
+
+
+def top(df):
+    """The topmost operator of a plan, which is Aggregate where the rows of a result are shuffled to be made distinct."""
+    return df._jdf.queryExecution().optimizedPlan().toString().split("\n")[0].split()[0]
+
+
+def test_targets_are_found_once_for_a_class_and_method(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("e", None)], "sub string, sup string")
+    methods = spark.createDataFrame([("a", "m"), ("b", "m"), ("b", "m"), ("d", "k"), ("x", "m")], "class string, sub_sig string")
+    calls = spark.createDataFrame([(1, "a", "m"), (1, "a", "m"), (2, "b", "m"), (2, "c", "m"), (3, "d", "k"), (4, "x", "m"), (5, None, "m"), (6, "a", "none"), (None, "c", "m")], "call int, class string, sub_sig string")
+    found = hierarchy.dispatch(calls, methods, edges)
+    want = {(1, "m", "a"), (1, "m", "b"), (2, "m", "a"), (2, "m", "b"), (3, "k", "d"), (None, "m", "a")}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert {tuple(r) for r in hierarchy.dispatch(calls, methods, edges, outside=True).collect()} == want | {(4, "m", "x")}
+    assert top(found) == "Union"
