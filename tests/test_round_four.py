@@ -4,7 +4,7 @@ import duckdb
 
 import trailhead.plans.catalog as catalog
 from tests.test_taint import st
-from trailhead.operators import hierarchy, taint
+from trailhead.operators import frontend, hierarchy, taint
 from trailhead.operators import tabulation as t
 
 EVENTS = "CREATE TABLE events(event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)"
@@ -73,3 +73,14 @@ def test_targets_are_found_once_for_a_class_and_method(spark):
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     assert {tuple(r) for r in hierarchy.dispatch(calls, methods, edges, outside=True).collect()} == want | {(4, "m", "x")}
     assert top(found) == "Union"
+
+
+def test_patched_calls_are_not_made_distinct_as_pairs(spark):
+    edges = spark.createDataFrame([("b", "a")], "sub string, sup string")
+    methods = spark.createDataFrame([("a", "void run()"), ("b", "void run()"), ("x", "void run()")], "class string, sub_sig string")
+    start, post = "<java.lang.Thread: void start()>", "<android.os.Handler: boolean post(java.lang.Runnable)>"
+    calls = spark.createDataFrame([(1, start, ["a"]), (2, post, [None, "x"]), (3, post, ["a"]), (4, start, ["b", "a"]), (1, start, ["b"])], "call int, callee string, classes array<string>")
+    found = frontend.patched_calls(calls, methods, edges)
+    want = {(1, "void run()", "a"), (1, "void run()", "b"), (2, "void run()", "x"), (4, "void run()", "b")}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert top(found) == "Union"
