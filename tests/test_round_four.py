@@ -84,3 +84,14 @@ def test_patched_calls_are_not_made_distinct_as_pairs(spark):
     want = {(1, "void run()", "a"), (1, "void run()", "b"), (2, "void run()", "x"), (4, "void run()", "b")}
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
     assert top(found) == "Union"
+
+
+def test_links_are_not_made_distinct_as_pairs(spark):
+    """Statements that ask in several ways, or for components that several rows name, have each link once."""
+    columns = "stmt int, src string, package string, target string, action string"
+    sends = [(1, "s", "p", None, "go"), (1, "s", "p", None, "go"), (2, "s", "p", "c", None), (2, "s", "p", None, "go"), (3, "s", "q", None, "go"), (3, "s", "q", None, "run"), (4, "s", None, None, "go"), (5, "s", "q", "none", "go"), (6, "s", "q", "c", "go"), (6, "s", "q", "c", "run")]
+    made = [("c", "p", False, ["go", "run"]), ("c", "q", False, ["go"]), ("d", "p", True, ["go", "go"]), ("d", "p", True, ["run"]), ("e", None, None, ["go"])]
+    found = frontend.component_links(spark.createDataFrame(sends, columns), spark.createDataFrame(made, "name string, package string, exported boolean, actions array<string>"))
+    want = {(n, "s", name) for n, _, package, target, action in sends for name, home, exported, actions in made if (target == name if target else action in actions and (exported or package and home == package))}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert top(found) == "Union"
