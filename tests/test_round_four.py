@@ -95,3 +95,13 @@ def test_links_are_not_made_distinct_as_pairs(spark):
     want = {(n, "s", name) for n, _, package, target, action in sends for name, home, exported, actions in made if (target == name if target else action in actions and (exported or package and home == package))}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert top(found) == "Union"
+
+
+def test_listeners_are_not_made_distinct_as_pairs(spark):
+    methods = spark.createDataFrame([("A", "onClick", 10), ("A", "onClick", 10), ("B", "lambda$x", 11), ("B", "other", 12), ("A", "lambda$y", 13), ("B", "lambda$y", 13)], "class string, name string, sig int")
+    registrations = spark.createDataFrame([(1, "A"), (1, "A"), (1, "B"), (2, "B"), (3, None)], "method int, listener_class string")
+    edges = spark.createDataFrame([(1, 10), (1, 12), (1, 12), (2, 10), (9, 9)], "src int, dst int")
+    found = frontend.listener_edges(edges, registrations, methods)
+    want = {(1, 10), (1, 11), (1, 13), (2, 11), (2, 13), (1, 12), (2, 10), (9, 9)}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert top(found) == "Union"
