@@ -4,7 +4,7 @@ import duckdb
 
 import trailhead.plans.catalog as catalog
 from tests.test_taint import st
-from trailhead.operators import frontend, hierarchy, taint
+from trailhead.operators import frontend, hierarchy, summaries, taint
 from trailhead.operators import tabulation as t
 
 EVENTS = "CREATE TABLE events(event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)"
@@ -105,3 +105,12 @@ def test_listeners_are_not_made_distinct_as_pairs(spark):
     want = {(1, 10), (1, 11), (1, 13), (2, 11), (2, 13), (1, 12), (2, 10), (9, 9)}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert top(found) == "Union"
+
+
+def test_only_owners_with_flows_are_looked_for_below_a_class(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b")], "sub string, sup string")
+    flows = spark.createDataFrame([("b", "m", "f1"), ("c", "m", "f2"), ("a", "k", "f3")], "class string, method string, flow string")
+    calls = spark.createDataFrame([(1, "a", "m"), (2, "d", "m"), (3, "d", "k"), (4, "c", "none")], "call int, class string, method string")
+    found = summaries.resolved(calls, flows, edges)
+    assert sorted((r.call, r.owner, r.flow) for r in found.collect()) == [(1, "b", "f1"), (1, "c", "f2"), (2, "b", "f1"), (3, "a", "f3")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2

@@ -18,9 +18,13 @@ def resolved(calls: DataFrame, flows: DataFrame, edges: DataFrame) -> DataFrame:
     or interface, else of all classes below it together."""
     known = flows.select("class", "method").distinct()
     own = calls.select("call", "class", "method", F.col("class").alias("owner"), F.lit(0).alias("depth"))
+    # of a class's place only owners with flows matter, which are few beside all classes below it
     up = hierarchy.supertypes(edges)
+    owners = known.select("class").distinct()
+    down = up.join(owners.withColumnRenamed("class", "sub"), "sub", "left_semi")
+    up = up.join(owners.withColumnRenamed("class", "sup"), "sup", "left_semi")
     above = calls.join(up.select(F.col("sub").alias("class"), F.col("sup").alias("owner"), "depth"), "class").select("call", "class", "method", "owner", "depth")
-    below = calls.join(up.select(F.col("sup").alias("class"), F.col("sub").alias("owner")), "class").select("call", "class", "method", "owner", F.lit(1 << 20).alias("depth"))
+    below = calls.join(down.select(F.col("sup").alias("class"), F.col("sub").alias("owner")), "class").select("call", "class", "method", "owner", F.lit(1 << 20).alias("depth"))
     found = own.unionByName(above).unionByName(below).join(known.withColumnRenamed("class", "owner"), ["owner", "method"])
     nearest = F.min("depth").over(Window.partitionBy("call"))
     found = found.withColumn("nearest", nearest).where("depth = nearest")
