@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailhead.operators import frontend
-from trailhead.storage import checkpointed
+from trailhead.storage import checkpointed, in_frames
 
 MAX_FIELDS = 5
 STATEMENT = "method string, stmt long, kind string, lhs string, lhs_field string, rhs string, rhs_field string, callee string, base string, args array<string>, type string"
@@ -296,7 +296,7 @@ def _tabulated(stmts: DataFrame, cfg: DataFrame, params: DataFrame, entries: Dat
                     out += [("exit", row.method, d1, x, None) for d1, x in exits] + [("call", c, x, None, None) for c, x in made] + [("hit", row.method, d1, d2, n) for d1, n, d2 in hits]
                 yield pd.DataFrame(out, columns=["what", "method", "entry", "exit", "stmt"]).astype({"stmt": "Int64"})
 
-        found = checkpointed(work.mapInPandas(run, "what string, method string, entry string, exit string, stmt long").distinct())
+        found = checkpointed(in_frames(work, run, "what string, method string, entry string, exit string, stmt long").distinct())
         hits = found.where("what = 'hit'")
         all_hits = hits if all_hits is None else all_hits.unionByName(hits)
         exits = found.where("what = 'exit'").select("method", "entry", "exit")
@@ -382,4 +382,4 @@ def backward(stmts: DataFrame, cfg: DataFrame) -> DataFrame:
                 out += [(row.method, *x) for x in trace_back(own, pred)]
             yield pd.DataFrame(out, columns=["method", "sink", "source", "fact"])
 
-    return body.join(edges, "method", "left").mapInPandas(run, "method string, sink long, source long, fact string")
+    return in_frames(body.join(edges, "method", "left"), run, "method string, sink long, source long, fact string")
