@@ -130,3 +130,20 @@ def test_frames_are_bounded_by_bytes(spark):
     assert storage.in_frames(rows, run, "id long, n long").agg({"n": "max"}).first()[0] < 1000
     for module in (taint, t, provenance):
         assert ".mapInPandas(" not in inspect.getsource(module)
+
+
+def test_origins_of_a_static_are_not_carried_to_each_reader(spark, monkeypatch):
+    """Eight writers and eight readers of a static make 64 flows, which are in the result only; a reader that also writes passes all on."""
+    stmts = [row for n in range(8) for row in ((f"w{n}", *st(1, "source", "x")), (f"w{n}", *st(2, "assign", "static s", "x")), (f"r{n}", *st(1, "assign", "y", "static s")), (f"r{n}", *st(2, "sink", args=["y"])))]
+    stmts += [("pass", *st(1, "assign", "static u", "static s")), ("own", *st(1, "source", "y")), ("own", *st(2, "sink", args=["y"])), ("own", *st(3, "assign", "static u", "y")), ("last", *st(1, "assign", "y", "static u")), ("last", *st(2, "sink", args=["y"]))]
+    stmts += [("mine", *st(1, "source", "static s")), ("mine", *st(2, "assign", "y", "static s")), ("mine", *st(3, "sink", args=["y"]))]
+    flow = [(f"{k}{n}", 1, 2) for k in "wr" for n in range(8)] + [("own", 1, 2), ("own", 2, 3), ("last", 1, 2), ("mine", 1, 2), ("mine", 2, 3)]
+    stmts, sizes, written = spark.createDataFrame(stmts, taint.STATEMENT), [], t.written
+    prog = t.compiled(stmts, spark.createDataFrame(flow, "method string, src long, dst long"), spark.createDataFrame([], "method string, names array<string>"))
+    solution = t.with_globals(prog, t.seeds(stmts.where("kind = 'source'").selectExpr("method", "stmt", "lhs AS base")))
+    monkeypatch.setattr(t, "written", lambda df, label: (out := written(df, label), sizes.append(out.count()))[0])
+    found = t.reached(solution, stmts.where("kind = 'sink'").selectExpr("method", "stmt", "'y' AS base")).collect()
+    every = {f"w{n}:1" for n in range(8)} | {"mine:1"}
+    want = {(f"r{n}", o) for n in range(8) for o in every} | {("mine", o) for o in every} | {("last", o) for o in every | {"own:1"}} | {("own", "own:1")}
+    assert sorted((r.method, r.origin) for r in found) == sorted(want)
+    assert max(sizes) < 64
