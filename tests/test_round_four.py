@@ -7,7 +7,7 @@ import duckdb
 import trailhead.plans.catalog as catalog
 from tests.test_taint import st
 from trailhead import storage
-from trailhead.operators import frontend, hierarchy, provenance, summaries, taint
+from trailhead.operators import frontend, hierarchy, provenance, results, summaries, taint
 from trailhead.operators import tabulation as t
 
 EVENTS = "CREATE TABLE events(event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)"
@@ -147,3 +147,22 @@ def test_origins_of_a_static_are_not_carried_to_each_reader(spark, monkeypatch):
     want = {(f"r{n}", o) for n in range(8) for o in every} | {("mine", o) for o in every} | {("last", o) for o in every | {"own:1"}} | {("own", "own:1")}
     assert sorted((r.method, r.origin) for r in found) == sorted(want)
     assert max(sizes) < 64
+
+
+def test_pairs_between_are_made_after_flows_are_joined(spark):
+    sources = spark.createDataFrame([(1, 0), (1, 0), (2, 1), (3, 0), (4, None)], "source int, place int")
+    sinks = spark.createDataFrame([(7, 0), (8, 0), (9, 1), (10, None)], "sink int, place int")
+    found = spark.createDataFrame([(1, 8, "A"), (1, 8, "B"), (1, 9, "A"), (2, 9, "A"), (None, 7, "A"), (3, None, "A")], "source int, sink int, kind string")
+    pairs = sources.join(sinks, "place").select("source", "sink")
+    got = sorted(map(tuple, results.between_all(sources, sinks, "place", found).collect()))
+    assert got == sorted(map(tuple, results.between(pairs, found).collect()))
+    assert got == [(1, 7, False), (1, 7, False), (1, 8, True), (1, 8, True), (2, 9, True), (3, 7, False), (3, 8, False)]
+
+
+def test_the_query_on_pairs_between_has_no_join_of_pairs_with_flows(spark, tmp_path):
+    """The last join of the plan is the one that makes the pairs."""
+    tables = {"part": ["CREATE TABLE part AS SELECT range::BIGINT AS p_partkey, (range % 50)::INTEGER AS p_size FROM range(40)"], "supplier": ["CREATE TABLE supplier AS SELECT range::BIGINT AS s_suppkey, (range % 25)::INTEGER AS s_nationkey FROM range(60)"]}
+    tables["lineitem"] = ["CREATE TABLE lineitem AS SELECT (range % 40)::BIGINT AS l_partkey, (range * 7 % 60)::BIGINT AS l_suppkey, 'A' AS l_returnflag FROM range(300)"]
+    assert {r[2] for r in against_sql(spark, tmp_path, "paths_between", **tables)} == {True, False}
+    plan = catalog.queries()["paths_between"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert next(line for line in plan.split("\n") if "Join " in line).split("Join ")[1].startswith("Inner")
