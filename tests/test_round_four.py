@@ -7,7 +7,7 @@ import duckdb
 import trailhead.plans.catalog as catalog
 from tests.test_taint import st
 from trailhead import storage
-from trailhead.operators import frontend, hierarchy, provenance, results, summaries, taint
+from trailhead.operators import frontend, hierarchy, provenance, reconstruction, results, summaries, taint
 from trailhead.operators import tabulation as t
 
 EVENTS = "CREATE TABLE events(event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR)"
@@ -166,3 +166,12 @@ def test_the_query_on_pairs_between_has_no_join_of_pairs_with_flows(spark, tmp_p
     assert {r[2] for r in against_sql(spark, tmp_path, "paths_between", **tables)} == {True, False}
     plan = catalog.queries()["paths_between"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert next(line for line in plan.split("\n") if "Join " in line).split("Join ")[1].startswith("Inner")
+
+
+def test_walks_are_joined_once_in_each_round(spark):
+    """What ended is read from the round's rows, so the result has no joins that are run again all in one plan."""
+    pred = [(f"f{n}", f"f{n + 1}", f"m:{n}", None, False) for n in range(6)] + [("f0", "f3", "m:9", None, False)]
+    pred = spark.createDataFrame(pred, "fact string, pred string, stmt string, call_site string, is_return boolean")
+    found = reconstruction.paths(pred, spark.createDataFrame([("s", "f0")], "sink string, fact string"), max_paths=None, max_length=None)
+    assert sorted((r.source, r.path) for r in found.collect()) == [("f6", ["m:5", "m:4", "m:3", "m:2", "m:1", "m:0"]), ("f6", ["m:5", "m:4", "m:3", "m:9"])]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
